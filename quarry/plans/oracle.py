@@ -70,3 +70,34 @@ def with_ctes(names: list[str], body: str) -> str:
 
 def query_vector_sql(vec_id: int = 0) -> str:
     return f"(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {vec_id})"
+
+CTES["widgets"] = """
+widgets AS (
+  SELECT 'dep-' || CAST(user_id AS VARCHAR) AS deployment_id, CAST(user_id % 3 + 1 AS INTEGER) AS org_id,
+         user_id % 10 <> 9 AS active, user_id % 2 = 0 AS enable_trees, user_id % 3 <> 0 AS enable_external,
+         user_id % 4 = 0 AS all_trees,
+         [CAST(user_id % 20 AS INTEGER), CAST((user_id + 7) % 20 AS INTEGER)] AS tree_ids,
+         [CAST(user_id % 4 + 2 AS INTEGER), CAST(5 - user_id % 3 AS INTEGER)] AS external_ids,
+         user_id
+  FROM (SELECT DISTINCT user_id FROM events)
+)"""
+
+CTES["agent_tags"] = """
+agent_tags AS (
+  SELECT user_id AS agent_id,
+         CASE WHEN user_id % 10 = 0 THEN []::VARCHAR[] ELSE ['tt' || CAST(user_id % 7 AS VARCHAR)] END AS tags
+  FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 5 = 0
+)"""
+
+CTES["search_requests"] = """
+search_requests AS (
+  SELECT event_id AS request_id, CAST(user_id % 3 + 1 AS INTEGER) AS org_id,
+         'dep-' || CAST(user_id AS VARCHAR) AS deployment_id,
+         CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'purchase' THEN []::INTEGER[]
+              WHEN event_type = 'click' THEN [2, 3] ELSE [1, 2, 3, 4, 5] END AS connectors,
+         CASE WHEN event_type IN ('click', 'error') THEN 't' || CAST(CAST(json_extract(props, '$.k') AS INTEGER) % 4 AS VARCHAR)
+              END AS team_param,
+         event_type, user_id AS causer_id,
+         CASE WHEN user_id % 5 = 0 THEN 'App\\Models\\Agent' ELSE 'App\\Models\\User' END AS causer_type
+  FROM events
+)"""

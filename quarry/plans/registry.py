@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "quarry.plans.search_queries",
+    "quarry.plans.catalog_queries",
 ]
 
 

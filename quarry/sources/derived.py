@@ -87,3 +87,69 @@ def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("connector_id") != 5).alias("active"),
         F.lit(True).alias("type_active"),
     )
+
+
+# ------------------------------------------------------------------ widgets, requests
+AGENT = "App\\Models\\Agent"
+USER = "App\\Models\\User"
+
+
+def widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search widget per deployment (= distinct ``events.user_id``)."""
+    u = F.col("user_id")
+    src = F.struct  # readability alias
+    scopes = F.array(
+        src(F.lit("scope-a").alias("id"),
+            src(F.lit("team").alias("name"), F.concat(F.lit("t"), (u % 4).cast("string")).alias("value")).alias("parameter"),
+            F.array(src(F.lit(2).alias("connectorId"), F.lit("show").alias("action"),
+                        F.array(F.lit('"lang"."en"')).alias("tags")),
+                    src(F.lit(3).alias("connectorId"), F.lit("hide").alias("action"),
+                        F.array().cast("array<string>").alias("tags"))).alias("sources")),
+        src(F.lit("scope-b").alias("id"),
+            src(F.lit("team").alias("name"), F.concat(F.lit("t"), ((u + 1) % 4).cast("string")).alias("value")).alias("parameter"),
+            F.array(src(F.lit(4).alias("connectorId"), F.lit("hide").alias("action"),
+                        F.array(F.concat(F.lit('"source"."src'), (u % 20).cast("string"), F.lit('"'))).alias("tags")),
+                    src(F.lit(1).alias("connectorId"), F.lit("show").alias("action"),
+                        F.array().cast("array<string>").alias("tags"))).alias("sources")),
+    )
+    return (table(spark, sf_dir, "events").select("user_id").distinct().select(
+        F.concat(F.lit("dep-"), u.cast("string")).alias("deployment_id"),
+        (u % 3 + 1).cast("int").alias("org_id"),
+        (u % 10 != 9).alias("active"),
+        (u % 2 == 0).alias("enable_trees"),
+        (u % 3 != 0).alias("enable_external"),
+        (u % 4 == 0).alias("all_trees"),
+        F.array((u % 20).cast("int"), ((u + 7) % 20).cast("int")).alias("tree_ids"),
+        F.array((u % 4 + 2).cast("int"), (5 - u % 3).cast("int")).alias("external_ids"),
+        scopes.alias("content_scopes"),
+    ))
+
+
+def agent_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    return (table(spark, sf_dir, "events").select("user_id").distinct().where(u % 5 == 0)
+            .select(u.alias("agent_id"),
+                    F.when(u % 10 == 0, F.array().cast("array<string>"))
+                    .otherwise(F.array(F.concat(F.lit("tt"), (u % 7).cast("string")))).alias("tags")))
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search request per event: deployment, requested connectors, scope parameters."""
+    u, et = F.col("user_id"), F.col("event_type")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"),
+        (u % 3 + 1).cast("int").alias("org_id"),
+        F.concat(F.lit("dep-"), u.cast("string")).alias("deployment_id"),
+        F.when(et == "view", F.lit(None).cast("array<int>"))
+         .when(et == "purchase", F.array().cast("array<int>"))
+         .when(et == "click", F.array(F.lit(2), F.lit(3)))
+         .otherwise(F.array(*[F.lit(i) for i in range(1, 6)])).alias("connectors"),
+        F.when(et.isin("click", "error"),
+               F.array(F.struct(F.lit("team").alias("name"),
+                                F.concat(F.lit("t"), (k % 4).cast("string")).alias("value"))))
+         .when(et == "signup", F.array().cast("array<struct<name:string,value:string>>"))
+         .alias("scope_params"),
+        u.alias("causer_id"),
+        F.when(u % 5 == 0, F.lit(AGENT)).otherwise(F.lit(USER)).alias("causer_type"),
+    )
