@@ -101,3 +101,42 @@ search_requests AS (
          CASE WHEN user_id % 5 = 0 THEN 'App\\Models\\Agent' ELSE 'App\\Models\\User' END AS causer_type
   FROM events
 )"""
+
+
+def json_quote_sql(x: str) -> str:
+    return ("'\"' || replace(replace(replace(" + x + ", '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\"'")
+
+
+_OPS = ["fix-grammar", "summarize", "summarize-into-steps", "change-tone", "translate",
+        "improve-writing", "reduce-reading-complexity", "reduce-reading-time", "expand-writing"]
+_OPS_SQL = "[" + ", ".join(f"'{o}'" for o in _OPS) + "]"
+
+CTES["usage_log"] = f"""
+usage_log AS (
+  SELECT conv_id * 1000 + turn AS id,
+         CASE WHEN role = 'user' THEN {_OPS_SQL}[conv_id % 9 + 1] ELSE 'moderation' END AS operation,
+         {json_quote_sql("text")} AS input,
+         CASE WHEN role = 'user' THEN {json_quote_sql("substr(text, 1, 60)")}
+              WHEN length(text) % 5 = 0 THEN '"true"' ELSE '"false"' END AS output,
+         'chain-' || CAST(conv_id AS VARCHAR) AS chain_id,
+         {_OPS_SQL}[conv_id % 9 + 1] AS chain_operation,
+         conv_id % 17 AS user_id, CAST(conv_id % 3 + 1 AS INTEGER) AS org_id, conv_id % 5 AS project_id,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 + turn * 60) AS created_at
+  FROM conversations
+)"""
+
+CTES["sessions"] = """
+sessions AS (
+  SELECT 's-' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS id, user_id AS causer_id,
+         CASE WHEN user_id % 5 = 0 THEN 'App\\Models\\Agent' ELSE 'App\\Models\\User' END AS causer_type,
+         min(ts) AS created_at, CAST(user_id % 3 + 1 AS INTEGER) AS org_id,
+         'dep-' || CAST(user_id AS VARCHAR) AS deployment_id
+  FROM events GROUP BY 1, 2
+)"""
+
+CTES["session_events"] = """
+session_events AS (
+  SELECT event_id AS id, event_type AS operation, ts AS created_at, props AS data, user_id, value,
+         's-' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS semantic_search_sessions_id
+  FROM events
+)"""

@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "quarry.plans.search_queries",
     "quarry.plans.catalog_queries",
+    "quarry.plans.analytics_queries",
 ]
 
 

@@ -153,3 +153,70 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         u.alias("causer_id"),
         F.when(u % 5 == 0, F.lit(AGENT)).otherwise(F.lit(USER)).alias("causer_type"),
     )
+
+
+# ------------------------------------------------------------------ usage log, sessions
+def json_quote(c: F.Column) -> F.Column:
+    """JSON string literal of a text column (escapes backslash, quote, newline)."""
+    esc = F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
+                    F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit('"'), esc, F.lit('"'))
+
+
+def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authoring usage log: one chain per conversation; user turns are the chain's
+    operation, other turns are moderation steps with output ``"true"``/``"false"``."""
+    cv = table(spark, sf_dir, "conversations")
+    ops = F.array(*[F.lit(o) for o in AUTHORING_OPERATIONS])
+    chain_op = F.element_at(ops, (F.col("conv_id") % 9 + 1).cast("int"))
+    is_user = F.col("role") == "user"
+    op = F.when(is_user, chain_op).otherwise(F.lit("moderation"))
+    created = _ts(F.lit(EPOCH_2024) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    out = F.when(is_user, json_quote(F.substring("text", 1, 60))).otherwise(
+        F.when(F.length("text") % 5 == 0, F.lit('"true"')).otherwise(F.lit('"false"')))
+    return cv.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        op.alias("operation"),
+        json_quote(op).alias("prompt"),
+        json_quote(F.col("text")).alias("input"),
+        F.lit(None).cast("string").alias("response"),
+        out.alias("output"),
+        F.concat(F.lit("chain-"), F.col("conv_id").cast("string")).alias("chain_id"),
+        chain_op.alias("chain_operation"),
+        (F.col("conv_id") % 17).alias("user_id"),
+        (F.col("conv_id") % 3 + 1).cast("int").alias("org_id"),
+        (F.col("conv_id") % 5).alias("project_id"),
+        created.alias("created_at"),
+        created.alias("updated_at"),
+    )
+
+
+def _session_id(user: F.Column, ts: F.Column) -> F.Column:
+    return F.concat(F.lit("s-"), user.cast("string"), F.lit("-"), F.date_format(ts, "yyyyMMdd"))
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search sessions: one per (user, day) of events."""
+    u = F.col("user_id")
+    ev = table(spark, sf_dir, "events")
+    return (ev.groupBy(_session_id(u, F.col("ts")).alias("id"), u.alias("user_id"))
+            .agg(F.min("ts").alias("created_at"))
+            .select("id", F.lit("search").alias("operation"),
+                    F.concat(F.lit("dep-"), F.col("user_id").cast("string")).alias("deployment_id"),
+                    F.lit(None).cast("string").alias("current_deployment_type"),
+                    F.lit(None).cast("string").alias("location"),
+                    F.lit(None).cast("string").alias("previous_session_id"),
+                    F.col("created_at").cast("timestamp").alias("created_at"),
+                    F.col("user_id").alias("causer_id"),
+                    F.when(F.col("user_id") % 5 == 0, F.lit(AGENT)).otherwise(F.lit(USER)).alias("causer_type"),
+                    (F.col("user_id") % 3 + 1).cast("int").alias("org_id")))
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("operation"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+        F.concat(F.col("event_type"), F.lit(" "), F.col("value").cast("string")).alias("message"),
+        F.col("props").alias("data"),
+        _session_id(F.col("user_id"), F.col("ts")).alias("semantic_search_sessions_id"))
