@@ -8,6 +8,7 @@ MODULES = [
     "quarry.plans.search_queries",
     "quarry.plans.catalog_queries",
     "quarry.plans.analytics_queries",
+    "quarry.plans.ingest_queries",
 ]
 
 
@@ -20,8 +21,20 @@ def _load():
     return queries, sql
 
 
+def _shipping(fn):
+    import functools
+
+    from quarry.session import ship_package
+
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def queries():
-    return _load()[0]
+    return {k: _shipping(v) for k, v in _load()[0].items()}
 
 
 def oracle_sql():

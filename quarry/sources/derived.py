@@ -220,3 +220,98 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("event_type"), F.lit(" "), F.col("value").cast("string")).alias("message"),
         F.col("props").alias("data"),
         _session_id(F.col("user_id"), F.col("ts")).alias("semantic_search_sessions_id"))
+
+
+# ------------------------------------------------------------------ stage records
+def _iso(ts: F.Column) -> F.Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def article_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knowledge-base articles as delivered (bronze): details are HTML paragraphs of
+    the document text; some titles are empty, some dates missing or invalid."""
+    d = table(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    created = _ts(F.lit(EPOCH_2024) + (doc % 365) * DAY)
+    paras = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    details = F.transform(paras, lambda p, i: F.struct(
+        F.concat(F.lit("d"), i.cast("string")).alias("name"), F.lit("Detail").alias("label"),
+        F.when(F.length(p) > 0, F.concat(F.lit("<p>"), p, F.lit("</p>"))).otherwise(F.lit("")).alias("value")))
+    tags = F.array(
+        F.struct(F.lit("source").alias("name"), F.array(F.col("source")).alias("values")),
+        F.struct(F.lit("lang").alias("name"), F.array(F.col("lang")).alias("values")),
+        F.struct(F.lit("draft").alias("name"), F.lit(None).cast("array<string>").alias("values")))
+    return d.select(
+        F.concat(F.lit("a"), doc.cast("string")).alias("id"),
+        F.col("lang").alias("lang"),
+        F.concat(F.lit("KB"), F.lpad(doc.cast("string"), 7, "0")).alias("articleNumber"),
+        F.lit("article").alias("contentType"),
+        F.when(doc % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("Article "), doc.cast("string"))).alias("title"),
+        F.lit("faq").alias("articleType"),
+        F.concat(F.lit("/kb/"), F.col("source"), F.lit("/"), doc.cast("string")).alias("filePath"),
+        (doc % 4 + 1).cast("int").alias("version"),
+        details.alias("details"),
+        tags.alias("tags"),
+        _iso(created).alias("createdAt"),
+        F.when(doc % 4 == 0, F.lit(None).cast("string"))
+         .when(doc % 13 == 0, F.lit("2023-09-11T08:61:52"))
+         .otherwise(_iso(created + F.make_interval(hours=(doc % 7).cast("int")))).alias("updatedAt"),
+        F.lit("0001-01-01T00:00:00Z").alias("publishedAt"),
+        (doc % 3 + 1).cast("int").alias("org_id"),
+        F.lit(2).alias("connector_id"),
+    )
+
+
+def html_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages as silver records: text content (H4), url, type, lang, title."""
+    from quarry.functions.text import html_to_text
+    p = table(spark, sf_dir, "pages")
+    return p.select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
+        html_to_text(F.col("html")).alias("content"),
+        F.col("url"),
+        F.lit("page").alias("type"),
+        F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        (F.col("page_id") % 3 + 1).cast("int").alias("org_id"),
+    )
+
+
+NODES_PER_TREE = 10
+
+
+def tree_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision trees as delivered (raw): one row per tree of ``NODES_PER_TREE``
+    documents (bounded by construction); the last node of each tree is a non-content
+    node that bronze drops."""
+    d = table(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    node = F.struct(
+        F.when(doc % NODES_PER_TREE == NODES_PER_TREE - 1, F.lit("Question")).otherwise(F.lit("Content")).alias("type"),
+        F.concat(F.lit("<b>"), F.substring("text", 1, 24), F.lit("</b>")).alias("page_title"),
+        F.when(doc % 6 == 5, F.lit("")).otherwise(
+            F.concat(F.lit('<p id="x">'), F.col("text"), F.lit("</p>"))).alias("content"),
+        F.when(doc % 3 == 0, F.concat(F.lit("Is this "), F.col("source"), F.lit("?"))).otherwise(F.lit("")).alias("question"),
+        F.concat_ws(",", "source", "lang").alias("keywords"),
+        F.when(doc % 2 == 0, F.col("lang")).otherwise(F.lit("")).alias("tag"),
+    )
+    tid = (doc / NODES_PER_TREE).cast("long")
+    trees = d.groupBy(tid.alias("tree")).agg(
+        F.map_from_entries(F.collect_list(F.struct((doc % NODES_PER_TREE).cast("string"), node))).alias("nodes"),
+        F.min_by("lang", doc).alias("language"))
+    t = F.col("tree")
+    created = _ts(F.lit(EPOCH_2024) + (t % 365) * DAY)
+    return trees.select(
+        (t * 1000 + 7).cast("string").alias("id"),
+        F.concat(F.lit("<h1>Tree "), t.cast("string"), F.lit("</h1>")).alias("name"),
+        F.when(t % 2 == 0, F.lit("")).otherwise(F.lit("a <i>tree</i> description")).alias("description"),
+        "language",
+        F.when(t % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("tree,t"), (t % 5).cast("string"))).alias("tags"),
+        (t % 3 + 1).cast("string").alias("org_id"),
+        F.when(t % 5 == 0, F.lit("0")).otherwise(F.lit("1")).alias("active"),
+        F.lit("0").alias("is_private"),
+        F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("create_date"),
+        F.when(t % 7 == 0, F.lit("not a date")).otherwise(_iso(created)).alias("last_opened"),
+        _iso(created + F.make_interval(days=F.lit(1))).alias("last_modified"),
+        "nodes",
+    )
