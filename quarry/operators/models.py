@@ -45,22 +45,32 @@ def with_retries(fn: Callable, attempts: int = RETRY_ATTEMPTS, wait=RETRY_WAIT,
 
 # ------------------------------------------------------------------ local models
 class HashingEmbedder:
-    """Deterministic embedder: signed hashed character trigrams, L2-normalised."""
+    """Deterministic embedder: signed hashed character trigrams, L2-normalised.
+
+    Vectorised per text with numpy: code points -> rolling trigram hash ->
+    ``bincount`` into ``dims`` buckets with a hash-derived sign."""
+
+    MULT = np.uint64(0x9E3779B1)
 
     def __init__(self, dims: int = 64):
         self.dims = dims
 
+    def _one(self, t: str) -> np.ndarray:
+        cp = np.frombuffer(f"  {t} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        if cp.size < 3:
+            return np.zeros(self.dims, dtype=np.float64)
+        h = (cp[:-2] * np.uint64(1_000_003) + cp[1:-1]) * np.uint64(1_000_003) + cp[2:]
+        h = (h * self.MULT) & np.uint64(0xFFFFFFFF)
+        idx = (h % np.uint64(self.dims)).astype(np.int64)
+        sign = np.where((h >> np.uint64(16)) & np.uint64(1), 1.0, -1.0)
+        return np.bincount(idx, weights=sign, minlength=self.dims)
+
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), dtype=np.float32)
         for r, t in enumerate(texts):
-            t = t or ""
-            padded = f"  {t} "
-            for i in range(len(padded) - 2):
-                h = zlib.crc32(padded[i:i + 3].encode("utf-8"))
-                out[r, h % self.dims] += 1.0 if (h >> 16) & 1 else -1.0
-            n = np.linalg.norm(out[r])
-            if n > 0:
-                out[r] /= n
+            v = self._one(t or "")
+            n = np.linalg.norm(v)
+            out[r] = v / n if n > 0 else v
         return out
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from quarry.operators.filters import json_text
 from quarry.sources.derived import AGENT, TREE_PROVIDER
 
-EMPTY_INTS = F.array().cast("array<int>")
+def _empty_ints():
+    return F.array().cast("array<int>")
 
 
 def active_connectors(connectors: DataFrame) -> DataFrame:
@@ -34,10 +35,10 @@ def tree_connector_id(connectors: DataFrame) -> int | None:
 def widget_connectors(widgets: DataFrame, connectors: DataFrame, zt: int | None) -> DataFrame:
     """(deployment_id, widget_connectors) — tree connector if trees are enabled plus
     the external ids if external sources are enabled, kept only when active."""
-    zt_arr = F.array(F.lit(zt).cast("int")) if zt is not None else EMPTY_INTS
+    zt_arr = F.array(F.lit(zt).cast("int")) if zt is not None else _empty_ints()
     cand = widgets.select("deployment_id", F.explode(F.concat(
-        F.when(F.col("enable_trees"), zt_arr).otherwise(EMPTY_INTS),
-        F.when(F.col("enable_external"), F.col("external_ids")).otherwise(EMPTY_INTS))).alias("cid"))
+        F.when(F.col("enable_trees"), zt_arr).otherwise(_empty_ints()),
+        F.when(F.col("enable_external"), F.col("external_ids")).otherwise(_empty_ints()))).alias("cid"))
     kept = cand.join(active_connectors(connectors).select(F.col("id").alias("cid")), "cid", "left_semi")
     return kept.groupBy("deployment_id").agg(F.array_sort(F.collect_set("cid")).alias("widget_connectors"))
 
@@ -49,7 +50,7 @@ def resolved_widgets(widgets: DataFrame, connectors: DataFrame) -> DataFrame:
     wc = widget_connectors(w, connectors, zt)
     zt_col = F.lit(zt).cast("int")
     return (w.join(wc, "deployment_id", "left")
-            .withColumn("widget_connectors", F.coalesce("widget_connectors", EMPTY_INTS))
+            .withColumn("widget_connectors", F.coalesce("widget_connectors", _empty_ints()))
             .withColumn("zt_connector_id", F.when(F.col("enable_trees"), zt_col))
             .withColumn("zt_tree_ids", F.when(F.col("enable_trees") & ~F.col("all_trees") & zt_col.isNotNull(),
                                               F.col("tree_ids")))

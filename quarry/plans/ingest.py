@@ -21,7 +21,8 @@ from quarry.operators.chunking import chunk
 from quarry.operators.filters import TREE_TAG_KEY
 from quarry.operators.models import embed
 
-EMPTY_STR_ARRAY = F.array().cast("array<string>")
+def _empty_strs():
+    return F.array().cast("array<string>")
 
 
 @dataclass
@@ -69,7 +70,7 @@ def article_chunks(silver: DataFrame, cfg: ChunkConfig) -> DataFrame:
     """I5 (before embedding): rename, skip empty records (B23), chunk."""
     docs = silver.where((F.length("content") > 0) | (F.length("title") > 0)).select(
         "org_id", F.col("lang").alias("language"), "title", F.lit(None).cast("string").alias("description"),
-        F.coalesce("tags", EMPTY_STR_ARRAY).alias("tags"),
+        F.coalesce("tags", _empty_strs()).alias("tags"),
         F.to_json(F.struct(*[F.col(k) for k in ARTICLE_DATA_KEYS if k in silver.columns]),
                   {"ignoreNullFields": "false"}).alias("data"),
         "connector_id", F.col("id").alias("document_id"),
@@ -87,7 +88,7 @@ def html_chunks(silver: DataFrame, connector_id: Column, cfg: ChunkConfig) -> Da
                      {"ignoreNullFields": "false"})
     docs = silver.where((F.length("content") > 0) | (F.length("title") > 0)).select(
         "org_id", F.col("lang").alias("language"), "title", F.lit(None).cast("string").alias("description"),
-        EMPTY_STR_ARRAY.alias("tags"), data.alias("data"), connector_id.cast("int").alias("connector_id"),
+        _empty_strs().alias("tags"), data.alias("data"), connector_id.cast("int").alias("connector_id"),
         F.col("id").alias("document_id"), F.lit(None).cast("timestamp").alias("created_at"),
         F.lit(None).cast("timestamp").alias("updated_at"), F.col("content").alias("text"))
     return chunk(docs, cfg.method, cfg.max_length, cfg.mode).where(F.col("chunk_no").isNotNull()).drop("text")
@@ -98,7 +99,7 @@ TREE_META_KEYS = ["id", "name", "description", "tags", "org_id", "active", "crea
                   "last_opened", "last_modified", "is_private", "language"]
 
 
-def tree_bronze(raw: DataFrame) -> DataFrame:
+def tree_bronze(raw: DataFrame, extra: tuple = ()) -> DataFrame:
     """Keep allow-listed meta keys (tags split, flags cast, dates to UTC) and the
     content nodes (B22) with their allow-listed keys (keywords/tag split)."""
     meta = F.struct(
@@ -114,7 +115,7 @@ def tree_bronze(raw: DataFrame) -> DataFrame:
         lambda k, v: F.struct(v["page_title"].alias("page_title"), v["content"].alias("content"),
                               v["question"].alias("question"),
                               csv_or_empty(v["keywords"]).alias("keywords"), csv_or_empty(v["tag"]).alias("tag")))
-    return raw.select(meta.alias("meta"), nodes.alias("nodes"))
+    return raw.select(meta.alias("meta"), nodes.alias("nodes"), *extra)
 
 
 def nstruct(**cols: Column) -> Column:
@@ -144,13 +145,14 @@ def tree_silver(bronze: DataFrame) -> DataFrame:
         tags=F.transform(m["tags"], lambda t: F.concat(F.lit(f'"{TREE_TAG_KEY}"."'), t, F.lit('"'))),
         org_id=m["org_id"], active=m["active"], create_date=m["create_date"], last_opened=m["last_opened"],
         last_modified=m["last_modified"], is_private=m["is_private"], language=m["language"])
-    exploded = bronze.select(meta.alias("meta"), F.explode("nodes").alias("node_id", "n"))
+    others = [c for c in bronze.columns if c not in ("meta", "nodes")]
+    exploded = bronze.select(meta.alias("meta"), F.explode("nodes").alias("node_id", "n"), *others)
     node = nstruct(
         content=nstruct(page_title=_norm_tree_text(F.col("n.page_title")),
                         content=_norm_tree_text(F.col("n.content")),
                         question=_norm_tree_text(F.col("n.question"))),
         meta=nstruct(keywords=F.col("n.keywords"), tag=F.col("n.tag")))
-    return exploded.select("meta", "node_id", node.alias("node"))
+    return exploded.select("meta", "node_id", node.alias("node"), *others)
 
 
 def tree_chunks(silver: DataFrame, connector_id: Column, cfg: ChunkConfig) -> DataFrame:
@@ -208,6 +210,7 @@ def split_gold(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = ok.where(F.col("chunk_no") == 0).select(doc_id.alias("id"), *DOC_COLS)
     items = ok.select(
         F.xxhash64(F.col("org_id"), F.col("connector_id"), F.col("document_id"), F.col("chunk_no")).alias("id"),
-        F.col("embedding").alias("embeddings"), "chunk", "snippet", doc_id.alias("document_id"), "chunk_no")
+        F.col("embedding").alias("embeddings"), "chunk", "snippet", doc_id.alias("document_id"), "chunk_no",
+        "org_id")
     rejects = rows.where(F.col("embed_error").isNotNull() | F.col("chunk_error").isNotNull())
     return docs, items, rejects

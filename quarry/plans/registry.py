@@ -9,6 +9,8 @@ MODULES = [
     "quarry.plans.catalog_queries",
     "quarry.plans.analytics_queries",
     "quarry.plans.ingest_queries",
+    "quarry.plans.change_queries",
+    "quarry.plans.model_queries",
 ]
 
 
@@ -24,11 +26,12 @@ def _load():
 def _shipping(fn):
     import functools
 
-    from quarry.session import ship_package
+    from quarry.session import ensure_checkpoint_dir, ship_package
 
     @functools.wraps(fn)
     def run(spark, sf_dir):
         ship_package(spark)
+        ensure_checkpoint_dir(spark)
         return fn(spark, sf_dir)
     return run
 

@@ -315,3 +315,73 @@ def tree_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         _iso(created + F.make_interval(days=F.lit(1))).alias("last_modified"),
         "nodes",
     )
+
+
+# ------------------------------------------------------------------ change events
+ARTICLE_SOURCE = "kb_articles"
+
+
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change events (A8 payload) for every article and every tree.
+
+    Articles: doc_id % 10 in 0..5 CREATE, 6..7 UPDATE, 8..9 DELETE; every 7th
+    article also has an older, superseded event. Trees: tree % 4 == 3 DELETE,
+    1 UPDATE, else CREATE."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    doc = F.col("doc_id")
+    art_op = F.when(doc % 10 < 6, 0).when(doc % 10 < 8, 1).otherwise(2)
+
+    def ev(op, ts, suffix):
+        aid = F.concat(F.lit("a"), doc.cast("string"))
+        org = (doc % 3 + 1).cast("int")
+        return F.struct(
+            F.concat(F.lit("ev-a"), doc.cast("string"), F.lit(suffix)).alias("id"), aid.alias("articleId"),
+            org.alias("orgId"), F.lit(2).alias("connectorId"), F.lit(ARTICLE_SOURCE).alias("source"),
+            ts.cast("long").alias("timestamp"), op.cast("int").alias("operation"),
+            F.struct(F.lit("landing-bronze").alias("bucket"), F.lit("us-east-1").alias("region"),
+                     F.concat(F.lit("bronze/articles/"), org.cast("string"), F.lit("/"), aid, F.lit(".json")).alias("path")
+                     ).alias("location"),
+            F.concat(F.lit("job-"), (doc % 50).cast("string")).alias("jobId"))
+
+    arts = d.select(F.explode(F.array(
+        ev(art_op, F.lit(1000) + doc, ""),
+        F.when(doc % 7 == 0, ev(F.lit(2) - art_op % 2, F.lit(500) + doc, "-old")))).alias("e")) \
+        .where(F.col("e").isNotNull()).select("e.*")
+    t = F.col("tree")
+    trees = d.select((doc / NODES_PER_TREE).cast("long").alias("tree")).distinct()
+    tid = (t * 1000 + 7).cast("string")
+    org = (t % 3 + 1).cast("int")
+    tree_ev = trees.select(
+        F.concat(F.lit("ev-t"), t.cast("string")).alias("id"), tid.alias("articleId"), org.alias("orgId"),
+        F.lit(1).alias("connectorId"), F.lit(TREE_PROVIDER).alias("source"), (F.lit(2000) + t).cast("long").alias("timestamp"),
+        F.when(t % 4 == 3, 2).when(t % 4 == 1, 1).otherwise(0).cast("int").alias("operation"),
+        F.struct(F.lit("landing-raw").alias("bucket"), F.lit("us-east-1").alias("region"),
+                 F.concat(F.lit("raw/zt_trees/"), org.cast("string"), F.lit("/"), tid, F.lit("/"), tid, F.lit(".json"))
+                 .alias("path")).alias("location"),
+        F.concat(F.lit("job-t"), (t % 50).cast("string")).alias("jobId"))
+    return arts.unionByName(tree_ev)
+
+
+def article_landing(spark: SparkSession, sf_dir: str, old: bool = False) -> DataFrame:
+    """Landing table of article bronze records keyed by (org_id, id). ``old`` gives the
+    previous version (titles prefixed ``Old``) of the articles that exist before the
+    events (doc_id % 10 >= 6)."""
+    b = article_bronze(spark, sf_dir)
+    if not old:
+        return b
+    n = F.expr("cast(substring(id, 2) as long)")
+    return (b.where(n % 10 >= 6)
+            .withColumn("title", F.when(F.length("title") > 0, F.concat(F.lit("Old "), F.col("title")))
+                        .otherwise(F.col("title"))))
+
+
+def tree_landing(spark: SparkSession, sf_dir: str, old: bool = False) -> DataFrame:
+    """Landing table of raw trees keyed by (org_id, id). ``old`` gives the previous
+    version of trees 1 and 3 mod 4, in which the non-content node was still content
+    (so an update must make it vanish)."""
+    r = tree_raw(spark, sf_dir)
+    if not old:
+        return r
+    t = (F.col("id").cast("long") - 7) / 1000
+    return (r.where((t % 4 == 1) | (t % 4 == 3))
+            .withColumn("nodes", F.transform_values("nodes", lambda k, v: v.withField("type", F.lit("Content")))))
