@@ -59,11 +59,15 @@ def html_text_py(s: str | None) -> str | None:
     return "".join(p.parts)
 
 
-@F.pandas_udf(T.StringType())
-def _html_to_text(s: pd.Series) -> pd.Series:
+def _html_to_text_batch(s: pd.Series) -> pd.Series:
     return s.map(html_text_py)
 
 
+# Marked non-deterministic so Catalyst neither duplicates the call into pushed-down
+# filters nor moves it below a repartition: the parse runs once, after ``spread``.
+_html_to_text = F.pandas_udf(_html_to_text_batch, T.StringType()).asNondeterministic()
+
+
 def html_to_text(c) -> Column:
     """H4."""
     return _html_to_text(_c(c))

@@ -290,7 +290,7 @@ def tree_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.embed_chunks(I.tree_chunks(_tree_silver(spark, sf_dir), F.lit(TREE_CONNECTOR), TREE_CFG),
                           I.EmbedConfig(dims=64))
     docs, items, _ = I.split_gold(rows)
-    return (items.join(docs.select(F.col("id").alias("document_id"), F.col("document_id").alias("node_doc_id"),
+    return (items.drop("org_id").join(docs.select(F.col("id").alias("document_id"), F.col("document_id").alias("node_doc_id"),
                                    "title", "description", "org_id"), "document_id")
             .select("node_doc_id", "chunk_no", "chunk", "snippet", "title", "description", "org_id",
                     F.size("embeddings").cast("long").alias("dims")))

@@ -78,3 +78,14 @@ def materialize(df):
     the shared ``spark.checkpoint.dir`` (survives executor loss, unlike a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread rows over the cluster before CPU-heavy per-row work (HTML parsing,
+    embedding) when the input has fewer partitions than task slots — e.g. a small
+    file written as one row group. Large inputs already have enough partitions and
+    are returned unchanged (no extra shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -265,7 +265,8 @@ def article_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawled pages as silver records: text content (H4), url, type, lang, title."""
     from quarry.functions.text import html_to_text
-    p = table(spark, sf_dir, "pages")
+    from quarry.session import spread
+    p = spread(table(spark, sf_dir, "pages"))
     return p.select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
         html_to_text(F.col("html")).alias("content"),
