@@ -174,3 +174,118 @@ def moderation_gate(df: DataFrame, text_col: str, model_factory=None) -> tuple[D
     viol = (m.where(F.col("flagged")).drop("flagged")
             .withColumn("code", F.lit(VIOLATION_CODE)).withColumn("error_code", F.lit(VIOLATION_ERROR)))
     return passed, viol
+
+
+# ------------------------------------------------------------------ prompts
+# Default prompt templates per authoring operation (kind, system, user).
+# Deployments load their own templates as a table with the same columns.
+DEFAULT_TEMPLATES = [
+    ("fix-grammar", "completion", None, "Correct spelling and grammar; keep text between # as is:\n\n{{text}}"),
+    ("summarize", "chat", "You shorten texts.", "Summarize:\n\n{{text}}"),
+    ("summarize-into-steps", "chat", "You turn texts into steps.", "Summarize into steps:\n\n{{text}}"),
+    ("change-tone", "chat", "You rewrite tone.", "Rewrite in a {{tone}} tone:\n\n{{text}}"),
+    ("translate", "chat", "You translate.", "Translate into {{language}}:\n\n{{text}}"),
+    ("improve-writing", "chat", "You improve writing.", "Improve:\n\n{{text}}"),
+    ("reduce-reading-complexity", "chat", "You simplify.", "Simplify:\n\n{{text}}"),
+    ("reduce-reading-time", "chat", "You shorten reading time.", "Make quicker to read:\n\n{{text}}"),
+    ("expand-writing", "chat", "You expand texts.", "Expand:\n\n{{text}}"),
+]
+SUMMARY_TEMPLATE = "Question: {{question}}\n\n{{context}}"
+NO_CONTEXT_ANSWER = "There is no context to answer this question."
+TEMPLATE_SCHEMA = "operation string, kind string, system string, user string"
+
+
+def templates(spark) -> DataFrame:
+    """The template table (nine rows)."""
+    return spark.createDataFrame(DEFAULT_TEMPLATES, TEMPLATE_SCHEMA)
+
+
+def render_prompts(requests: DataFrame, tmpl: DataFrame) -> DataFrame:
+    """Completion templates get ``{{text}}`` replaced in the prompt; chat templates
+    in the last (user) message, then ``{{tone}}`` / ``{{language}}``. Adds ``messages``
+    (array<struct<role, content>>) and ``prompt`` (the text sent to a text model)."""
+    user = F.col("user")
+    for k in ("text", "tone", "language"):
+        user = F.replace(user, F.lit("{{" + k + "}}"), F.coalesce(F.col(k), F.lit("")))
+    completion = F.replace(F.col("user"), F.lit("{{text}}"), F.coalesce(F.col("text"), F.lit("")))
+    msg = F.when(F.col("kind") == "chat", F.array(
+        F.struct(F.lit("system").alias("role"), F.col("system").alias("content")),
+        F.struct(F.lit("user").alias("role"), user.alias("content"))))
+    prompt = F.when(F.col("kind") == "chat", user).otherwise(completion)
+    return (requests.join(F.broadcast(tmpl), "operation", "left")  # nine rows: bounded
+            .withColumn("messages", msg).withColumn("prompt", prompt)
+            .drop("kind", "system", "user"))
+
+
+def _json_str(c: Column) -> Column:
+    return F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+
+
+def author(requests: DataFrame, tmpl: DataFrame, model_factory=EchoModel, moderator_factory=None) -> DataFrame:
+    """K5 + K6 + K7: one authoring chain per request (request_id, operation, text,
+    tone, language). Chains are (operation, moderation), except translate which is
+    (moderation, translate). Returns per request: output (NULL on violation),
+    status, error_code, steps (1 or 2) and the usage-log rows of the executed steps
+    (K8) as ``log`` (array of two structs at most)."""
+    r = render_prompts(requests, tmpl)
+    is_tr = F.col("operation") == "translate"
+    # translate: moderation of the input first; the model only runs when it passes
+    pre = moderate(r.withColumn("_mod_in", F.col("text")), "_mod_in", moderator_factory) \
+        .withColumnRenamed("flagged", "_pre_flag")
+    run_model = ~is_tr | ~F.col("_pre_flag")
+    ran = apply_text_model(pre.where(run_model), "prompt", "answer", model_factory)
+    skipped = (pre.where(~run_model).withColumn("answer", F.lit(None).cast("string"))
+               .withColumn("answer_error", F.lit(None).cast("string")))
+    both = ran.unionByName(skipped)
+    post = moderate(both.withColumn("_mod_out", F.coalesce("answer", F.lit(""))), "_mod_out", moderator_factory) \
+        .withColumnRenamed("flagged", "_post_flag")
+    violation = F.when(is_tr, F.col("_pre_flag")).otherwise(F.col("_post_flag"))
+    chain_id = F.concat(F.lit("chain-"), F.xxhash64("request_id").cast("string"))
+
+    def log(op, prompt, inp, out):
+        return F.struct(op.alias("operation"), prompt.alias("prompt"), _json_str(inp).alias("input"),
+                        out.alias("output"))
+
+    mod_out = lambda flag: F.when(flag, F.lit('"true"')).otherwise(F.lit('"false"'))
+    op_log = log(F.col("operation"), F.to_json(F.coalesce(F.col("messages"), F.array(F.struct(
+        F.lit("user").alias("role"), F.col("prompt").alias("content"))))), F.col("text"), _json_str(F.col("answer")))
+    logs = F.when(is_tr & F.col("_pre_flag"), F.array(log(F.lit("moderation"), F.lit(None).cast("string"),
+                                                          F.col("text"), mod_out(F.col("_pre_flag")))))
+    logs = logs.when(is_tr, F.array(log(F.lit("moderation"), F.lit(None).cast("string"), F.col("text"),
+                                        mod_out(F.col("_pre_flag"))), op_log))
+    logs = logs.otherwise(F.array(op_log, log(F.lit("moderation"), F.lit(None).cast("string"),
+                                              F.col("answer"), mod_out(F.col("_post_flag")))))
+    return post.select(
+        "request_id", "operation", chain_id.alias("chain_id"),
+        F.when(violation, F.lit(None).cast("string")).otherwise(F.col("answer")).alias("output"),
+        F.when(violation, F.lit("violation")).otherwise(F.lit("ok")).alias("status"),
+        F.when(violation, F.lit(VIOLATION_ERROR)).alias("error_code"),
+        F.size(logs).alias("steps"), logs.alias("log"))
+
+
+def usage_rows(chains: DataFrame, audit: dict | None = None) -> DataFrame:
+    """K8 + A12: one usage-log row per executed chain step."""
+    audit = audit or {}
+    x = chains.select("chain_id", F.col("operation").alias("chain_operation"),
+                      F.posexplode("log").alias("step", "l"))
+    return x.select(
+        F.xxhash64("chain_id", "step").alias("id"), F.col("l.operation").alias("operation"),
+        F.col("l.prompt").alias("prompt"), F.col("l.input").alias("input"),
+        F.lit(None).cast("string").alias("response"), F.col("l.output").alias("output"),
+        "chain_id", "chain_operation",
+        F.lit(audit.get("user_id")).cast("long").alias("user_id"),
+        F.lit(audit.get("org_id")).cast("int").alias("org_id"),
+        F.lit(audit.get("project_id")).cast("long").alias("project_id"))
+
+
+def summarize_answers(contexts: DataFrame, model_factory=EchoModel, template: str = SUMMARY_TEMPLATE) -> DataFrame:
+    """K4: (query_id, question, context, n_options) -> answer; no options gives the
+    fixed no-context message without calling the model."""
+    prompt = F.replace(F.replace(F.lit(template), F.lit("{{context}}"), F.coalesce("context", F.lit(""))),
+                       F.lit("{{question}}"), F.coalesce("question", F.lit("")))
+    has = F.coalesce(F.col("n_options"), F.lit(0)) > 0
+    withp = contexts.withColumn("prompt", prompt)
+    answered = apply_text_model(withp.where(has), "prompt", "answer", model_factory)
+    empty = (withp.where(~has).withColumn("answer", F.lit(NO_CONTEXT_ANSWER))
+             .withColumn("answer_error", F.lit(None).cast("string")))
+    return answered.unionByName(empty)

@@ -102,3 +102,124 @@ QUERIES = {
     "batch_embed": batch_embed,
     "moderation_gate": moderation_gate,
 }
+
+
+# ---------------------------------------------------------------- authoring
+def authoring_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One authoring request per user turn of a conversation."""
+    from quarry.sources.derived import AUTHORING_OPERATIONS
+    cv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    ops = F.array(*[F.lit(o) for o in AUTHORING_OPERATIONS])
+    c = F.col("conv_id")
+    return cv.select(
+        (c * 1000 + F.col("turn")).alias("request_id"),
+        F.element_at(ops, (c % 9 + 1).cast("int")).alias("operation"),
+        F.col("text"),
+        F.element_at(F.array(F.lit("friendly"), F.lit("formal"), F.lit("casual")), (c % 3 + 1).cast("int")).alias("tone"),
+        F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("es")), (c % 4 + 1).cast("int")).alias("language"))
+
+
+def _tmpl_sql() -> str:
+    rows = []
+    for op, kind, system, user in M.DEFAULT_TEMPLATES:
+        q = lambda s: "NULL" if s is None else "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+        rows.append(f"('{op}', '{kind}', {q(system)}, {q(user)})")
+    return "tmpl(operation, kind, system, user_t) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_REQ_SQL = """
+, ops AS (SELECT ['fix-grammar','summarize','summarize-into-steps','change-tone','translate','improve-writing',
+                  'reduce-reading-complexity','reduce-reading-time','expand-writing'] AS o)
+, req AS (
+  SELECT conv_id * 1000 + turn AS request_id, (SELECT o FROM ops)[conv_id % 9 + 1] AS operation, text,
+         ['friendly','formal','casual'][conv_id % 3 + 1] AS tone, ['en','fr','de','es'][conv_id % 4 + 1] AS language
+  FROM conversations WHERE role = 'user')
+, rendered AS (
+  SELECT r.*, t.kind,
+         CASE WHEN t.kind = 'chat'
+              THEN replace(replace(replace(t.user_t, '{{text}}', coalesce(r.text, '')), '{{tone}}', coalesce(r.tone, '')),
+                           '{{language}}', coalesce(r.language, ''))
+              ELSE replace(t.user_t, '{{text}}', coalesce(r.text, '')) END AS prompt
+  FROM req r LEFT JOIN tmpl t USING (operation))"""
+
+
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = M.render_prompts(authoring_requests(spark, sf_dir), M.templates(spark))
+    return r.select("request_id", "operation", "prompt",
+                    F.size(F.coalesce("messages", F.array())).cast("long").alias("n_messages"))
+
+
+SQL["prompt_render"] = "WITH " + _tmpl_sql() + _REQ_SQL + """
+SELECT request_id, operation, prompt, CAST(CASE WHEN kind = 'chat' THEN 2 ELSE 0 END AS BIGINT) AS n_messages FROM rendered"""
+
+
+def author_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = M.author(authoring_requests(spark, sf_dir), M.templates(spark))
+    return a.select("request_id", "operation", "output", "status", "error_code", F.col("steps").cast("long"))
+
+
+_BLOCK = M.BLOCKED_PATTERN.replace("(?i)", "")
+SQL["author_chain"] = "WITH " + _tmpl_sql() + _REQ_SQL + f"""
+, ans AS (SELECT *, regexp_replace(string_split(prompt, chr(10) || chr(10))[-1], '^\\s+|\\s+$', '', 'g') AS answer,
+                 regexp_matches(coalesce(text, ''), '{_BLOCK}', 'i') AS pre_flag FROM rendered)
+, fl AS (SELECT *, regexp_matches(coalesce(answer, ''), '{_BLOCK}', 'i') AS post_flag FROM ans)
+SELECT request_id, operation,
+       CASE WHEN (operation = 'translate' AND pre_flag) OR (operation <> 'translate' AND post_flag) THEN NULL ELSE answer END AS output,
+       CASE WHEN (operation = 'translate' AND pre_flag) OR (operation <> 'translate' AND post_flag) THEN 'violation' ELSE 'ok' END AS status,
+       CASE WHEN (operation = 'translate' AND pre_flag) OR (operation <> 'translate' AND post_flag) THEN {M.VIOLATION_ERROR} END AS error_code,
+       CAST(CASE WHEN operation = 'translate' AND pre_flag THEN 1 ELSE 2 END AS BIGINT) AS steps
+FROM fl"""
+
+
+def author_usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: the usage-log rows the chains write."""
+    rows = M.usage_rows(M.author(authoring_requests(spark, sf_dir), M.templates(spark)))
+    return rows.select("chain_id", "operation", "chain_operation", F.length("input").cast("long").alias("input_len"),
+                       "output")
+
+
+# ---------------------------------------------------------------- K4 / E10
+def summarize_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = context_assembly(spark, sf_dir)
+    q = query_set(spark, sf_dir).select("query_id")
+    c = q.join(ctx, "query_id", "left").withColumn(
+        "question", F.concat(F.lit("what about "), F.col("query_id").cast("string")))
+    return M.summarize_answers(c).select("query_id", "answer")
+
+
+SQL["summarize_answers"] = SQL["context_assembly"].replace(
+    "SELECT query_id, string_agg(snippet, ' ' ORDER BY rank) AS context, count(*) AS n_options FROM top GROUP BY query_id",
+    """, ctx AS (SELECT query_id, string_agg(snippet, ' ' ORDER BY rank) AS context FROM top GROUP BY query_id)
+SELECT q.query_id, CASE WHEN ctx.context IS NULL THEN 'There is no context to answer this question.'
+  ELSE regexp_replace(string_split('Question: what about ' || CAST(q.query_id AS VARCHAR) || chr(10) || chr(10) || ctx.context,
+                                   chr(10) || chr(10))[-1], '^\\s+|\\s+$', '', 'g') END AS answer
+FROM q LEFT JOIN ctx USING (query_id)""")
+
+
+def search_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One analytics event per batch search request."""
+    from quarry.operators.sessions import search_event_payload
+    q = query_set(spark, sf_dir)
+    hits = S.batch_search(gold_items(spark, sf_dir), gold_documents(spark, sf_dir), q,
+                          SearchFilters(connectors=ALL_CONNECTORS), threshold=0.7, k=K)
+    req = q.select("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query"),
+                   F.lit(K).alias("limit")).withColumnRenamed("query_id", "request_id")
+    ev = search_event_payload(hits.withColumnRenamed("query_id", "request_id"), req)
+    return ev.select(F.col("request_id").alias("query_id"), "message", "n_options")
+
+
+SQL["search_session_events"] = SQL["batch_knn"].replace(
+    f"""SELECT query_id, CAST(rank AS BIGINT) AS rank, item_id, document_id, round(distance, 6) AS distance
+FROM ranked WHERE rank <= {K}""",
+    f""", hits AS (SELECT query_id, count(*) AS n FROM ranked WHERE rank <= {K} GROUP BY query_id)
+SELECT q.query_id, 'Found ' || CAST(coalesce(h.n, 0) AS VARCHAR) || ' options for q' || CAST(q.query_id AS VARCHAR) AS message,
+       CAST(coalesce(h.n, 0) AS BIGINT) AS n_options
+FROM q LEFT JOIN hits h USING (query_id)""")
+
+QUERIES.update({
+    "prompt_render": prompt_render,
+    "author_chain": author_chain,
+    "author_usage_log": author_usage_log,
+    "summarize_answers": summarize_answers,
+    "search_session_events": search_session_events,
+})
