@@ -131,12 +131,15 @@ def chunk_text(snippet, ctx, mode: str | None) -> Column:
 
 
 def fixed_split(text, n) -> Column:
-    """Consecutive slices of ``n`` characters; ``[]`` for empty text."""
+    """Consecutive slices of ``n`` characters (code points); ``[]`` for empty text.
+
+    One left-to-right regex scan (``(?s).{1,n}``), linear in the text length;
+    slicing with ``substring`` per piece would rescan from the start each time."""
     t = _c(text)
     n = n if isinstance(n, Column) else F.lit(n)
-    return F.when(F.length(t) > 0, F.transform(
-        F.sequence(F.lit(0), F.length(t) - 1, n), lambda i: F.substring(t, i + 1, n))
-    ).otherwise(F.array().cast("array<string>"))
+    pattern = F.concat(F.lit("(?s).{1,"), n.cast("string"), F.lit("}"))
+    return F.when(F.length(t) > 0, F.regexp_extract_all(t, pattern, F.lit(0))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def split_sentences(text) -> Column:

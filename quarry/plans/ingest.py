@@ -217,3 +217,13 @@ def split_gold(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "org_id")
     rejects = rows.where(F.col("embed_error").isNotNull() | F.col("chunk_error").isNotNull())
     return docs, items, rejects
+
+
+def gold_rows(rows: DataFrame) -> DataFrame:
+    """Accepted chunk rows with their gold ids (item ``id``, document ``doc_key``): the
+    denormalised gold in one pass, for readers that want documents and items together."""
+    doc_id = document_key_id(F.col("org_id"), F.col("connector_id"), F.col("document_id"))
+    ok = rows.where(F.col("embed_error").isNull() & F.col("chunk_error").isNull())
+    return ok.select(
+        F.xxhash64(F.col("org_id"), F.col("connector_id"), F.col("document_id"), F.col("chunk_no")).alias("id"),
+        doc_id.alias("doc_key"), *[c for c in ok.columns if c not in ("embed_error", "chunk_error")])

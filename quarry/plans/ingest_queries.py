@@ -182,14 +182,11 @@ SQL["article_silver"] = ("WITH _x AS (SELECT 1)" + _ART_SILVER_SQL
 
 
 def article_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.embed_chunks(_article_chunks(spark, sf_dir), I.EmbedConfig(dims=64))
-    docs, items, _ = I.split_gold(rows)
-    return (items.join(docs.select(F.col("id").alias("document_id"), F.col("document_id").alias("article_id"),
-                                   "title", "created_at", "updated_at"), "document_id")
-            .select("article_id", "chunk_no", "chunk", "snippet", "title",
-                    F.date_format("created_at", TS_FMT).alias("created_at"),
-                    F.date_format("updated_at", TS_FMT).alias("updated_at"),
-                    F.size("embeddings").cast("long").alias("dims")))
+    rows = I.gold_rows(I.embed_chunks(_article_chunks(spark, sf_dir), I.EmbedConfig(dims=64)))
+    return rows.select(F.col("document_id").alias("article_id"), "chunk_no", "chunk", "snippet", "title",
+                       F.date_format("created_at", TS_FMT).alias("created_at"),
+                       F.date_format("updated_at", TS_FMT).alias("updated_at"),
+                       F.size("embedding").cast("long").alias("dims"))
 
 
 SQL["article_gold"] = ("WITH _x AS (SELECT 1)" + _ART_SILVER_SQL + """
@@ -204,13 +201,10 @@ FROM chunks c JOIN src s USING (article_id)""")
 
 # ---------------------------------------------------------------- HTML pages
 def html_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.embed_chunks(I.html_chunks(html_silver(spark, sf_dir), F.lit(HTML_CONNECTOR), HTML_CFG),
-                          I.EmbedConfig(dims=64))
-    docs, items, _ = I.split_gold(rows)
-    return (items.join(docs.select(F.col("id").alias("document_id"), F.col("document_id").alias("html_id"),
-                                   "title", "language"), "document_id")
-            .select("html_id", "chunk_no", "chunk", "snippet", "title", "language",
-                    F.size("embeddings").cast("long").alias("dims")))
+    rows = I.gold_rows(I.embed_chunks(I.html_chunks(html_silver(spark, sf_dir), F.lit(HTML_CONNECTOR), HTML_CFG),
+                                      I.EmbedConfig(dims=64)))
+    return rows.select(F.col("document_id").alias("html_id"), "chunk_no", "chunk", "snippet", "title", "language",
+                       F.size("embedding").cast("long").alias("dims"))
 
 
 SQL["html_gold"] = f"""
@@ -287,13 +281,10 @@ FROM nodes n JOIN tb t ON t.id = n.tree_id""")
 
 
 def tree_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.embed_chunks(I.tree_chunks(_tree_silver(spark, sf_dir), F.lit(TREE_CONNECTOR), TREE_CFG),
-                          I.EmbedConfig(dims=64))
-    docs, items, _ = I.split_gold(rows)
-    return (items.drop("org_id").join(docs.select(F.col("id").alias("document_id"), F.col("document_id").alias("node_doc_id"),
-                                   "title", "description", "org_id"), "document_id")
-            .select("node_doc_id", "chunk_no", "chunk", "snippet", "title", "description", "org_id",
-                    F.size("embeddings").cast("long").alias("dims")))
+    rows = I.gold_rows(I.embed_chunks(I.tree_chunks(_tree_silver(spark, sf_dir), F.lit(TREE_CONNECTOR), TREE_CFG),
+                                      I.EmbedConfig(dims=64)))
+    return rows.select(F.col("document_id").alias("node_doc_id"), "chunk_no", "chunk", "snippet", "title",
+                       "description", "org_id", F.size("embedding").cast("long").alias("dims"))
 
 
 SQL["tree_gold"] = ("WITH _x AS (SELECT 1)" + _TREE_SQL + _NODE_SQL + """
