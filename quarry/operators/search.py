@@ -3,10 +3,13 @@
 Plan shape for one query vector:
 
     documents --filter(B1..B8)--> ids --left-semi--> items(id, document_id, embeddings)
-      -> distance -> distance < 2t (B9, applied before the dedup: the best chunk
-         is the minimum, so this is equivalent and shrinks the shuffle)
+      -> distance (computed once, in one projection)
       -> row_number() over (document_id order by distance, item_id) = 1   (F1;
-         Spark plans a partial WindowGroupLimit before the shuffle)
+         Spark plans a partial WindowGroupLimit before the shuffle, so at most one
+         row per document per task is shuffled)
+      -> distance < 2t (B9). Applied after the dedup like the reference: a filter
+         on the distance placed before the window is inlined by Catalyst into the
+         scan-side filter and the (dominant) distance would be computed twice.
       -> top-k (TakeOrderedAndProject) -> late join of the document payload (D3).
 
 Only (item_id, document_id, distance) travel through the shuffle; the vector
@@ -56,8 +59,7 @@ def search(items: DataFrame, documents: DataFrame, query, filters: SearchFilters
     would need a single global ordering task.
     """
     cand = candidates(items, documents, query, filters, method)
-    cand = cand.where(F.col("distance") < F.lit(2.0 * threshold))
-    best = best_per_document(cand)
+    best = best_per_document(cand).where(F.col("distance") < F.lit(2.0 * threshold))
     if limit is None:
         return best
     return _ranked_top(best, limit)

@@ -74,10 +74,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage of a DataFrame used several times: a reliable checkpoint written to
-    the shared ``spark.checkpoint.dir`` (survives executor loss, unlike a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a DataFrame that several outputs read: write it once as a
+    Parquet table under the shared ``spark.checkpoint.dir`` and read it back. The
+    files survive executor loss (unlike a local checkpoint) and stay columnar."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df, min_partitions: int | None = None):
