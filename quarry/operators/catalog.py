@@ -75,3 +75,64 @@ def documents_after(documents: DataFrame, org_id: int | None, connector_id: int
     """Keyset paging (``id > last``): the scan-side filter skips earlier pages entirely."""
     d = documents.where(documents_by_org_connector(org_id, connector_id) & (F.col("id") > last_id))
     return d.orderBy("id").limit(limit)
+
+
+# ------------------------------------------------------------------ lookups
+def document_lookup(documents: DataFrame, document_id: str, connector_id: int, org_id: int) -> DataFrame:
+    """A document by its business key (at most one row)."""
+    return documents.where((F.col("document_id") == document_id) & (F.col("connector_id") == connector_id)
+                           & (F.col("org_id") == org_id)).limit(1)
+
+
+def items_by_ids(items: DataFrame, documents: DataFrame, ids: DataFrame, org_id: int) -> DataFrame:
+    """B13 + D10: items whose id is in ``ids`` (a DataFrame with ``id``) and whose own
+    document belongs to the org — a real join, not "any document of the org". A
+    left-semi join, so the id list may be as large as the items table."""
+    docs = documents.where(F.col("org_id") == org_id).select(F.col("id").alias("document_id"))
+    return items.join(ids.select("id"), "id", "left_semi").join(docs, "document_id", "left_semi")
+
+
+def tree_documents(documents: DataFrame, tree_id: str, org_id: int) -> DataFrame:
+    """Documents of one tree (``document_id LIKE '<tree>::%'``) in an org."""
+    return documents.where(F.col("document_id").startswith(tree_id + "::") & (F.col("org_id") == org_id))
+
+
+def insert_if_absent(existing: DataFrame, new: DataFrame, keys=("document_id", "connector_id", "org_id")) -> DataFrame:
+    """Rows of ``new`` whose business key is not in ``existing`` (to append)."""
+    return new.join(existing.select(*keys), list(keys), "left_anti")
+
+
+# ------------------------------------------------------------------ H23 response mapping
+def document_payload(documents: DataFrame) -> DataFrame:
+    """API shape of a document — tags decoded to ``map<key, array<value>>``, data
+    parsed, renamed fields. Rows with a malformed tag get ``payload`` NULL and
+    ``mapping_error`` set (Q14: the caller drops them and reports partial results)."""
+    from quarry.functions.tags import decode_tags
+    kv = decode_tags(F.col("tags"))
+    malformed = F.exists(kv, lambda x: x["key"].isNull())
+    entries = F.aggregate(
+        kv, F.create_map().cast("map<string,array<string>>"),
+        lambda acc, x: F.map_concat(
+            F.map_filter(acc, lambda k, v: k != x["key"]),
+            F.create_map(x["key"], F.concat(F.coalesce(acc[x["key"]], F.array().cast("array<string>")),
+                                            F.array(x["value"])))))
+    payload = F.struct(
+        F.col("id").alias("id"), F.col("org_id").alias("orgId"), F.col("language").alias("language"),
+        F.col("title").alias("title"), F.col("description").alias("description"), entries.alias("tags"),
+        F.try_parse_json(F.col("data")).alias("data"), F.col("connector_id").alias("connectorId"),
+        F.col("document_id").alias("articleId"), F.col("created_at").alias("createdAt"),
+        F.col("updated_at").alias("updatedAt"))
+    return documents.select("*", F.when(malformed, F.lit(None)).otherwise(payload).alias("payload"),
+                            F.when(malformed, F.lit("malformed tag")).alias("mapping_error"))
+
+
+def search_response(hits: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """H23 for search hits: (options, meta). Options whose document cannot be mapped are
+    dropped; ``meta`` reports the dropped count and the partial-result error code."""
+    docs = document_payload(documents).select(F.col("id").alias("document_id"), "payload", "mapping_error")
+    h = hits.join(docs, "document_id", "inner")
+    ok = h.where(F.col("mapping_error").isNull()).select("rank", "item_id", "distance",
+                                                         F.col("payload").alias("document"))
+    meta = h.agg(F.count_if(F.col("mapping_error").isNotNull()).alias("dropped")).select(
+        "dropped", F.when(F.col("dropped") > 0, F.lit(2001)).alias("error_code"))
+    return ok, meta

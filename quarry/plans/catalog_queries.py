@@ -9,7 +9,7 @@ from quarry.operators import catalog as C
 from quarry.operators import resolve as R
 from quarry.operators.filters import SearchFilters
 from quarry.plans.oracle import with_ctes
-from quarry.sources.derived import agent_tags, connectors, gold_documents, search_requests, widgets
+from quarry.sources.derived import agent_tags, connectors, gold_documents, gold_items, search_requests, widgets
 
 ALL_CONNECTORS = [1, 2, 3, 4, 5]
 SQL: dict[str, str] = {}
@@ -153,3 +153,56 @@ QUERIES = {
     "connectors_of_deployment": connectors_of_deployment,
     "has_documents": has_documents,
 }
+
+
+# ---------------------------------------------------------------- lookups / response
+def items_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items a request lists (every embedding labelled 1) that belong to org 1."""
+    from quarry.sources.tables import table
+    ids = table(spark, sf_dir, "embeddings").where(F.col("label") == 1).select(F.col("vec_id").alias("id"))
+    return C.items_by_ids(gold_items(spark, sf_dir), gold_documents(spark, sf_dir), ids, org_id=1) \
+        .select("id", "document_id")
+
+
+SQL["items_by_ids"] = with_ctes(["g_documents", "g_items"], """
+SELECT id, document_id FROM g_items
+WHERE id IN (SELECT vec_id FROM embeddings WHERE label = 1)
+  AND document_id IN (SELECT id FROM g_documents WHERE org_id = 1)""")
+
+
+def tree_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.tree_documents(gold_documents(spark, sf_dir), "t3", org_id=1).select("id", "document_id")
+
+
+SQL["tree_documents"] = with_ctes(["g_documents"], """
+SELECT id, document_id FROM g_documents WHERE starts_with(document_id, 't3::') AND org_id = 1""")
+
+
+def search_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H23 over the flagship hits: decoded tags and parsed data of each option."""
+    from quarry.operators import search as S
+    from quarry.plans.search_queries import ALL_CONNECTORS as AC, query_vector
+    docs = gold_documents(spark, sf_dir)
+    hits = S.search(gold_items(spark, sf_dir), docs,
+                    query_vector(spark, sf_dir), SearchFilters(org_id=1, connectors=AC), limit=10)
+    ok, _ = C.search_response(hits, docs)
+    d = F.col("document")
+    return ok.select(F.col("rank").cast("long"), "item_id", d["articleId"].alias("article_id"),
+                     F.array_join(F.array_sort(F.map_keys(d["tags"])), ",").alias("tag_keys"),
+                     F.array_join(d["tags"]["source"], ",").alias("source_values"),
+                     F.variant_get(d["data"], "$.bucket", "int").alias("bucket"))
+
+
+SQL["search_response"] = with_ctes(["g_documents", "g_items"], """
+, cand AS (
+  SELECT i.id AS item_id, i.document_id,
+         1 - list_cosine_similarity(i.embeddings::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS distance
+  FROM g_items i WHERE i.document_id IN (SELECT id FROM g_documents WHERE org_id = 1 AND connector_id IN (1,2,3,4,5)))
+, best AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY distance, item_id) AS rn FROM cand)
+, ranked AS (SELECT *, row_number() OVER (ORDER BY distance, item_id) AS rank FROM best WHERE rn = 1 AND distance < 1.4)
+SELECT CAST(r.rank AS BIGINT) AS rank, r.item_id, d.document_id AS article_id, 'lang,source,zt_trees_trees' AS tag_keys,
+       substr(d.tags[1], 11, length(d.tags[1]) - 11) AS source_values,
+       CAST(json_extract(d.data, '$.bucket') AS INTEGER) AS bucket
+FROM ranked r JOIN g_documents d ON d.id = r.document_id WHERE r.rank <= 10""")
+
+QUERIES.update({"items_by_ids": items_by_ids, "tree_documents": tree_documents, "search_response": search_response})
