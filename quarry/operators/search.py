@@ -115,30 +115,53 @@ def _merge_topk(cur, new, k, dedup=True):
     return d[keep], it[keep], dc[keep]
 
 
-def _block_search(items: DataFrame, qids, qorgs, qmat, k: int, cutoff: float, dedup: bool = True) -> DataFrame:
+QUERY_CHUNK = 1024  # queries per distance-matrix slice inside a task (memory bound)
+
+
+def _block_search(items: DataFrame, qids, qorgs, qmat, k: int, cutoff: float, dedup: bool = True,
+                  qconns=None, qzt=None, qtrees=None) -> DataFrame:
+    """One pass of a task over its items for one broadcast block of queries.
+
+    Per-query filters (optional): allowed connector ids, tree connector id and
+    allowed tree ids (B2, B4 per request); the org filter is always per query."""
     spark = items.sparkSession
-    bq = spark.sparkContext.broadcast((np.asarray(qids, dtype=np.int64), np.asarray(qorgs, dtype=np.int64),
-                                       np.asarray(qmat, dtype=np.float64)))
+    n = len(qids)
+    payload = (np.asarray(qids, dtype=np.int64), np.asarray(qorgs, dtype=np.int64),
+               np.asarray(qmat, dtype=np.float64),
+               None if qconns is None else [np.asarray(c if c is not None else [], dtype=np.int64) for c in qconns],
+               None if qzt is None else np.asarray([-1 if z is None else z for z in qzt], dtype=np.int64),
+               None if qtrees is None else [None if t is None else np.asarray([f'"{x * 1000}"' for x in t])
+                                            for t in qtrees])
+    bq = spark.sparkContext.broadcast(payload)
     schema = "query_id long, item_id long, document_id long, distance double"
 
     def run(batches):
-        ids, orgs, m = bq.value
+        ids, orgs, m, conns, zts, trees = bq.value
         qn = np.linalg.norm(m, axis=1)
         empty = (np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        best = [empty] * len(ids)
+        best = [empty] * n
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["embeddings"]])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = 1.0 - (x @ m.T) / (np.linalg.norm(x, axis=1)[:, None] * qn[None, :])
+            xn = np.linalg.norm(x, axis=1)
             it = pdf["id"].to_numpy(np.int64)
             dc = pdf["document_id"].to_numpy(np.int64)
             org = pdf["org_id"].to_numpy(np.int64)
-            for j in range(len(ids)):
-                ok = (org == orgs[j]) & (dist[:, j] < cutoff)
-                if ok.any():
-                    best[j] = _merge_topk(best[j], (dist[ok, j], it[ok], dc[ok]), k, dedup)
+            conn = pdf["connector_id"].to_numpy(np.int64) if conns is not None else None
+            tree = pdf["tree_id"].to_numpy(object) if trees is not None else None
+            for c0 in range(0, n, QUERY_CHUNK):
+                c1 = min(n, c0 + QUERY_CHUNK)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dist = 1.0 - (x @ m[c0:c1].T) / (xn[:, None] * qn[None, c0:c1])
+                for j in range(c0, c1):
+                    ok = (org == orgs[j]) & (dist[:, j - c0] < cutoff)
+                    if conns is not None:
+                        ok &= np.isin(conn, conns[j])
+                    if trees is not None and trees[j] is not None and zts[j] >= 0:
+                        ok &= (conn != zts[j]) | np.isin(tree, trees[j])
+                    if ok.any():
+                        best[j] = _merge_topk(best[j], (dist[ok, j - c0], it[ok], dc[ok]), k, dedup)
         rows = [(int(ids[j]), int(b[1][i]), int(b[2][i]), float(b[0][i]))
                 for j, b in enumerate(best) for i in range(len(b[0]))]
         yield pd.DataFrame(rows, columns=["query_id", "item_id", "document_id", "distance"])
@@ -159,9 +182,19 @@ def batch_search(items: DataFrame, documents: DataFrame, queries: DataFrame, fil
     matrix is broadcast in blocks of at most ``MAX_QUERY_BLOCK_BYTES``; larger
     query sets take several passes instead of one oversized broadcast.
 
-    ``dedup=False, threshold=None`` gives G2 per query (k closest chunks)."""
-    docs = documents.where(filter_predicate(filters)).select(F.col("id").alias("document_id"), "org_id")
+    ``dedup=False, threshold=None`` gives G2 per query (k closest chunks). When
+    ``queries`` carries resolved filters (``connectors``, ``zt_connector_id``,
+    ``zt_tree_ids`` from ``resolve_filters``) they are applied per request; the
+    ``filters`` argument holds the predicates common to all requests."""
+    per_request = "connectors" in queries.columns
+    doc_cols = [F.col("id").alias("document_id"), "org_id"]
+    if per_request:
+        from quarry.operators.filters import json_text
+        doc_cols += ["connector_id", json_text(F.col("data"), "tree_id").alias("tree_id")]
+    docs = documents.where(filter_predicate(filters)).select(*doc_cols)
     cand_items = items.select("id", "document_id", "embeddings").join(docs, "document_id", "inner")
+    from quarry.session import materialize
+    queries = materialize(queries)  # read by the count, the dims probe and every block
     n_q = queries.count()
     if n_q == 0:
         return items.sparkSession.createDataFrame([], "query_id long, item_id long, document_id long, "
@@ -170,17 +203,21 @@ def batch_search(items: DataFrame, documents: DataFrame, queries: DataFrame, fil
     per_block = max(1, MAX_QUERY_BLOCK_BYTES // (dims * 8))
     # Hash-assign queries to blocks (no global ordering task); blocks average half the
     # bound and any block collected above it is split again before broadcasting.
-    n_blocks = 2 * ((n_q + per_block - 1) // per_block)
-    blocked = queries.select("query_id", "org_id", "embedding",
-                             F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("_b"))
+    n_blocks = 1 if n_q <= per_block // 2 else 2 * ((n_q + per_block - 1) // per_block)
+    qcols = ["query_id", "org_id", "embedding"] + (
+        ["connectors", "zt_connector_id", "zt_tree_ids"] if per_request else [])
+    blocked = queries.select(*qcols, F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("_b"))
     parts = []
     for b in range(n_blocks):
-        block = blocked.where(F.col("_b") == b).select("query_id", "org_id", "embedding").collect()
+        block = blocked.where(F.col("_b") == b).select(*qcols).collect()
         for s0 in range(0, len(block), per_block):
             sub = block[s0:s0 + per_block]
+            extra = {}
+            if per_request:
+                extra = dict(qconns=[r[3] for r in sub], qzt=[r[4] for r in sub], qtrees=[r[5] for r in sub])
             parts.append(_block_search(cand_items, [r[0] for r in sub], [r[1] for r in sub],
                                        [list(r[2]) for r in sub], k,
-                                       np.inf if threshold is None else 2.0 * threshold, dedup))
+                                       np.inf if threshold is None else 2.0 * threshold, dedup, **extra))
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)

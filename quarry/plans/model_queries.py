@@ -223,3 +223,60 @@ QUERIES.update({
     "summarize_answers": summarize_answers,
     "search_session_events": search_session_events,
 })
+
+
+# ---------------------------------------------------------------- L1 batch
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 for a batch of requests: every click event is a search request; its filters
+    are resolved against widget and connector dimensions (C1-C5), its vector is an
+    embedding chosen by request id, and it gets its top-5 documents (best chunk each,
+    under the threshold) with per-request org, connector and tree-id filters."""
+    from quarry.operators.resolve import resolve_filters
+    from quarry.sources.derived import agent_tags, connectors, search_requests, widgets
+    reqs = search_requests(spark, sf_dir).join(
+        table(spark, sf_dir, "events").where(F.col("event_type") == "click")
+        .select(F.col("event_id").alias("request_id")), "request_id", "left_semi")
+    res = resolve_filters(reqs, widgets(spark, sf_dir), connectors(spark, sf_dir), agent_tags(spark, sf_dir)) \
+        .where(F.col("status") == "ok")
+    emb = table(spark, sf_dir, "embeddings")
+    n_vec = emb.agg(F.count(F.lit(1))).first()[0]  # one scalar
+    q = res.join(emb.select(F.col("vec_id").alias("_v"), "embedding"),
+                 (F.col("request_id") % F.lit(n_vec)) == F.col("_v")).select(
+        F.col("request_id").alias("query_id"), "org_id", "embedding", "connectors", "zt_connector_id", "zt_tree_ids")
+    hits = S.batch_search(gold_items(spark, sf_dir), gold_documents(spark, sf_dir), q,
+                          SearchFilters(connectors=ALL_CONNECTORS), threshold=0.7, k=K)
+    return hits.select(F.col("query_id").alias("request_id"), F.col("rank").cast("long"), "item_id",
+                       "document_id", F.round("distance", 6).alias("distance"))
+
+
+def _search_batch_sql() -> str:
+    from quarry.plans.catalog_queries import _W_SQL
+    from quarry.plans.oracle import with_ctes
+    return with_ctes(["g_documents", "connectors", "widgets", "search_requests"], _W_SQL + f"""
+, nv AS (SELECT count(*) AS n FROM embeddings)
+, req AS (
+  SELECT r.request_id, r.org_id,
+         CASE WHEN r.connectors IS NULL THEN rw.widget_connectors
+              ELSE list_sort(list_intersect(rw.widget_connectors, r.connectors)) END AS conns,
+         rw.zt_connector_id, rw.zt_tree_ids
+  FROM search_requests r JOIN rw ON rw.deployment_id = r.deployment_id AND rw.org_id = r.org_id
+  WHERE r.event_type = 'click')
+, q AS (SELECT req.*, e.embedding::DOUBLE[] AS qv FROM req JOIN embeddings e ON e.vec_id = req.request_id % (SELECT n FROM nv))
+, cand AS (
+  SELECT q.request_id, i.vec_id AS item_id, i.vec_id // 5 AS document_id,
+         1 - list_cosine_similarity(i.embedding::DOUBLE[], q.qv) AS distance
+  FROM q JOIN g_documents d ON d.org_id = q.org_id AND list_contains(q.conns, d.connector_id)
+         AND (q.zt_connector_id IS NULL OR q.zt_tree_ids IS NULL OR d.connector_id <> q.zt_connector_id
+              OR list_contains(list_transform(q.zt_tree_ids, lambda t: '"' || CAST(t * 1000 AS VARCHAR) || '"'),
+                               CAST(json_extract(d.data, '$.tree_id') AS VARCHAR)))
+  JOIN embeddings i ON i.vec_id // 5 = d.id)
+, best AS (SELECT *, row_number() OVER (PARTITION BY request_id, document_id ORDER BY distance, item_id) AS rn
+           FROM cand WHERE distance < 1.4)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, item_id) AS rank
+             FROM best WHERE rn = 1)
+SELECT request_id, CAST(rank AS BIGINT) AS rank, item_id, document_id, round(distance, 6) AS distance
+FROM ranked WHERE rank <= {K}""")
+
+
+SQL["search_batch"] = _search_batch_sql()
+QUERIES["search_batch"] = search_batch
