@@ -93,34 +93,51 @@ def rule_flagged(text) -> Column:
 
 
 # ------------------------------------------------------------------ K1 batch embed
+_MODELS: dict = {}
+
+
+def _model(key, factory):
+    """One model instance per Python worker process (workers are reused across tasks)."""
+    m = _MODELS.get(key)
+    if m is None:
+        m = _MODELS[key] = with_retries(factory())
+    return m
+
+
 def embed(df: DataFrame, text_col: str, dims: int,
           embedder_factory: Callable[[], Callable] = None, out_col: str = "embedding") -> DataFrame:
-    """K1: adds ``out_col`` (array<float>) and ``embed_error`` (NULL when fine)."""
-    factory = embedder_factory or (lambda: HashingEmbedder(dims))
-    schema = T.StructType(df.schema.fields + [
-        T.StructField(out_col, T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())])
+    """K1: adds ``out_col`` (array<float>) and ``embed_error`` (NULL when fine).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = with_retries(factory())
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
-            vecs, errs = [None] * len(texts), [None] * len(texts)
-            idx = [i for i, t in enumerate(texts) if t is not None and len(t) > 0]
-            has = set(idx)
-            for i in range(len(texts)):
-                if i not in has:
-                    errs[i] = "empty text"
-            if idx:
-                m = model([texts[i] for i in idx])
-                for j, i in enumerate(idx):
-                    v = None if m is None or j >= len(m) else m[j]
-                    if v is None or len(v) != dims or not np.all(np.isfinite(np.asarray(v, dtype=np.float64))):
-                        errs[i] = "invalid vector"
-                    else:
-                        vecs[i] = np.asarray(v, dtype=np.float32)
-            yield pdf.assign(**{out_col: vecs, "embed_error": errs})
-
-    return df.mapInPandas(run, schema)
+    A scalar Arrow UDF over the text column only: the other columns of the row stay
+    in the JVM. Marked non-deterministic so the optimizer never evaluates it twice
+    (e.g. once more inside a pushed-down filter on ``embed_error``)."""
+    factory = embedder_factory or (lambda: HashingEmbedder(dims))
+    key = (id(factory), dims)
+    rtype = T.StructType([T.StructField("v", T.ArrayType(T.FloatType())), T.StructField("e", T.StringType())])
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        model = _model(key, factory)
+        t = texts.tolist()
+        vecs, errs = [None] * len(t), [None] * len(t)
+        idx = [i for i, x in enumerate(t) if x is not None and len(x) > 0]
+        has = set(idx)
+        for i in range(len(t)):
+            if i not in has:
+                errs[i] = "empty text"
+        if idx:
+            m = model([t[i] for i in idx])
+            for j, i in enumerate(idx):
+                v = None if m is None or j >= len(m) else m[j]
+                if v is None or len(v) != dims or not np.all(np.isfinite(np.asarray(v, dtype=np.float64))):
+                    errs[i] = "invalid vector"
+                else:
+                    vecs[i] = np.asarray(v, dtype=np.float32)
+        return pd.DataFrame({"v": vecs, "e": errs})
+
+    udf = F.pandas_udf(run, rtype).asNondeterministic()
+    tmp = "_emb_" + out_col
+    return (df.withColumn(tmp, udf(F.col(text_col)))
+            .withColumn(out_col, F.col(tmp)["v"]).withColumn("embed_error", F.col(tmp)["e"]).drop(tmp))
 
 
 def cls_pool(tokens) -> Column:

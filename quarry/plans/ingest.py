@@ -1,6 +1,7 @@
 """Medallion pipelines (I1-I7): raw -> bronze -> silver -> gold, per source kind.
 
-Each stage is a DataFrame -> DataFrame function over many documents at once;
+Each stage is a DataFrame -> DataFrame function over many documents at once
+(sources are spread over task slots where they are read, see ``session.spread``);
 the reference processes one JSON object per call. Gold is produced as one
 row per chunk (``gold_chunks``) from which ``split_gold`` derives the
 documents and items tables. Ids are deterministic hashes of the business
@@ -20,7 +21,6 @@ from quarry.functions.text import (csv_or_empty, details_text, flag, html_to_tex
 from quarry.operators.chunking import chunk
 from quarry.operators.filters import TREE_TAG_KEY
 from quarry.operators.models import embed
-from quarry.session import spread
 
 def _empty_strs():
     return F.array().cast("array<string>")
@@ -52,7 +52,6 @@ def document_key_id(org: Column, conn: Column, doc: Column) -> Column:
 def article_silver(bronze: DataFrame) -> DataFrame:
     """I4: drop details and raw dates, encode tags, normalise content (H10, H4, H5) and
     dates (H7)."""
-    bronze = spread(bronze)
     content = printable_ascii(html_to_text(details_text(F.col("details"))))
     keep = [c for c in bronze.columns if c not in ("details", "createdAt", "updatedAt", "publishedAt", "tags")]
     return bronze.select(
@@ -147,7 +146,6 @@ def tree_silver(bronze: DataFrame) -> DataFrame:
         tags=F.transform(m["tags"], lambda t: F.concat(F.lit(f'"{TREE_TAG_KEY}"."'), t, F.lit('"'))),
         org_id=m["org_id"], active=m["active"], create_date=m["create_date"], last_opened=m["last_opened"],
         last_modified=m["last_modified"], is_private=m["is_private"], language=m["language"])
-    bronze = spread(bronze)
     others = [c for c in bronze.columns if c not in ("meta", "nodes")]
     exploded = bronze.select(meta.alias("meta"), F.explode("nodes").alias("node_id", "n"), *others)
     node = nstruct(
@@ -199,7 +197,7 @@ def embed_chunks(chunks: DataFrame, cfg: EmbedConfig) -> DataFrame:
     if not cfg.enabled:
         return chunks.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn(
             "embed_error", F.lit(None).cast("string"))
-    return embed(spread(chunks), "chunk", cfg.dims, cfg.factory)
+    return embed(chunks, "chunk", cfg.dims, cfg.factory)
 
 
 DOC_COLS = ["org_id", "language", "title", "description", "tags", "data", "connector_id", "document_id",

@@ -88,7 +88,8 @@ def spread(df, min_partitions: int | None = None):
     """Spread rows over the cluster before CPU-heavy per-row work (HTML parsing,
     embedding) when the input has fewer partitions than task slots — e.g. a small
     file written as one row group. Large inputs already have enough partitions and
-    are returned unchanged (no extra shuffle)."""
+    are returned unchanged (no extra shuffle). Call it on source scans: the check
+    plans ``df``, which is cheap for a scan and costly for a long pipeline."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df

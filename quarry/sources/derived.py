@@ -230,7 +230,8 @@ def _iso(ts: F.Column) -> F.Column:
 def article_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knowledge-base articles as delivered (bronze): details are HTML paragraphs of
     the document text; some titles are empty, some dates missing or invalid."""
-    d = table(spark, sf_dir, "documents")
+    from quarry.session import spread
+    d = spread(table(spark, sf_dir, "documents"))
     doc = F.col("doc_id")
     created = _ts(F.lit(EPOCH_2024) + (doc % 365) * DAY)
     paras = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
