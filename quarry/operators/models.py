@@ -257,7 +257,7 @@ def author(requests: DataFrame, tmpl: DataFrame, model_factory=EchoModel, modera
     post = moderate(both.withColumn("_mod_out", F.coalesce("answer", F.lit(""))), "_mod_out", moderator_factory) \
         .withColumnRenamed("flagged", "_post_flag")
     violation = F.when(is_tr, F.col("_pre_flag")).otherwise(F.col("_post_flag"))
-    chain_id = F.concat(F.lit("chain-"), F.xxhash64("request_id").cast("string"))
+    chain_id = F.concat(F.lit("chain-"), F.col("request_id").cast("string"))  # deterministic per request
 
     def log(op, prompt, inp, out):
         return F.struct(op.alias("operation"), prompt.alias("prompt"), _json_str(inp).alias("input"),
@@ -285,11 +285,12 @@ def usage_rows(chains: DataFrame, audit: dict | None = None) -> DataFrame:
     audit = audit or {}
     x = chains.select("chain_id", F.col("operation").alias("chain_operation"),
                       F.posexplode("log").alias("step", "l"))
+    x = x.withColumn("step", F.col("step").cast("int"))
     return x.select(
         F.xxhash64("chain_id", "step").alias("id"), F.col("l.operation").alias("operation"),
         F.col("l.prompt").alias("prompt"), F.col("l.input").alias("input"),
         F.lit(None).cast("string").alias("response"), F.col("l.output").alias("output"),
-        "chain_id", "chain_operation",
+        "chain_id", "chain_operation", "step",
         F.lit(audit.get("user_id")).cast("long").alias("user_id"),
         F.lit(audit.get("org_id")).cast("int").alias("org_id"),
         F.lit(audit.get("project_id")).cast("long").alias("project_id"))

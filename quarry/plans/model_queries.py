@@ -174,8 +174,29 @@ FROM fl"""
 def author_usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8: the usage-log rows the chains write."""
     rows = M.usage_rows(M.author(authoring_requests(spark, sf_dir), M.templates(spark)))
-    return rows.select("chain_id", "operation", "chain_operation", F.length("input").cast("long").alias("input_len"),
-                       "output")
+    return rows.select("chain_id", F.col("step").cast("long").alias("step"), "operation", "chain_operation",
+                       "input", "output")
+
+
+SQL["author_usage_log"] = "WITH " + _tmpl_sql() + _REQ_SQL + f"""
+, ans AS (SELECT *, regexp_replace(string_split(prompt, chr(10) || chr(10))[-1], '^\\s+|\\s+$', '', 'g') AS answer,
+                 regexp_matches(coalesce(text, ''), '{_BLOCK}', 'i') AS pre_flag FROM rendered)
+, fl AS (SELECT *, regexp_matches(coalesce(answer, ''), '{_BLOCK}', 'i') AS post_flag,
+                'chain-' || CAST(request_id AS VARCHAR) AS chain_id FROM ans)
+, steps AS (
+  SELECT chain_id, 0 AS step, operation AS op, operation AS chain_operation, text AS inp,
+         to_json(answer)::VARCHAR AS output FROM fl WHERE operation <> 'translate'
+  UNION ALL
+  SELECT chain_id, 1, 'moderation', operation, answer,
+         CASE WHEN post_flag THEN '"true"' ELSE '"false"' END FROM fl WHERE operation <> 'translate'
+  UNION ALL
+  SELECT chain_id, 0, 'moderation', operation, text,
+         CASE WHEN pre_flag THEN '"true"' ELSE '"false"' END FROM fl WHERE operation = 'translate'
+  UNION ALL
+  SELECT chain_id, 1, operation, operation, text, to_json(answer)::VARCHAR FROM fl
+  WHERE operation = 'translate' AND NOT pre_flag)
+SELECT chain_id, CAST(step AS BIGINT) AS step, op AS operation, chain_operation,
+       to_json(inp)::VARCHAR AS input, output FROM steps"""
 
 
 # ---------------------------------------------------------------- K4 / E10
