@@ -2,11 +2,11 @@
 
 A model is a plain Python callable supplied by the caller (embedder:
 ``list[str] -> array (n, dims)``; text model: ``list[str] -> list[str]``;
-moderator: ``list[str] -> list[bool]``). The operators run it with
-``mapInPandas`` over Arrow batches: the model is built once per Python worker
-by its factory, called once per batch (batched like the reference's batch
-embedding calls), retried with backoff inside the task, and — if a batch
-still fails — Spark's task retry takes over. Rows a model cannot serve (NULL
+moderator: ``list[str] -> list[bool]``). The operators run it as a scalar
+Arrow UDF over the one input column (other columns stay in the JVM): the model
+is built once per Python worker by its factory, called once per Arrow batch
+(batched like the reference's batch embedding calls), retried with backoff
+inside the task, and — if a batch still fails — Spark's task retry takes over. Rows a model cannot serve (NULL
 or wrong-length vectors) are flagged, never written to gold.
 
 Deterministic local models are provided for tests and for the registered
@@ -149,35 +149,39 @@ def cls_pool(tokens) -> Column:
 # ------------------------------------------------------------------ text models
 def apply_text_model(df: DataFrame, prompt_col: str, out_col: str,
                      model_factory: Callable[[], Callable] = EchoModel) -> DataFrame:
-    """Runs a text model over a prompt column (K4/K5): answer trimmed, errors flagged."""
-    schema = T.StructType(df.schema.fields + [
-        T.StructField(out_col, T.StringType()), T.StructField(out_col + "_error", T.StringType())])
+    """Runs a text model over a prompt column (K4/K5): answer trimmed, a failing batch
+    flagged in ``<out_col>_error``. Scalar Arrow UDF over the prompt column only;
+    non-deterministic for the optimizer, so the model is called once per row."""
+    key = ("text", id(model_factory))
+    rtype = T.StructType([T.StructField("a", T.StringType()), T.StructField("e", T.StringType())])
+
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        model = _model(key, model_factory)
+        try:
+            ans = [None if a is None else str(a).strip() for a in model(prompts.tolist())]
+            err = [None] * len(ans)
+        except Exception as ex:  # noqa: BLE001
+            ans, err = [None] * len(prompts), [str(ex)[:200]] * len(prompts)
+        return pd.DataFrame({"a": ans, "e": err})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = with_retries(model_factory())
-        for pdf in batches:
-            try:
-                ans = [None if a is None else str(a).strip() for a in model(pdf[prompt_col].tolist())]
-                err = [None] * len(ans)
-            except Exception as ex:  # noqa: BLE001
-                ans, err = [None] * len(pdf), [str(ex)[:200]] * len(pdf)
-            yield pdf.assign(**{out_col: ans, out_col + "_error": err})
-
-    return df.mapInPandas(run, schema)
+    udf = F.pandas_udf(run, rtype).asNondeterministic()
+    tmp = "_tm_" + out_col
+    return (df.withColumn(tmp, udf(F.col(prompt_col)))
+            .withColumn(out_col, F.col(tmp)["a"]).withColumn(out_col + "_error", F.col(tmp)["e"]).drop(tmp))
 
 
 def moderate(df: DataFrame, text_col: str, model_factory: Callable[[], Callable] | None = None) -> DataFrame:
-    """K6: adds ``flagged``. Without a model the native rule moderator is used."""
+    """K6: adds ``flagged``. Without a model the native rule moderator is used; a model
+    runs as a scalar Arrow UDF over the text column."""
     if model_factory is None:
         return df.withColumn("flagged", rule_flagged(text_col))
-    schema = T.StructType(df.schema.fields + [T.StructField("flagged", T.BooleanType())])
+    key = ("moderation", id(model_factory))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = with_retries(model_factory())
-        for pdf in batches:
-            yield pdf.assign(flagged=[bool(x) for x in model(pdf[text_col].tolist())])
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(x) for x in _model(key, model_factory)(texts.tolist())])
 
-    return df.mapInPandas(run, schema)
+    udf = F.pandas_udf(run, T.BooleanType()).asNondeterministic()
+    return df.withColumn("flagged", udf(F.col(text_col)))
 
 
 VIOLATION_CODE = 200

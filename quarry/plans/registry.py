@@ -26,12 +26,11 @@ def _load():
 def _shipping(fn):
     import functools
 
-    from quarry.session import ensure_checkpoint_dir, ship_package
+    from quarry.session import prepare
 
     @functools.wraps(fn)
     def run(spark, sf_dir):
-        ship_package(spark)
-        ensure_checkpoint_dir(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
     return run
 

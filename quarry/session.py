@@ -41,6 +41,16 @@ def get_spark(master: str | None = None, app: str = "quarry",
     return spark
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings every query relies on when it runs in a session built elsewhere (the
+    caller's): UTC session time zone (timestamps are naive UTC in the data), the
+    checkpoint folder, and the package importable by Python workers."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
 _SHIPPED: set = set()
 
 

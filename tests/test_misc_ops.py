@@ -92,3 +92,32 @@ def test_cls_pool_and_moderation(spark):
     passed, viol = moderation_gate(texts, "text")
     assert [r.id for r in passed.collect()] == [2]
     assert [(r.id, r.error_code) for r in viol.collect()] == [(1, 4019)]
+
+
+def test_pluggable_models(spark):
+    import numpy as np
+
+    from quarry.operators.models import apply_text_model, embed, moderate
+
+    class Upper:
+        def __call__(self, prompts):
+            return [p.upper() + "  " for p in prompts]
+
+    class Shouty:
+        def __call__(self, texts):
+            return [t.isupper() for t in texts]
+
+    class BadDims:
+        def __call__(self, texts):
+            return np.zeros((len(texts), 3))
+
+    df = spark.createDataFrame([(1, "hello"), (2, "")], "id long, t string")
+    out = {r.id: r for r in apply_text_model(df, "t", "answer", Upper).collect()}
+    assert out[1].answer == "HELLO" and out[1].answer_error is None
+    flagged = {r.id: r.flagged for r in moderate(apply_text_model(df, "t", "a", Upper), "a", Shouty).collect()}
+    assert flagged[1] is True
+    e = {r.id: r for r in embed(df, "t", 4, BadDims).collect()}
+    assert e[1].embedding is None and e[1].embed_error == "invalid vector"
+    assert e[2].embed_error == "empty text"
+    ok = {r.id: r for r in embed(df, "t", 8).collect()}
+    assert len(ok[1].embedding) == 8 and ok[1].embed_error is None
