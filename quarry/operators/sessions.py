@@ -67,3 +67,17 @@ def search_event_payload(hits: DataFrame, requests: DataFrame) -> DataFrame:
         F.to_json(F.struct(F.struct("query", "limit").alias("request"),
                            F.coalesce("options", F.array()).alias("options"))).alias("data"),
         n.cast("long").alias("n_options"))
+
+
+def new_sessions(requests: DataFrame, operation: str = "search") -> DataFrame:
+    """One session per request (request_id, deployment_id, causer_id, causer_type,
+    org_id, requested_at). The id is a deterministic UUID-shaped hash of the request,
+    so a retried task creates the same row."""
+    h = F.sha2(F.concat_ws("|", F.lit(operation), F.col("request_id").cast("string")), 256)
+    uid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                      F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return requests.select(
+        uid.alias("id"), F.lit(operation).alias("operation"), "deployment_id",
+        F.lit(None).cast("string").alias("current_deployment_type"), F.lit(None).cast("string").alias("location"),
+        F.lit(None).cast("string").alias("previous_session_id"), F.col("requested_at").alias("created_at"),
+        "causer_id", "causer_type", "org_id")
