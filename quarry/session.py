@@ -89,7 +89,8 @@ def materialize(df):
     files survive executor loss (unlike a local checkpoint) and stay columnar."""
     import uuid
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-tables/{app}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
