@@ -42,12 +42,18 @@ def norm(v) -> Column:
                               lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def _one_minus_ratio(num: Column, den: Column) -> Column:
+    # IEEE semantics for a zero vector (NaN), also under ANSI mode where a plain
+    # division by zero raises; try_divide evaluates each operand once
+    return F.coalesce(F.lit(1.0) - F.try_divide(num, den), F.lit(float("nan")))
+
+
 def cosine_distance(v, q) -> Column:
     """Native expression; ``q`` is a Python sequence (query literal) or a Column."""
     if isinstance(q, Column):
-        return F.lit(1.0) - dot(v, q) / (norm(v) * norm(q))
+        return _one_minus_ratio(dot(v, q), norm(v) * norm(q))
     qn = math.sqrt(sum(float(x) * float(x) for x in q))
-    return F.lit(1.0) - dot(v, vector_literal(q)) / (norm(v) * F.lit(qn))
+    return _one_minus_ratio(dot(v, vector_literal(q)), norm(v) * F.lit(qn))
 
 
 def _matrix(s: pd.Series, dims: int) -> np.ndarray:

@@ -75,3 +75,23 @@ def test_alphabetical_pins_most_relevant(spark):
     out = S.alphabetical(hits, D).orderBy("position").collect()
     assert out[0].rank == 1
     assert [r.title for r in out[1:]] == sorted(r.title for r in out[1:])
+
+
+def test_zero_vector_is_excluded_by_threshold_and_sorts_last(spark):
+    D, I, items = _fixture(spark, n_docs=2)
+    zero = spark.createDataFrame([(999, [0.0] * 8, 1)], "id long, embeddings array<float>, document_id long")
+    I2 = I.unionByName(zero)
+    q = items[0][1]
+    hits = S.search(I2, D, q, SearchFilters(connectors=[1]), threshold=1.0, limit=None)
+    assert 999 not in [r.item_id for r in hits.collect()]
+    best = S.search_best(I2, D, q, SearchFilters(connectors=[1]), n=None)
+    last = best.orderBy(F.col("distance").asc(), F.col("item_id").asc()).collect()[-1]
+    assert last.item_id == 999 and math.isnan(last.distance)
+
+
+def test_suggestions_keep_wildcards(spark):
+    from quarry.operators.catalog import suggestions
+    D, _, _ = _fixture(spark, n_docs=4)
+    D = D.withColumn("description", F.lit(None).cast("string"))
+    got = [r.suggestion for r in suggestions(D, "t%e d", SearchFilters(connectors=[1, 2]), limit=10).collect()]
+    assert got and all(s.startswith("title") for s in got)
