@@ -103,7 +103,7 @@ def csv_or_empty(c) -> Column:
 
 def flag(c) -> Column:
     """H9: ``bool(int(x))``."""
-    return _c(c).cast("int") != 0
+    return _c(c).try_cast("int") != 0  # invalid text gives NULL instead of failing the job
 
 
 def details_text(details) -> Column:

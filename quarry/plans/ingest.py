@@ -181,7 +181,7 @@ def tree_chunks(silver: DataFrame, connector_id: Column, cfg: ChunkConfig) -> Da
                  F.coalesce(page_title, F.lit("")).alias("subtitle")).alias("display")),
         {"ignoreNullFields": "false"})
     docs = n.where(F.length(text) > 0).select(
-        m["org_id"].cast("int").alias("org_id"), m["language"].alias("language"),
+        m["org_id"].try_cast("int").alias("org_id"), m["language"].alias("language"),
         F.concat_ws(" ", tree_name, page_title).alias("title"), m["description"].alias("description"),
         m["tags"].alias("tags"), data.alias("data"), connector_id.cast("int").alias("connector_id"),
         F.concat(m["id"], F.lit("::"), F.col("node_id")).alias("document_id"),

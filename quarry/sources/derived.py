@@ -136,7 +136,7 @@ def agent_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search request per event: deployment, requested connectors, scope parameters."""
     u, et = F.col("user_id"), F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"),
         (u % 3 + 1).cast("int").alias("org_id"),
@@ -384,6 +384,6 @@ def tree_landing(spark: SparkSession, sf_dir: str, old: bool = False) -> DataFra
     r = tree_raw(spark, sf_dir)
     if not old:
         return r
-    t = (F.col("id").cast("long") - 7) / 1000
+    t = (F.col("id").try_cast("long") - 7) / 1000
     return (r.where((t % 4 == 1) | (t % 4 == 3))
             .withColumn("nodes", F.transform_values("nodes", lambda k, v: v.withField("type", F.lit("Content")))))
