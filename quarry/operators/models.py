@@ -18,8 +18,7 @@ from __future__ import annotations
 
 import random
 import time
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd

@@ -96,6 +96,7 @@ def html_chunks(silver: DataFrame, connector_id: Column, cfg: ChunkConfig) -> Da
 
 
 # ------------------------------------------------------------------ decision trees
+# The tree meta keys bronze keeps (in this order).
 TREE_META_KEYS = ["id", "name", "description", "tags", "org_id", "active", "create_date",
                   "last_opened", "last_modified", "is_private", "language"]
 
@@ -103,14 +104,9 @@ TREE_META_KEYS = ["id", "name", "description", "tags", "org_id", "active", "crea
 def tree_bronze(raw: DataFrame, extra: tuple = ()) -> DataFrame:
     """Keep allow-listed meta keys (tags split, flags cast, dates to UTC) and the
     content nodes (B22) with their allow-listed keys (keywords/tag split)."""
-    meta = F.struct(
-        F.col("id").alias("id"), F.col("name").alias("name"), F.col("description").alias("description"),
-        csv_or_empty(F.col("tags")).alias("tags"),
-        F.col("org_id").alias("org_id"), flag(F.col("active")).alias("active"),
-        normalize_date(F.col("create_date")).alias("create_date"),
-        normalize_date(F.col("last_opened")).alias("last_opened"),
-        normalize_date(F.col("last_modified")).alias("last_modified"),
-        flag(F.col("is_private")).alias("is_private"), F.col("language").alias("language"))
+    cast = {"tags": csv_or_empty, "active": flag, "is_private": flag, "create_date": normalize_date,
+            "last_opened": normalize_date, "last_modified": normalize_date}
+    meta = F.struct(*[cast.get(k, lambda c: c)(F.col(k)).alias(k) for k in TREE_META_KEYS])
     nodes = F.transform_values(
         F.map_filter(F.col("nodes"), lambda k, v: v["type"] == "Content"),
         lambda k, v: F.struct(v["page_title"].alias("page_title"), v["content"].alias("content"),

@@ -32,13 +32,6 @@ g_items AS (
   SELECT vec_id AS id, embedding AS embeddings, vec_id // 5 AS document_id FROM embeddings
 )"""
 
-CTES["g_items_text"] = """
-g_items_text AS (
-  SELECT e.vec_id AS id, e.vec_id // 5 AS document_id,
-         substr(d.text, CAST((e.vec_id % 5) * 200 + 1 AS INTEGER), 200) AS snippet
-  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id // 5
-)"""
-
 CTES["connectors"] = """
 connectors AS (
   SELECT connector_id AS id, 'connector-' || CAST(connector_id AS VARCHAR) AS name,
