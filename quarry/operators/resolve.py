@@ -90,13 +90,14 @@ def deployment_connectors(widgets: DataFrame, connectors: DataFrame) -> DataFram
     w = widgets.where(F.col("active"))
     ext = (w.where(F.col("enable_external")).select("deployment_id", F.explode("external_ids").alias("id"))
            .join(act, "id", "inner"))
+    out = ext.select("deployment_id", F.col("id").alias("connector_id"), "provider")
     zt = tree_connector_id(connectors)
-    parts = [ext]
     if zt is not None:
-        parts.append(w.where(F.col("enable_trees")).select("deployment_id", F.lit(zt).cast("int").alias("id"))
-                     .join(act, "id", "inner"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.select("deployment_id", F.col("id").alias("connector_id"), "provider").distinct()
+        # the tree connector is one known scalar: a column, not a join on a literal
+        # (which the optimizer would turn into a nested-loop join)
+        out = out.unionByName(w.where(F.col("enable_trees")).select(
+            "deployment_id", F.lit(zt).cast("int").alias("connector_id"), F.lit(TREE_PROVIDER).alias("provider")))
+    return out.distinct()
 
 
 def deployments_with_documents(widgets: DataFrame, connectors: DataFrame, documents: DataFrame) -> DataFrame:
