@@ -121,3 +121,25 @@ def test_pluggable_models(spark):
     assert e[2].embed_error == "empty text"
     ok = {r.id: r for r in embed(df, "t", 8).collect()}
     assert len(ok[1].embedding) == 8 and ok[1].embed_error is None
+
+
+def test_model_retries_then_raises():
+    from quarry.operators.models import RETRY_ATTEMPTS, with_retries
+    calls, waits = [], []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise RuntimeError("transient")
+        return x * 2
+
+    assert with_retries(flaky, sleep=waits.append)(21) == 42
+    assert len(calls) == 3 and len(waits) == 2 and all(1.0 <= w <= 20.0 for w in waits)
+
+    def broken(x):
+        raise RuntimeError("down")
+
+    import pytest
+    with pytest.raises(RuntimeError):
+        with_retries(broken, sleep=lambda s: None)(1)
+    assert RETRY_ATTEMPTS == 3
