@@ -131,8 +131,8 @@ def search_response(hits: DataFrame, documents: DataFrame) -> tuple[DataFrame, D
     dropped; ``meta`` reports the dropped count and the partial-result error code."""
     docs = document_payload(documents).select(F.col("id").alias("document_id"), "payload", "mapping_error")
     h = hits.join(docs, "document_id", "inner")
-    ok = h.where(F.col("mapping_error").isNull()).select("rank", "item_id", "distance",
-                                                         F.col("payload").alias("document"))
+    keep = [c for c in hits.columns if c != "document_id"]
+    ok = h.where(F.col("mapping_error").isNull()).select(*keep, F.col("payload").alias("document"))
     meta = h.agg(F.count_if(F.col("mapping_error").isNotNull()).alias("dropped")).select(
         "dropped", F.when(F.col("dropped") > 0, F.lit(2001)).alias("error_code"))
     return ok, meta
