@@ -195,18 +195,18 @@ def _filter_sql(pred: str) -> str:
 
 
 def filter_json_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The B6 matrix over every document in one scan: each case is a boolean
+    predicate, and a document row is emitted once per case it passes."""
     import warnings
     d = gold_documents(spark, sf_dir).where(F.col("connector_id").isin(ALL_CONNECTORS))
-    parts = []
+    labels = []
     for name, data, _ in JSON_CASES:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             pred = filter_predicate(SearchFilters(connectors=ALL_CONNECTORS, data=data))
-        parts.append(d.where(pred).select(F.lit(name).alias("case_name"), "id"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        labels.append(F.when(pred, F.lit(name)))
+    hits = F.filter(F.array(*labels), lambda x: x.isNotNull())
+    return d.select(F.explode(hits).alias("case_name"), "id")
 
 
 def _jt_sql(expr: str) -> str:
