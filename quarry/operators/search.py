@@ -150,16 +150,29 @@ def _block_search(items: DataFrame, qids, qorgs, qmat, k: int, cutoff: float, de
             org = pdf["org_id"].to_numpy(np.int64)
             conn = pdf["connector_id"].to_numpy(np.int64) if conns is not None else None
             tree = pdf["tree_id"].to_numpy(object) if trees is not None else None
+            # filter masks depend on the request's filter values only; many requests
+            # share them, so each distinct value is evaluated once per Arrow batch
+            masks: dict = {}
+
+            def mask(key, build):
+                v = masks.get(key)
+                if v is None:
+                    v = masks[key] = build()
+                return v
+
             for c0 in range(0, n, QUERY_CHUNK):
                 c1 = min(n, c0 + QUERY_CHUNK)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     dist = 1.0 - (x @ m[c0:c1].T) / (xn[:, None] * qn[None, c0:c1])
                 for j in range(c0, c1):
-                    ok = (org == orgs[j]) & (dist[:, j - c0] < cutoff)
+                    o = int(orgs[j])
+                    ok = mask(("org", o), lambda: org == o) & (dist[:, j - c0] < cutoff)
                     if conns is not None:
-                        ok &= np.isin(conn, conns[j])
+                        cs = tuple(conns[j].tolist())
+                        ok &= mask(("conn", cs), lambda: np.isin(conn, cs))
                     if trees is not None and trees[j] is not None and zts[j] >= 0:
-                        ok &= (conn != zts[j]) | np.isin(tree, trees[j])
+                        tk = (int(zts[j]), tuple(trees[j].tolist()))
+                        ok &= mask(("tree", tk), lambda: (conn != tk[0]) | np.isin(tree, list(tk[1])))
                     if ok.any():
                         best[j] = _merge_topk(best[j], (dist[ok, j - c0], it[ok], dc[ok]), k, dedup)
         rows = [(int(ids[j]), int(b[1][i]), int(b[2][i]), float(b[0][i]))
