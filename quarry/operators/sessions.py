@@ -52,20 +52,40 @@ def update_sessions(sessions: DataFrame, requests: DataFrame) -> DataFrame:
                       if c in UPDATABLE else F.col(c) for c in sessions.columns])
 
 
-def search_event_payload(hits: DataFrame, requests: DataFrame) -> DataFrame:
+def search_event_payload(hits: DataFrame, requests: DataFrame, documents: DataFrame | None = None,
+                         items: DataFrame | None = None) -> DataFrame:
     """One analytics event per search request: message ``Found {n} options for {q}``
-    and a JSON payload of the options (ids and distances in rank order; at most
-    ``limit`` options per request, so the list is bounded)."""
-    opts = hits.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(F.struct("rank", "item_id", "document_id", "distance"))).alias("options"))
+    and a JSON payload ``{request: {query, limit, sort_by, filters}, options: [{id,
+    snippet, document: {id, connectorId, documentId, title}, distance}]}`` in rank
+    order. At most ``limit`` options per request, so the collected list is bounded.
+    ``documents``/``items`` (optional) supply the option payload."""
+    h = hits
+    if items is not None and "snippet" in items.columns:
+        h = h.join(items.select(F.col("id").alias("item_id"), "snippet"), "item_id", "left")
+    else:
+        h = h.withColumn("snippet", F.lit(None).cast("string"))
+    if documents is not None:
+        d = documents.select(F.col("id").alias("document_id"),
+                             F.struct(F.col("id").alias("id"), F.col("connector_id").alias("connectorId"),
+                                      F.col("document_id").alias("documentId"), F.col("title").alias("title"))
+                             .alias("document"))
+        h = h.join(d, "document_id", "left")
+    else:
+        h = h.withColumn("document", F.struct(F.col("document_id").alias("id")))
+    option = F.struct(F.col("rank").alias("rank"), F.struct(
+        F.col("item_id").alias("id"), F.col("snippet").alias("snippet"), F.col("document").alias("document"),
+        F.col("distance").alias("distance")).alias("o"))
+    opts = h.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"),
+                                       F.array_sort(F.collect_list(option)).alias("options"))
     r = requests.join(opts, "request_id", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
+    req_cols = [F.col(c).alias(c) for c in ("query", "limit", "sort_by", "filters") if c in requests.columns]
     return r.select(
         "request_id",
         F.concat(F.lit("Found "), n.cast("string"), F.lit(" options for "), F.col("query")).alias("message"),
-        F.to_json(F.struct(F.struct("query", "limit").alias("request"),
-                           F.coalesce("options", F.array()).alias("options"))).alias("data"),
+        F.to_json(F.struct(F.struct(*req_cols).alias("request"),
+                           F.coalesce(F.transform("options", lambda x: x["o"]), F.array()).alias("options"))
+                  ).alias("data"),
         n.cast("long").alias("n_options"))
 
 

@@ -225,7 +225,8 @@ def search_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                           SearchFilters(connectors=ALL_CONNECTORS), threshold=0.7, k=K)
     req = q.select("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query"),
                    F.lit(K).alias("limit")).withColumnRenamed("query_id", "request_id")
-    ev = search_event_payload(hits.withColumnRenamed("query_id", "request_id"), req)
+    ev = search_event_payload(hits.withColumnRenamed("query_id", "request_id"), req,
+                              gold_documents(spark, sf_dir), gold_items(spark, sf_dir, with_text=True))
     return ev.select(F.col("request_id").alias("query_id"), "message", "n_options")
 
 

@@ -86,3 +86,20 @@ def test_keyset_paging_matches_offset_paging(spark):
     first = [r.id for r in documents_page(d, 1, None, limit=10, offset=0).collect()]
     second = [r.id for r in documents_page(d, 1, None, limit=10, offset=10).collect()]
     assert [r.id for r in documents_after(d, 1, None, first[-1], 10).collect()] == second
+
+
+def test_search_event_payload_shape(spark):
+    import json
+    hits = spark.createDataFrame([(1, 2, 20, 7, 0.2), (1, 1, 10, 7, 0.1)],
+                                 "request_id long, rank int, item_id long, document_id long, distance double")
+    req = spark.createDataFrame([(1, "test text", 5, "relevance", '{"tags":{}}'), (2, "none", 5, None, None)],
+                                "request_id long, query string, limit int, sort_by string, filters string")
+    docs = spark.createDataFrame([(7, 3, "doc-7", "Title")], "id long, connector_id int, document_id string, title string")
+    items = spark.createDataFrame([(10, "s10"), (20, "s20")], "id long, snippet string")
+    ev = {r.request_id: r for r in SS.search_event_payload(hits, req, docs, items).collect()}
+    assert ev[1].message == "Found 2 options for test text" and ev[2].n_options == 0
+    data = json.loads(ev[1].data)
+    assert data["request"] == {"query": "test text", "limit": 5, "sort_by": "relevance", "filters": '{"tags":{}}'}
+    assert [o["id"] for o in data["options"]] == [10, 20]
+    assert data["options"][0] == {"id": 10, "snippet": "s10", "distance": 0.1,
+                                  "document": {"id": 7, "connectorId": 3, "documentId": "doc-7", "title": "Title"}}
