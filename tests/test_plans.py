@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from quarry.plans import registry
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -12,7 +13,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_pair_producing_joins(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     for op in FORBIDDEN:
