@@ -50,3 +50,21 @@ def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), out=bounds[1:])
     joined = "".join(texts.to_pylist())
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), bounds
+
+
+_LOWER: list[np.ndarray] = []
+#: Code points from here on (private use, tags) count as no letters.
+LETTERS_TO = 0x30000
+
+
+def lower_letters(cps: np.ndarray) -> np.ndarray:
+    """Every code point in lower case if it is a letter, else 0."""
+    if not _LOWER:
+        t = np.zeros(LETTERS_TO + 1, dtype=np.uint32)
+        for c in range(LETTERS_TO):
+            s = chr(c)
+            if s.isalpha():
+                low = s.lower()
+                t[c] = ord(low) if len(low) == 1 else c
+        _LOWER.append(t)
+    return _LOWER[0][np.minimum(cps, LETTERS_TO)]
