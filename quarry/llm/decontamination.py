@@ -51,12 +51,12 @@ def normal(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def q_grams(s: np.ndarray) -> np.ndarray:
     """Hash of every q-gram, by doubling (q is a power of two)."""
-    h, b, n = s, np.uint64(1000003), 1
+    h, b, n = s, 1000003, 1
     while n < Q:
         if len(h) <= n:
             return np.zeros(0, dtype=np.uint64)
-        h = h[:-n] * b + h[n:]
-        b, n = b * b, 2 * n
+        h = h[:-n] * np.uint64(b) + h[n:]
+        b, n = b * b % (1 << 64), 2 * n
     return h * MIX
 
 
@@ -84,7 +84,7 @@ class Pieces:
         grams = [q_grams(t) for t in texts]
         h = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
-        self.hash = h[order]
+        self.hash, self.at, self.n = np.unique(h[order], return_index=True, return_counts=True)
         self.piece = np.repeat(np.arange(len(texts)), [len(g) for g in grams])[order]
         self.pos = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, dtype=np.int64)
         self.sieve = np.zeros(1 << SIEVE, dtype=bool)
@@ -94,9 +94,10 @@ class Pieces:
         """(piece, first diagonal) of every band that reaches its piece's bound."""
         h = q_grams(s)
         at = np.flatnonzero(self.sieve[(h >> np.uint64(64 - SIEVE)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        x = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
+        ok = self.hash[x] == h[at]
+        at, x = at[ok], x[ok]
+        lo, n = self.at[x], self.n[x]
         entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         piece = self.piece[entry]
         band = (np.repeat(at, n) - self.pos[entry] + (PIECE << 4)) // BAND  # never negative
@@ -109,22 +110,21 @@ class Pieces:
     def align(self, s: np.ndarray, piece: np.ndarray, first: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each piece within its band, and where the best alignment ends (``back``: starts)."""
         width, n = 2 * BAND, len(piece)
-        d = np.zeros((n, width), dtype=np.int64)
-        k = np.arange(width)
+        d = np.zeros((n, width), dtype=np.int16)
+        k = np.arange(width, dtype=np.int16)
         pad = np.concatenate([s, [np.uint64(0)]])
         length, rows = self.length[piece], np.arange(n)
-        for i in range(int(length.max(initial=0))):
-            live = i < length
-            p = np.where(live, length - 1 - i, 0) if back else np.minimum(i, length - 1)
-            # back: the text is walked from the band's far end, diagonals reversed
-            j = (first + length - 1 + width - 1 - i)[:, None] - k if back else (first + i)[:, None] + k
-            inside = (j >= 0) & (j < len(s))
-            t = pad[np.where(inside, j, len(s))]
-            same = inside & (t == self.text[piece, p][:, None])
-            e = d + ~same
+        most, least = int(length.max(initial=0)), int(length.min(initial=PIECE))
+        # all that a band can see, once; back: both texts from their ends, so diagonals turn round
+        j = (first + length - 1 + width - 1)[:, None] - np.arange(most + width) if back else first[:, None] + np.arange(most + width)
+        seen = pad[np.where((j >= 0) & (j < len(s)), j, len(s))]
+        seen[(j < 0) | (j >= len(s))] = np.uint64(1 << 33)
+        p = self.text[piece[:, None], np.clip(length[:, None] - 1 - np.arange(most), 0, None)] if back else self.text[piece, :most]
+        for i in range(most):
+            e = d + (seen[:, i:i + width] != p[:, i, None])
             e[:, :-1] = np.minimum(e[:, :-1], d[:, 1:] + 1)
             e = np.minimum.accumulate(e - k, axis=1) + k
-            d = np.where(live[:, None], e, d)
+            d = e if i < least else np.where((i < length)[:, None], e, d)
         best = d.argmin(axis=1)
         if back:
             return d[rows, best], first + width - 1 - best
