@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mixing", "simhash", "tokens", "toxicity", "language", "rollup", "decontamination"]
+MODULES = ["mixing", "simhash", "tokens", "toxicity", "language", "rollup", "secrets", "decontamination"]
 
 
 def load() -> tuple[dict, dict]:
