@@ -71,7 +71,9 @@ class SearchService:
             raise LookupError(f"Widget {req.deployment_id} not found")
         hits = S.search(self.items, self.documents, query_vector, f, threshold=threshold,
                         limit=limit, method=method)
-        if sort_by == "alphabetical" and limit is not None:
+        if sort_by == "alphabetical" and limit is None:
+            hits = S.alphabetical_order(hits, self.documents)
+        elif sort_by == "alphabetical":
             pos = S.alphabetical(hits, self.documents).select("item_id", "position")
             hits = hits.join(pos, "item_id")
         return C.search_response(hits, self.documents)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import materialize
+
 RETRY_ATTEMPTS = 3
 RETRY_WAIT = (1.0, 20.0)  # random exponential backoff bounds, seconds
 
@@ -95,14 +98,43 @@ def rule_flagged(text) -> Column:
 _MODELS: dict = {}
 
 
+def _key() -> str:
+    """A name for the models of one UDF; never given twice."""
+    return uuid.uuid4().hex
+
+
 def _model(key, factory):
     """One model instance per Python worker process (workers are reused across tasks)."""
     m = _MODELS.get(key)
     if m is None:
-        m = _MODELS[key] = with_retries(factory())
+        m = _MODELS[key] = factory()
     return m
 
 
+def _isolated(model: Callable, texts: list) -> tuple[list, list]:
+    """(answers, errors) per text. The whole batch is tried with retries; if it still fails it
+    is halved until the texts that fail alone are found, and the others keep their answers."""
+    out, err = [None] * len(texts), [None] * len(texts)
+
+    def solve(lo: int, hi: int, call: Callable) -> None:
+        try:
+            got = call(texts[lo:hi])
+        except Exception as ex:  # noqa: BLE001
+            if hi - lo == 1:
+                err[lo] = str(ex) or type(ex).__name__
+                return
+            mid = (lo + hi) // 2
+            solve(lo, mid, model)
+            solve(mid, hi, model)
+            return
+        for i in range(lo, hi):
+            out[i] = None if got is None or i - lo >= len(got) else got[i - lo]
+
+    if texts:
+        solve(0, len(texts), with_retries(model))
+    return out, err
+
+
 def embed(df: DataFrame, text_col: str, dims: int,
           embedder_factory: Callable[[], Callable] = None, out_col: str = "embedding") -> DataFrame:
     """K1: adds ``out_col`` (array<float>) and ``embed_error`` (NULL when fine).
@@ -111,7 +143,7 @@ def embed(df: DataFrame, text_col: str, dims: int,
     in the JVM. Marked non-deterministic so the optimizer never evaluates it twice
     (e.g. once more inside a pushed-down filter on ``embed_error``)."""
     factory = embedder_factory or (lambda: HashingEmbedder(dims))
-    key = (id(factory), dims)
+    key = _key()
     rtype = T.StructType([T.StructField("v", T.ArrayType(T.FloatType())), T.StructField("e", T.StringType())])
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -124,10 +156,12 @@ def embed(df: DataFrame, text_col: str, dims: int,
             if i not in has:
                 errs[i] = "empty text"
         if idx:
-            m = model([t[i] for i in idx])
+            m, bad = _isolated(model, [t[i] for i in idx])
             for j, i in enumerate(idx):
-                v = None if m is None or j >= len(m) else m[j]
-                if v is None or len(v) != dims or not np.all(np.isfinite(np.asarray(v, dtype=np.float64))):
+                v = m[j]
+                if bad[j] is not None:
+                    errs[i] = bad[j]
+                elif v is None or len(v) != dims or not np.all(np.isfinite(np.asarray(v, dtype=np.float64))):
                     errs[i] = "invalid vector"
                 else:
                     vecs[i] = np.asarray(v, dtype=np.float32)
@@ -149,18 +183,20 @@ def cls_pool(tokens) -> Column:
 def apply_text_model(df: DataFrame, prompt_col: str, out_col: str,
                      model_factory: Callable[[], Callable] = EchoModel) -> DataFrame:
     """Runs a text model over a prompt column (K4/K5): answer trimmed, a failing batch
-    flagged in ``<out_col>_error``. Scalar Arrow UDF over the prompt column only;
-    non-deterministic for the optimizer, so the model is called once per row."""
-    key = ("text", id(model_factory))
+    flagged in ``<out_col>_error``. A null prompt is not sent to the model. Scalar Arrow UDF
+    over the prompt column only; non-deterministic for the optimizer, so the model is called
+    once per row."""
+    key = _key()
     rtype = T.StructType([T.StructField("a", T.StringType()), T.StructField("e", T.StringType())])
 
     def run(prompts: pd.Series) -> pd.DataFrame:
         model = _model(key, model_factory)
-        try:
-            ans = [None if a is None else str(a).strip() for a in model(prompts.tolist())]
-            err = [None] * len(ans)
-        except Exception as ex:  # noqa: BLE001
-            ans, err = [None] * len(prompts), [str(ex)[:200]] * len(prompts)
+        at = [i for i, p in enumerate(prompts.tolist()) if p is not None]
+        ans, err = [None] * len(prompts), [None] * len(prompts)
+        got, bad = _isolated(model, [prompts.iloc[i] for i in at])
+        for j, i in enumerate(at):
+            ans[i] = None if got[j] is None else str(got[j]).strip()
+            err[i] = bad[j]
         return pd.DataFrame({"a": ans, "e": err})
 
     udf = F.pandas_udf(run, rtype).asNondeterministic()
@@ -171,13 +207,19 @@ def apply_text_model(df: DataFrame, prompt_col: str, out_col: str,
 
 def moderate(df: DataFrame, text_col: str, model_factory: Callable[[], Callable] | None = None) -> DataFrame:
     """K6: adds ``flagged``. Without a model the native rule moderator is used; a model
-    runs as a scalar Arrow UDF over the text column."""
+    runs as a scalar Arrow UDF over the text column; a null text is not flagged and not sent."""
     if model_factory is None:
         return df.withColumn("flagged", rule_flagged(text_col))
-    key = ("moderation", id(model_factory))
+    key = _key()
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(x) for x in _model(key, model_factory)(texts.tolist())])
+        at = [i for i, t in enumerate(texts.tolist()) if t is not None]
+        out = [False] * len(texts)
+        if at:
+            got = with_retries(_model(key, model_factory))([texts.iloc[i] for i in at])
+            for i, x in zip(at, got):
+                out[i] = bool(x)
+        return pd.Series(out, dtype=bool)
 
     udf = F.pandas_udf(run, T.BooleanType()).asNondeterministic()
     return df.withColumn("flagged", udf(F.col(text_col)))
@@ -190,6 +232,8 @@ VIOLATION_ERROR = 4019
 def moderation_gate(df: DataFrame, text_col: str, model_factory=None) -> tuple[DataFrame, DataFrame]:
     """Split into (passed, violations); violations carry code 200 / error 4019."""
     m = moderate(df, text_col, model_factory)
+    if model_factory is not None:
+        m = materialize(m)  # both sides read it: the model runs once
     passed = m.where(~F.col("flagged")).drop("flagged")
     viol = (m.where(F.col("flagged")).drop("flagged")
             .withColumn("code", F.lit(VIOLATION_CODE)).withColumn("error_code", F.lit(VIOLATION_ERROR)))
@@ -250,14 +294,12 @@ def author(requests: DataFrame, tmpl: DataFrame, model_factory=EchoModel, modera
     r = render_prompts(requests, tmpl)
     is_tr = F.col("operation") == "translate"
     # translate: moderation of the input first; the model only runs when it passes
-    pre = moderate(r.withColumn("_mod_in", F.col("text")), "_mod_in", moderator_factory) \
+    # (a null input is not sent to a model, so every step is one pass over all requests)
+    pre = moderate(r.withColumn("_mod_in", F.when(is_tr, F.col("text"))), "_mod_in", moderator_factory) \
         .withColumnRenamed("flagged", "_pre_flag")
-    run_model = ~is_tr | ~F.col("_pre_flag")
-    ran = apply_text_model(pre.where(run_model), "prompt", "answer", model_factory)
-    skipped = (pre.where(~run_model).withColumn("answer", F.lit(None).cast("string"))
-               .withColumn("answer_error", F.lit(None).cast("string")))
-    both = ran.unionByName(skipped)
-    post = moderate(both.withColumn("_mod_out", F.coalesce("answer", F.lit(""))), "_mod_out", moderator_factory) \
+    sent = pre.withColumn("_sent", F.when(~is_tr | ~F.col("_pre_flag"), F.coalesce("prompt", F.lit(""))))
+    both = apply_text_model(sent, "_sent", "answer", model_factory)
+    post = moderate(both.withColumn("_mod_out", F.when(~is_tr, F.col("answer"))), "_mod_out", moderator_factory) \
         .withColumnRenamed("flagged", "_post_flag")
     violation = F.when(is_tr, F.col("_pre_flag")).otherwise(F.col("_post_flag"))
     chain_id = F.concat(F.lit("chain-"), F.col("request_id").cast("string"))  # deterministic per request
@@ -305,8 +347,6 @@ def summarize_answers(contexts: DataFrame, model_factory=EchoModel, template: st
     prompt = F.replace(F.replace(F.lit(template), F.lit("{{context}}"), F.coalesce("context", F.lit(""))),
                        F.lit("{{question}}"), F.coalesce("question", F.lit("")))
     has = F.coalesce(F.col("n_options"), F.lit(0)) > 0
-    withp = contexts.withColumn("prompt", prompt)
-    answered = apply_text_model(withp.where(has), "prompt", "answer", model_factory)
-    empty = (withp.where(~has).withColumn("answer", F.lit(NO_CONTEXT_ANSWER))
-             .withColumn("answer_error", F.lit(None).cast("string")))
-    return answered.unionByName(empty)
+    withp = contexts.withColumn("prompt", prompt).withColumn("_sent", F.when(has, F.col("prompt")))
+    answered = apply_text_model(withp, "_sent", "answer", model_factory)
+    return answered.withColumn("answer", F.when(has, F.col("answer")).otherwise(F.lit(NO_CONTEXT_ANSWER))).drop("_sent")

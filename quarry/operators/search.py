@@ -96,6 +96,17 @@ def alphabetical(hits: DataFrame, documents: DataFrame) -> DataFrame:
     return h.withColumn("position", F.row_number().over(w)).drop("data")
 
 
+def alphabetical_order(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """F2 for a result without a limit: the closest hit first, the rest by (title, node_id),
+    ties by distance. A distributed sort; ``position`` grows in its order, with gaps."""
+    best = hits.agg(F.min(F.struct("distance", "item_id")).alias("b")).first()["b"]  # one row
+    first = F.lit(False) if best is None else F.col("item_id") == best["item_id"]
+    node_id = F.get_json_object(F.col("data"), "$.node_id")
+    h = with_payload(hits, documents, ("title", "data")).withColumn("node_id", node_id)
+    h = h.orderBy(F.when(first, 0).otherwise(1), F.col("title").asc(), F.col("node_id").asc_nulls_first(), "distance", "item_id")
+    return h.withColumn("position", F.monotonically_increasing_id()).drop("data", "title", "node_id")
+
+
 # ------------------------------------------------------------------ K3: many queries
 MAX_QUERY_BLOCK_BYTES = 64 << 20  # broadcast bound for one block of query vectors
 

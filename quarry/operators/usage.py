@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,9 +38,9 @@ def filtered_rows(log: DataFrame, f: UsageFilters) -> DataFrame:
         pat = f"%{f.search}%"
         rows = rows.where(F.col("input").ilike(pat) | F.col("output").ilike(pat))
     if f.start_date:
-        rows = rows.where(F.col("created_at") >= F.lit(datetime.fromisoformat(f.start_date)))
+        rows = rows.where(F.col("created_at") >= F.to_timestamp(F.lit(f.start_date)))
     if f.end_date:
-        rows = rows.where(F.col("created_at") <= F.lit(datetime.fromisoformat(f.end_date)))
+        rows = rows.where(F.col("created_at") <= F.to_timestamp(F.lit(f.end_date)))
     rows = rows.where(F.col("chain_operation").isin(f.prompts or AUTHORING_OPERATIONS))
     if f.org_id:
         rows = rows.where(F.col("org_id") == f.org_id)
@@ -82,7 +81,9 @@ def chain_headers(rows: DataFrame, sort_by: str = "created_at", sort_dir: str =
         F.min(fmt).alias("created_at"),
         F.count(F.lit(1)).alias("n_links"),
     )
-    key = F.col(sort_by) if sort_by in ("created_at", "chain_id", "user_id", "org_id", "project_id") else F.col("created_at")
+    if sort_by not in heads.columns:
+        raise ValueError(f"chains have no column {sort_by} to sort by")
+    key = F.col(sort_by)
     order = key.desc() if sort_dir == "desc" else key.asc()
     # at most one page of rows
     return heads.withColumn("position", F.row_number().over(Window.orderBy(order, F.col("chain_id").asc())))

@@ -20,7 +20,7 @@ from quarry.functions.text import (csv_or_empty, details_text, flag, html_to_tex
                                    printable_ascii, strip_control)
 from quarry.operators.chunking import chunk
 from quarry.operators.filters import TREE_TAG_KEY
-from quarry.operators.models import embed
+from quarry.operators.models import HashingEmbedder, embed  # noqa: F401
 
 def _empty_strs():
     return F.array().cast("array<string>")
@@ -60,11 +60,15 @@ def article_silver(bronze: DataFrame) -> DataFrame:
         content.alias("content"),
         normalize_date(F.col("createdAt")).alias("createdAt"),
         normalize_date(F.col("updatedAt")).alias("updatedAt"),
+        F.col("updatedAt").isNotNull().alias("updatedAtGiven"),
         normalize_date(F.col("publishedAt")).alias("publishedAt"),
     )
 
 
-ARTICLE_DATA_KEYS = ["articleNumber", "contentType", "articleType", "filePath", "version", "publishedAt"]
+def residual(silver: DataFrame, *used: str) -> Column:
+    """JSON of every silver column that no gold column is made of."""
+    rest = [c for c in silver.columns if c not in used]
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(), {"ignoreNullFields": "false"})
 
 
 def article_chunks(silver: DataFrame, cfg: ChunkConfig) -> DataFrame:
@@ -72,11 +76,12 @@ def article_chunks(silver: DataFrame, cfg: ChunkConfig) -> DataFrame:
     docs = silver.where((F.length("content") > 0) | (F.length("title") > 0)).select(
         "org_id", F.col("lang").alias("language"), "title", F.lit(None).cast("string").alias("description"),
         F.coalesce("tags", _empty_strs()).alias("tags"),
-        F.to_json(F.struct(*[F.col(k) for k in ARTICLE_DATA_KEYS if k in silver.columns]),
-                  {"ignoreNullFields": "false"}).alias("data"),
+        residual(silver, "org_id", "lang", "title", "tags", "connector_id", "id", "createdAt", "updatedAt", "updatedAtGiven",
+                 "content").alias("data"),
         "connector_id", F.col("id").alias("document_id"),
         _ts(F.col("createdAt")).alias("created_at"),
-        _ts(F.coalesce("updatedAt", "createdAt")).alias("updated_at"),
+        # Creation stands in for an update that is not given, not for one that can't be read
+        _ts(F.when(F.col("updatedAtGiven"), F.col("updatedAt")).otherwise(F.col("createdAt"))).alias("updated_at"),
         F.col("content").alias("text"))
     return chunk(docs, cfg.method, cfg.max_length, cfg.mode).where(F.col("chunk_no").isNotNull()).drop("text")
 
@@ -84,9 +89,10 @@ def article_chunks(silver: DataFrame, cfg: ChunkConfig) -> DataFrame:
 # ------------------------------------------------------------------ HTML pages
 def html_chunks(silver: DataFrame, connector_id: Column, cfg: ChunkConfig) -> DataFrame:
     """I6 (before embedding): html_id/lang renamed, tags [], dates NULL, data keeps
-    content, url, type and description."""
-    data = F.to_json(F.struct("content", "url", "type", F.lit(None).cast("string").alias("description")),
-                     {"ignoreNullFields": "false"})
+    the other columns (content, url, type and description among them)."""
+    if "description" not in silver.columns:
+        silver = silver.withColumn("description", F.lit(None).cast("string"))
+    data = residual(silver, "org_id", "lang", "title", "id", "connector_id")
     docs = silver.where((F.length("content") > 0) | (F.length("title") > 0)).select(
         "org_id", F.col("lang").alias("language"), "title", F.lit(None).cast("string").alias("description"),
         _empty_strs().alias("tags"), data.alias("data"), connector_id.cast("int").alias("connector_id"),
@@ -204,11 +210,13 @@ def split_gold(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Gold documents, gold items and rejected chunk rows from embedded chunk rows."""
     doc_id = document_key_id(F.col("org_id"), F.col("connector_id"), F.col("document_id"))
     ok = rows.where(F.col("embed_error").isNull() & F.col("chunk_error").isNull())
-    docs = ok.where(F.col("chunk_no") == 0).select(doc_id.alias("id"), *DOC_COLS)
+    # from the first chunk that was accepted, so that no document is lost with its chunk 0
+    docs = (ok.groupBy(doc_id.alias("id")).agg(F.min_by(F.struct(*DOC_COLS), F.struct("chunk_no", "snippet")).alias("d"))
+            .select("id", "d.*"))
     items = ok.select(
         F.xxhash64(F.col("org_id"), F.col("connector_id"), F.col("document_id"), F.col("chunk_no")).alias("id"),
         F.col("embedding").alias("embeddings"), "chunk", "snippet", doc_id.alias("document_id"), "chunk_no",
-        "org_id")
+        "org_id", F.col("document_id").alias("source_id"))
     rejects = rows.where(F.col("embed_error").isNotNull() | F.col("chunk_error").isNotNull())
     return docs, items, rejects
 

@@ -168,11 +168,11 @@ def article_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ART_SILVER_SQL = _ART_DATES_SQL + f"""
 , asv AS (
-  SELECT ab.id, d.doc_id, d.lang,
+  SELECT ab.id, d.doc_id, d.lang, d.source,
          CASE WHEN d.doc_id % 17 = 0 THEN '' ELSE 'Article ' || CAST(d.doc_id AS VARCHAR) END AS title,
          '"source"."' || d.source || '"|"lang"."' || d.lang || '"' AS tags,
          {NON_PRINTABLE.format(x=STRIP_TAGS.format(x="array_to_string(list_transform(list_filter(string_split(coalesce(d.text, ''), chr(10)), lambda p: length(p) > 0), lambda p: '<p>' || p || '</p>'), chr(10))"))} AS content,
-         {_iso_norm_sql('ab.createdAt')} AS createdAt, {_iso_norm_sql('ab.updatedAt')} AS updatedAt,
+         {_iso_norm_sql('ab.createdAt')} AS createdAt, {_iso_norm_sql('ab.updatedAt')} AS updatedAt, ab.updatedAt IS NOT NULL AS updated_given,
          {_iso_norm_sql('ab.publishedAt')} AS publishedAt,
          CAST(d.doc_id % 3 + 1 AS INTEGER) AS org_id
   FROM documents d JOIN ab ON ab.id = 'a' || CAST(d.doc_id AS VARCHAR))"""
@@ -183,18 +183,21 @@ SQL["article_silver"] = ("WITH _x AS (SELECT 1)" + _ART_SILVER_SQL
 
 def article_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.gold_rows(I.embed_chunks(_article_chunks(spark, sf_dir), I.EmbedConfig(dims=64)))
-    return rows.select(F.col("document_id").alias("article_id"), "chunk_no", "chunk", "snippet", "title",
+    return rows.select(F.col("document_id").alias("article_id"), "chunk_no", "chunk", "snippet", "title", "data",
                        F.date_format("created_at", TS_FMT).alias("created_at"),
                        F.date_format("updated_at", TS_FMT).alias("updated_at"),
                        F.size("embedding").cast("long").alias("dims"))
 
 
 SQL["article_gold"] = ("WITH _x AS (SELECT 1)" + _ART_SILVER_SQL + """
-, src AS (SELECT id AS article_id, content AS t, title, title AS ctx, createdAt, updatedAt FROM asv
+, src AS (SELECT id AS article_id, doc_id, content AS t, title, title AS ctx, createdAt, updatedAt, updated_given, publishedAt, source FROM asv
           WHERE length(content) > 0 OR length(title) > 0)""" + _char_chunks_sql("src", "article_id", "suffix") + """
 SELECT c.article_id, c.chunk_no, c.chunk, c.snippet, s.title,
+       '{"articleNumber":"KB' || lpad(CAST(s.doc_id AS VARCHAR), 7, '0') || '","contentType":"article","articleType":"faq","filePath":"/kb/'
+         || s.source || '/' || CAST(s.doc_id AS VARCHAR) || '","version":' || CAST(s.doc_id % 4 + 1 AS VARCHAR)
+         || ',"publishedAt":"' || s.publishedAt || '"}' AS data,
        strftime(CAST(replace(s.createdAt, '+00:00', '') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS created_at,
-       strftime(CAST(replace(coalesce(s.updatedAt, s.createdAt), '+00:00', '') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS updated_at,
+       strftime(CAST(replace(CASE WHEN s.updated_given THEN s.updatedAt ELSE s.createdAt END, '+00:00', '') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS updated_at,
        CAST(64 AS BIGINT) AS dims
 FROM chunks c JOIN src s USING (article_id)""")
 
