@@ -18,13 +18,17 @@ column never leaves the scan stage and document payload is fetched for k rows.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.tags import encode_py
 from quarry.functions.vector import cosine_distance, cosine_distance_arrow
-from quarry.operators.filters import SearchFilters, filter_predicate
+from quarry.operators.filters import TREE_TAG_KEY, SearchFilters, data_literals, filter_predicate, scope_parts
 
 DEFAULT_THRESHOLD = 0.70  # distance cut-off is threshold * 2
 DEFAULT_BEST_N = 5
@@ -108,143 +112,189 @@ def alphabetical_order(hits: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ K3: many queries
-MAX_QUERY_BLOCK_BYTES = 64 << 20  # broadcast bound for one block of query vectors
-
-
-def _merge_topk(cur, new, k, dedup=True):
-    """Merge candidate arrays (dist, item, doc); keep the best chunk per doc (``dedup``)
-    and the k best."""
-    d = np.concatenate([cur[0], new[0]])
-    it = np.concatenate([cur[1], new[1]])
-    dc = np.concatenate([cur[2], new[2]])
-    order = np.lexsort((it, d))
-    d, it, dc = d[order], it[order], dc[order]
-    if not dedup:
-        return d[:k], it[:k], dc[:k]
-    _, first = np.unique(dc, return_index=True)
-    keep = np.sort(first)[:k]
-    return d[keep], it[keep], dc[keep]
-
-
-QUERY_CHUNK = 1024  # queries per distance-matrix slice inside a task (memory bound)
-
-
-def _block_search(items: DataFrame, qids, qorgs, qmat, k: int, cutoff: float, dedup: bool = True,
-                  qconns=None, qzt=None, qtrees=None) -> DataFrame:
-    """One pass of a task over its items for one broadcast block of queries.
-
-    Per-query filters (optional): allowed connector ids, tree connector id and
-    allowed tree ids (B2, B4 per request); the org filter is always per query."""
-    spark = items.sparkSession
-    n = len(qids)
-    payload = (np.asarray(qids, dtype=np.int64), np.asarray(qorgs, dtype=np.int64),
-               np.asarray(qmat, dtype=np.float64),
-               None if qconns is None else [np.asarray(c if c is not None else [], dtype=np.int64) for c in qconns],
-               None if qzt is None else np.asarray([-1 if z is None else z for z in qzt], dtype=np.int64),
-               None if qtrees is None else [None if t is None else np.asarray([f'"{x * 1000}"' for x in t])
-                                            for t in qtrees])
-    bq = spark.sparkContext.broadcast(payload)
-    schema = "query_id long, item_id long, document_id long, distance double"
-
+#: Bytes of vectors in one block of items, and queries in one block at most.
+BLOCK_BYTES = 2 << 20
+BLOCK_QUERIES = 256
+#: Request columns that filter, and the item columns they read.
+REQUEST_FILTERS = {
+    "connectors": "array<int>", "zt_connector_id": "int", "zt_tree_ids": "array<int>", "zt_tags": "array<string>",
+    "tags": "array<string>", "languages": "array<string>", "data": "string",
+    "scope_sources": "array<struct<connectorId:int,action:string,tags:array<string>>>"}
+
+
+class _Items:
+    """One block of items in a task: vectors and filter columns, with the masks already made."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        order = np.lexsort((batch["id"].to_numpy(), batch["document_id"].to_numpy()))
+        batch = batch.take(pa.array(order))  # by document, then by item id
+        self.batch, self.n = batch, batch.num_rows
+        self.ids, self.docs = batch["id"].to_numpy(), batch["document_id"].to_numpy()
+        v = batch["embeddings"]
+        self.vectors = np.asarray(v.flatten(), dtype=np.float64).reshape(self.n, -1)
+        self.norms = np.linalg.norm(self.vectors, axis=1)
+        self.made: dict = {}
+
+    def once(self, key, build):
+        if key not in self.made:
+            self.made[key] = build()
+        return self.made[key]
+
+    def connector(self, c) -> np.ndarray:
+        return self.once(("c", c), lambda: self.batch["connector_id"].to_numpy(zero_copy_only=False) == c)
+
+    def tagged(self, tags) -> np.ndarray:
+        def rows_by_tag():
+            tags_col = self.batch["tags"]
+            row = np.repeat(np.arange(self.n), pc.fill_null(pc.list_value_length(tags_col), 0).to_numpy())
+            out: dict = {}
+            for r, t in zip(row.tolist(), tags_col.flatten().to_pylist()):
+                out.setdefault(t, []).append(r)
+            return out
+
+        by_tag = self.once("tags", rows_by_tag)
+        hit = np.zeros(self.n, dtype=bool)
+        for t in tags:
+            if t is not None:
+                hit[by_tag.get(t, [])] = True
+        return hit
+
+    def json_in(self, key, texts) -> np.ndarray:
+        def parsed():
+            out = []
+            for d in self.batch["data"].to_pylist():
+                try:
+                    out.append(json.loads(d) if d else None)
+                except ValueError:
+                    out.append(None)
+            return out
+
+        have = (json.dumps(d[key], ensure_ascii=False) if isinstance(d, dict) and key in d else None for d in self.once("data", parsed))
+        return np.fromiter((h in texts if h is not None else False for h in have), dtype=bool, count=self.n)
+
+    def language(self, prefixes) -> np.ndarray:
+        langs = self.batch["language"].to_pylist()
+        return np.array([x is not None and x.startswith(tuple(prefixes)) for x in langs], dtype=bool)
+
+    def mask(self, f: dict) -> np.ndarray:
+        """Rows that a request's filters keep: the rules of ``filter_predicate`` on arrays."""
+        ok = np.ones(self.n, dtype=bool)
+        if "connectors" in f:
+            ok &= np.isin(self.batch["connector_id"].to_numpy(zero_copy_only=False), f["connectors"] or [])
+        tree = f.get("zt_connector_id")
+        if tree and f.get("zt_tree_ids"):
+            ok &= ~self.connector(tree) | self.json_in("tree_id", {json.dumps(str(t * 1000)) for t in f["zt_tree_ids"]})
+        if tree and f.get("zt_tags"):
+            ok &= ~self.connector(tree) | self.tagged(encode_py({TREE_TAG_KEY: list(f["zt_tags"])}))
+        if f.get("tags"):
+            ok &= self.tagged(f["tags"])
+        if f.get("data"):
+            for key, texts in data_literals(json.loads(f["data"])).items():
+                ok &= self.json_in(key, set(texts))
+        if f.get("languages"):
+            ok &= self.language(f["languages"])
+        if f.get("scope_sources"):
+            some, every = scope_parts([(s["connectorId"], s["action"], s["tags"]) for s in f["scope_sources"]], self.connector, self.tagged)
+            if some:
+                ok &= np.logical_or.reduce(some)
+            for e in every:
+                ok &= e
+        return ok
+
+
+def _nearest(items: _Items, rows: np.ndarray, queries: np.ndarray, k: int, cutoff: float, dedup: bool):
+    """(query number, row) of the k nearest rows of every query (ties kept), one per document if ``dedup``."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = 1.0 - (items.vectors[rows] @ queries.T) / (items.norms[rows][:, None] * np.linalg.norm(queries, axis=1)[None])
+    d[~(d < cutoff)] = np.inf
+    if dedup:  # rows are sorted by document and item id: the first of a document's nearest rows stays
+        doc = items.docs[rows]
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(doc)]))
+        best = np.minimum.reduceat(d, first, axis=0)
+        at = np.where(d == best[group], np.arange(len(rows))[:, None], len(rows))
+        row = np.minimum.reduceat(at, first, axis=0)
+        d = best
+    else:
+        row = np.broadcast_to(np.arange(len(rows))[:, None], d.shape)
+    if len(d) > k:
+        kth = np.partition(d, k - 1, axis=0)[k - 1]
+        keep = (d <= kth) & np.isfinite(d)
+    else:
+        keep = np.isfinite(d)
+    g, q = np.nonzero(keep)
+    return q, rows[row[g, q]], d[g, q]
+
+
+def _item_blocks(batches):
+    for b in batches:
+        orgs = b["org_id"].to_numpy(zero_copy_only=False)
+        for org in np.unique(orgs):
+            part = b.take(pa.array(np.flatnonzero(orgs == org)))
+            dims = max(1, len(part["embeddings"][0]))
+            step = max(1, BLOCK_BYTES // (4 * dims))
+            for s in range(0, part.num_rows, step):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as w:
+                    w.write_batch(part.slice(s, step))
+                yield pa.RecordBatch.from_arrays([pa.array([int(org)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["org_id", "items"])
+
+
+def _match_blocks(k: int, cutoff: float, dedup: bool):
     def run(batches):
-        ids, orgs, m, conns, zts, trees = bq.value
-        qn = np.linalg.norm(m, axis=1)
-        empty = (np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        best = [empty] * n
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["embeddings"]])
-            xn = np.linalg.norm(x, axis=1)
-            it = pdf["id"].to_numpy(np.int64)
-            dc = pdf["document_id"].to_numpy(np.int64)
-            org = pdf["org_id"].to_numpy(np.int64)
-            conn = pdf["connector_id"].to_numpy(np.int64) if conns is not None else None
-            tree = pdf["tree_id"].to_numpy(object) if trees is not None else None
-            # filter masks depend on the request's filter values only; many requests
-            # share them, so each distinct value is evaluated once per Arrow batch
-            masks: dict = {}
-
-            def mask(key, build):
-                v = masks.get(key)
-                if v is None:
-                    v = masks[key] = build()
-                return v
-
-            for c0 in range(0, n, QUERY_CHUNK):
-                c1 = min(n, c0 + QUERY_CHUNK)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = 1.0 - (x @ m[c0:c1].T) / (xn[:, None] * qn[None, c0:c1])
-                for j in range(c0, c1):
-                    o = int(orgs[j])
-                    ok = mask(("org", o), lambda: org == o) & (dist[:, j - c0] < cutoff)
-                    if conns is not None:
-                        cs = tuple(conns[j].tolist())
-                        ok &= mask(("conn", cs), lambda: np.isin(conn, cs))
-                    if trees is not None and trees[j] is not None and zts[j] >= 0:
-                        tk = (int(zts[j]), tuple(trees[j].tolist()))
-                        ok &= mask(("tree", tk), lambda: (conn != tk[0]) | np.isin(tree, list(tk[1])))
-                    if ok.any():
-                        best[j] = _merge_topk(best[j], (dist[ok, j - c0], it[ok], dc[ok]), k, dedup)
-        rows = [(int(ids[j]), int(b[1][i]), int(b[2][i]), float(b[0][i]))
-                for j, b in enumerate(best) for i in range(len(b[0]))]
-        yield pd.DataFrame(rows, columns=["query_id", "item_id", "document_id", "distance"])
-
-    return items.mapInPandas(run, schema)
+        for b in batches:
+            for raw, asked in zip(b["items"], b["queries"]):
+                items = _Items(pa.ipc.open_stream(raw.as_buffer()).read_next_batch())
+                queries = asked.as_py()
+                out = ([], [], [], [])
+                groups: dict = {}
+                for q in queries:  # requests with equal filters share a mask and a distance matrix
+                    f = {c: q[c] for c in REQUEST_FILTERS if c in q}
+                    groups.setdefault(json.dumps(f, sort_keys=True), (f, []))[1].append(q)
+                for f, qs in groups.values():
+                    rows = np.flatnonzero(items.mask(f))
+                    if not len(rows):
+                        continue
+                    n, row, d = _nearest(items, rows, np.array([q["embedding"] for q in qs], dtype=np.float64), k, cutoff, dedup)
+                    out[0].append(np.array([q["query_id"] for q in qs], dtype=np.int64)[n])
+                    for o, v in zip(out[1:], (items.ids[row], items.docs[row], d)):
+                        o.append(v)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "item_id", "document_id", "distance"])
+
+    return run
 
 
 def batch_search(items: DataFrame, documents: DataFrame, queries: DataFrame, filters: SearchFilters,
                  threshold: float | None = DEFAULT_THRESHOLD, k: int = 10, dedup: bool = True) -> DataFrame:
-    """K3: exact top-k documents (best chunk each, under the threshold) for many query
-    vectors at once. ``queries`` = (query_id, org_id, embedding).
-
-    Each task scans its items once per block of queries, computes an Arrow batch x
-    query-block distance matrix in numpy and keeps a per-query top-k of documents
-    (a document in the global top-k is in the top-k of the task holding its best
-    chunk, so this is exact). Only (task x query x k) candidates are shuffled; a
-    window per (query, document) then per query finishes the merge. The query
-    matrix is broadcast in blocks of at most ``MAX_QUERY_BLOCK_BYTES``; larger
-    query sets take several passes instead of one oversized broadcast.
-
-    ``dedup=False, threshold=None`` gives G2 per query (k closest chunks). When
-    ``queries`` carries resolved filters (``connectors``, ``zt_connector_id``,
-    ``zt_tree_ids`` from ``resolve_filters``) they are applied per request; the
-    ``filters`` argument holds the predicates common to all requests."""
-    per_request = "connectors" in queries.columns
+    """K3/L1: exact top-k documents (best chunk each, under the threshold) for many query
+    vectors at once. ``queries`` = (query_id, org_id, embedding) and any of the columns in
+    ``REQUEST_FILTERS``, which hold each request's own filters (B2-B8; connectors apply
+    whenever the column is there); ``filters`` holds what all requests have in common.
+
+    Items are read once and packed into blocks of one org, queries into blocks of one org;
+    blocks meet in an equality join on the org, so no vector passes the driver and neither
+    side has to fit in memory (a small query side is broadcast by its size, a hot org is
+    split by the skew join). A pair of blocks gives at most the k nearest documents of each
+    query, which two windows merge: a document among the k nearest overall is among those of
+    the block that holds its nearest chunk. ``dedup=False, threshold=None`` gives G2 per query."""
+    asked = [c for c in REQUEST_FILTERS if c in queries.columns]
     doc_cols = [F.col("id").alias("document_id"), "org_id"]
-    if per_request:
-        from quarry.operators.filters import json_text
-        doc_cols += ["connector_id", json_text(F.col("data"), "tree_id").alias("tree_id")]
+    if asked:
+        doc_cols += [F.col("connector_id").cast("int").alias("connector_id"), "tags", "language", "data"]
     docs = documents.where(filter_predicate(filters)).select(*doc_cols)
-    cand_items = items.select("id", "document_id", "embeddings").join(docs, "document_id", "inner")
-    from quarry.session import materialize
-    queries = materialize(queries)  # read by the count, the dims probe and every block
-    n_q = queries.count()
-    if n_q == 0:
-        return items.sparkSession.createDataFrame([], "query_id long, item_id long, document_id long, "
-                                                      "distance double, rank int")
-    dims = len(queries.select("embedding").first()[0])
-    per_block = max(1, MAX_QUERY_BLOCK_BYTES // (dims * 8))
-    # Hash-assign queries to blocks (no global ordering task); blocks average half the
-    # bound and any block collected above it is split again before broadcasting.
-    n_blocks = 1 if n_q <= per_block // 2 else 2 * ((n_q + per_block - 1) // per_block)
-    qcols = ["query_id", "org_id", "embedding"] + (
-        ["connectors", "zt_connector_id", "zt_tree_ids"] if per_request else [])
-    blocked = queries.select(*qcols, F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("_b"))
-    parts = []
-    for b in range(n_blocks):
-        block = blocked.where(F.col("_b") == b).select(*qcols).collect()
-        for s0 in range(0, len(block), per_block):
-            sub = block[s0:s0 + per_block]
-            extra = {}
-            if per_request:
-                extra = dict(qconns=[r[3] for r in sub], qzt=[r[4] for r in sub], qtrees=[r[5] for r in sub])
-            parts.append(_block_search(cand_items, [r[0] for r in sub], [r[1] for r in sub],
-                                       [list(r[2]) for r in sub], k,
-                                       np.inf if threshold is None else 2.0 * threshold, dedup, **extra))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    rows = (items.select(F.col("id").cast("long").alias("id"), "document_id", "embeddings").where(F.size("embeddings") > 0)
+            .join(docs, "document_id", "inner"))
+    item_blocks = rows.mapInArrow(_item_blocks, "org_id long, items binary")
+    n = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()  # two numbers
+    per_block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * max(1, n["dims"] or 1))))
+    n_blocks = max(1, -(-n["n"] // per_block))
+    wanted = F.struct(F.col("query_id").cast("long").alias("query_id"), "embedding", *[F.col(c).cast(REQUEST_FILTERS[c]).alias(c) for c in asked])
+    blocks = (queries.groupBy(F.col("org_id").cast("long").alias("q_org"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"))
+              .agg(F.collect_list(wanted).alias("queries")).select("q_org", "queries"))  # about per_block queries each
+    pairs = item_blocks.join(blocks, F.col("org_id") == F.col("q_org")).select("items", "queries")
+    cutoff = np.inf if threshold is None else 2.0 * threshold
+    cands = pairs.mapInArrow(_match_blocks(k, cutoff, dedup), "query_id long, item_id long, document_id long, distance double")
     best = best_per_document(cands, extra_keys=("query_id",)) if dedup else cands
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("item_id").asc())
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -252,7 +252,8 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1 for a batch of requests: every click event is a search request; its filters
     are resolved against widget and connector dimensions (C1-C5), its vector is an
     embedding chosen by request id, and it gets its top-5 documents (best chunk each,
-    under the threshold) with per-request org, connector and tree-id filters."""
+    under the threshold) under all of its own filters: org, connectors, tree ids, agent tags,
+    content scope, and the tags, languages and data that some requests ask for."""
     from quarry.operators.resolve import resolve_filters
     from quarry.sources.derived import agent_tags, connectors, search_requests, widgets
     reqs = search_requests(spark, sf_dir).join(
@@ -262,9 +263,12 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("status") == "ok")
     emb = table(spark, sf_dir, "embeddings")
     n_vec = emb.agg(F.count(F.lit(1))).first()[0]  # one scalar
-    q = res.join(emb.select(F.col("vec_id").alias("_v"), "embedding"),
-                 (F.col("request_id") % F.lit(n_vec)) == F.col("_v")).select(
-        F.col("request_id").alias("query_id"), "org_id", "embedding", "connectors", "zt_connector_id", "zt_tree_ids")
+    r = F.col("request_id")
+    q = res.join(emb.select(F.col("vec_id").alias("_v"), "embedding"), (r % F.lit(n_vec)) == F.col("_v")).select(
+        r.alias("query_id"), "org_id", "embedding", "connectors", "zt_connector_id", "zt_tree_ids", "zt_tags", "scope_sources",
+        F.when(r % 5 == 1, F.array(F.concat(F.lit('"source"."src'), (r % 20).cast("string"), F.lit('"')), F.lit('"lang"."en"'))).alias("tags"),
+        F.when(r % 3 == 1, F.array(F.lit("en"), F.lit("f"))).alias("languages"),
+        F.when(r % 7 == 2, F.lit('{"bucket": [1, 2, 3, 4, 5, 6]}')).when(r % 7 == 4, F.lit('{"source": "src0", "none": {"no": 1}}')).alias("data"))
     hits = S.batch_search(gold_items(spark, sf_dir), gold_documents(spark, sf_dir), q,
                           SearchFilters(connectors=ALL_CONNECTORS), threshold=0.7, k=K)
     return hits.select(F.col("query_id").alias("request_id"), F.col("rank").cast("long"), "item_id",
@@ -274,14 +278,18 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _search_batch_sql() -> str:
     from quarry.plans.catalog_queries import _W_SQL
     from quarry.plans.oracle import with_ctes
-    return with_ctes(["g_documents", "connectors", "widgets", "search_requests"], _W_SQL + f"""
+    return with_ctes(["g_documents", "connectors", "widgets", "agent_tags", "search_requests"], _W_SQL + f"""
 , nv AS (SELECT count(*) AS n FROM embeddings)
 , req AS (
   SELECT r.request_id, r.org_id,
          CASE WHEN r.connectors IS NULL THEN rw.widget_connectors
               ELSE list_sort(list_intersect(rw.widget_connectors, r.connectors)) END AS conns,
-         rw.zt_connector_id, rw.zt_tree_ids
+         rw.zt_connector_id, rw.zt_tree_ids, rw.user_id,
+         CASE WHEN r.team_param = 't' || CAST(rw.user_id % 4 AS VARCHAR) THEN 'a'
+              WHEN r.team_param = 't' || CAST((rw.user_id + 1) % 4 AS VARCHAR) THEN 'b' END AS scope,
+         CASE WHEN r.causer_type = 'App\\Models\\Agent' AND len(a.tags) > 0 THEN a.tags END AS zt_tags
   FROM search_requests r JOIN rw ON rw.deployment_id = r.deployment_id AND rw.org_id = r.org_id
+  LEFT JOIN agent_tags a ON a.agent_id = r.causer_id
   WHERE r.event_type = 'click')
 , q AS (SELECT req.*, e.embedding::DOUBLE[] AS qv FROM req JOIN embeddings e ON e.vec_id = req.request_id % (SELECT n FROM nv))
 , cand AS (
@@ -291,6 +299,16 @@ def _search_batch_sql() -> str:
          AND (q.zt_connector_id IS NULL OR q.zt_tree_ids IS NULL OR d.connector_id <> q.zt_connector_id
               OR list_contains(list_transform(q.zt_tree_ids, lambda t: '"' || CAST(t * 1000 AS VARCHAR) || '"'),
                                CAST(json_extract(d.data, '$.tree_id') AS VARCHAR)))
+         AND (q.zt_connector_id IS NULL OR q.zt_tags IS NULL OR d.connector_id <> q.zt_connector_id
+              OR list_has_any(d.tags, list_transform(q.zt_tags, lambda t: '"zt_trees_trees"."' || t || '"')))
+         AND (q.request_id % 5 <> 1 OR list_has_any(d.tags, ['"source"."src' || CAST(q.request_id % 20 AS VARCHAR) || '"', '"lang"."en"']))
+         AND (q.request_id % 3 <> 1 OR d.language LIKE 'en%' OR d.language LIKE 'f%')
+         AND (q.request_id % 7 <> 2 OR CAST(json_extract(d.data, '$.bucket') AS INTEGER) IN (1, 2, 3, 4, 5, 6))
+         AND (q.request_id % 7 <> 4 OR json_extract_string(d.data, '$.source') = 'src0')
+         AND (q.scope IS NULL
+              OR (q.scope = 'a' AND (d.connector_id = 3 OR (d.connector_id = 2 AND list_contains(d.tags, '"lang"."en"'))))
+              OR (q.scope = 'b' AND d.connector_id = 4 AND d.connector_id <> 1
+                  AND NOT list_contains(d.tags, '"source"."src' || CAST(q.user_id % 20 AS VARCHAR) || '"')))
   JOIN embeddings i ON i.vec_id // 5 = d.id)
 , best AS (SELECT *, row_number() OVER (PARTITION BY request_id, document_id ORDER BY distance, item_id) AS rn
            FROM cand WHERE distance < 1.4)
