@@ -169,7 +169,10 @@ class _Items:
                     out.append(None)
             return out
 
-        have = (json.dumps(d[key], ensure_ascii=False) if isinstance(d, dict) and key in d else None for d in self.once("data", parsed))
+        def text(v):  # 4.0 and 4 are one number
+            return json.dumps(int(v) if isinstance(v, float) and v.is_integer() else v, ensure_ascii=False)
+
+        have = (text(d[key]) if isinstance(d, dict) and key in d else None for d in self.once("data", parsed))
         return np.fromiter((h in texts if h is not None else False for h in have), dtype=bool, count=self.n)
 
     def language(self, prefixes) -> np.ndarray:
