@@ -269,9 +269,10 @@ def tree_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NODE_SQL = f"""
 , nodes AS (
   SELECT CAST((doc_id // 10) * 1000 + 7 AS VARCHAR) AS tree_id, doc_id // 10 AS tree, CAST(doc_id % 10 AS VARCHAR) AS node_id,
-         {CONTROL.format(x=STRIP_TAGS.format(x="'<b>' || substr(text, 1, 24) || '</b>'"))} AS page_title,
+         {CONTROL.format(x=STRIP_TAGS.format(x="'<b>' || CASE WHEN doc_id % 12 = 11 THEN text ELSE source || ' ' || CAST(doc_id AS VARCHAR) END || '</b>'"))} AS page_title,
          CASE WHEN doc_id % 6 = 5 THEN '' ELSE {CONTROL.format(x=STRIP_TAGS.format(x="'<p id=\"x\">' || text || '</p>'"))} END AS content,
-         CASE WHEN doc_id % 3 = 0 THEN 'Is this ' || source || '?' ELSE '' END AS question,
+         CASE WHEN doc_id % 12 = 5 THEN {CONTROL.format(x=STRIP_TAGS.format(x="'<p>' || text || '</p>'"))}
+              WHEN doc_id % 3 = 0 THEN 'Is this ' || source || '?' ELSE '' END AS question,
          source || '|' || lang AS keywords, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS tag
   FROM documents WHERE doc_id % 10 <> 9)"""
 

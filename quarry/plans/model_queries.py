@@ -69,13 +69,13 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["context_assembly"] = _Q_SQL.replace("WITH q AS", "WITH q AS", 1) + f"""
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank
              FROM cand WHERE NOT isnan(distance))
-, top AS (SELECT r.query_id, r.rank, substr(d.text, CAST((r.item_id % 5) * 200 + 1 AS INTEGER), 200) AS snippet
+, top AS (SELECT r.query_id, r.rank, substr(d.text, CAST((r.item_id % 5) * ((length(d.text) + 4) // 5) + 1 AS INTEGER), CAST((length(d.text) + 4) // 5 AS INTEGER)) AS snippet
           FROM ranked r LEFT JOIN documents d ON d.doc_id = r.document_id WHERE rank <= {K})
 SELECT query_id, string_agg(snippet, ' ' ORDER BY rank) AS context, count(*) AS n_options FROM top GROUP BY query_id"""
 
 
 def batch_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 over every document description (first 80 characters of the text)."""
+    """K1 over every document description (the whole text)."""
     d = gold_documents(spark, sf_dir).select("id", "description")
     e = M.embed(d, "description", 64)
     return e.select("id", F.size("embedding").cast("long").alias("dims"), "embed_error",

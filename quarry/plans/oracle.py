@@ -14,7 +14,7 @@ g_documents AS (
          CAST(doc_id % 3 + 1 AS INTEGER) AS org_id,
          lang AS language,
          concat_ws(' ', source, lang, CAST(doc_id AS VARCHAR)) AS title,
-         substr(text, 1, 80) AS description,
+         text AS description,
          ['"source"."' || source || '"', '"lang"."' || lang || '"',
           '"zt_trees_trees"."tt' || CAST(doc_id % 7 AS VARCHAR) || '"'] AS tags,
          '{"bucket":' || CAST(n_chars % 10 AS VARCHAR) || ',"source":"' || source
@@ -109,7 +109,7 @@ usage_log AS (
   SELECT conv_id * 1000 + turn AS id,
          CASE WHEN role = 'user' THEN {_OPS_SQL}[conv_id % 9 + 1] ELSE 'moderation' END AS operation,
          {json_quote_sql("text")} AS input,
-         CASE WHEN role = 'user' THEN {json_quote_sql("substr(text, 1, 60)")}
+         CASE WHEN role = 'user' THEN {json_quote_sql("text")}
               WHEN length(text) % 5 = 0 THEN '"true"' ELSE '"false"' END AS output,
          'chain-' || CAST(conv_id AS VARCHAR) AS chain_id,
          {_OPS_SQL}[conv_id % 9 + 1] AS chain_operation,

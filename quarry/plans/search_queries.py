@@ -165,9 +165,9 @@ FILTER_CASES: dict[str, tuple[SearchFilters, str]] = {
 # B6 matrix over the derived `data` JSON ({"bucket": int, "source": str, "tree_id": str}).
 JSON_CASES: list[tuple[str, dict, str]] = [
     ("none", {}, "TRUE"),
-    ("missing_key", {"Nope!": "value"}, "FALSE"),
+    ("missing_key", {"absent": "src1"}, "FALSE"),
     ("str_eq", {"source": "src3"}, "jt(data,'source') = '\"src3\"'"),
-    ("str_wrong", {"source": "wrong-value"}, "jt(data,'source') = '\"wrong-value\"'"),
+    ("str_wrong", {"source": "src"}, "jt(data,'source') = '\"src\"'"),
     ("int_eq", {"bucket": 3}, "jt(data,'bucket') = '3'"),
     ("int_as_str", {"bucket": "3"}, "jt(data,'bucket') = '\"3\"'"),
     ("str_and_int", {"source": "src3", "bucket": 3},

@@ -40,7 +40,7 @@ def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (doc % 3 + 1).cast("int").alias("org_id"),
         F.col("lang").alias("language"),
         F.concat_ws(" ", "source", "lang", doc.cast("string")).alias("title"),
-        F.substring("text", 1, 80).alias("description"),
+        F.col("text").alias("description"),
         F.array(
             F.concat(F.lit('"source"."'), "source", F.lit('"')),
             F.concat(F.lit('"lang"."'), "lang", F.lit('"')),
@@ -59,7 +59,7 @@ def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_items(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
-    """Items: five chunks per document (``vec_id div 5``); text slices on demand."""
+    """Items: five chunks per document (``vec_id div 5``), the fifths of its text on demand."""
     e = table(spark, sf_dir, "embeddings")
     items = e.select(
         F.col("vec_id").alias("id"),
@@ -70,9 +70,10 @@ def gold_items(spark: SparkSession, sf_dir: str, with_text: bool = False) -> Dat
         return items
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     return (items.join(d, "document_id", "left")
-            .withColumn("snippet", F.expr("substring(text, cast((id % 5) * 200 + 1 as int), 200)"))
+            .withColumn("_fifth", F.ceil(F.length("text") / 5).cast("int"))
+            .withColumn("snippet", F.expr("substring(text, cast((id % 5) * _fifth + 1 as int), _fifth)"))
             .withColumn("chunk", F.col("snippet"))
-            .drop("text"))
+            .drop("text", "_fifth"))
 
 
 def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +173,7 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_user = F.col("role") == "user"
     op = F.when(is_user, chain_op).otherwise(F.lit("moderation"))
     created = _ts(F.lit(EPOCH_2024) + F.col("conv_id") * 3600 + F.col("turn") * 60)
-    out = F.when(is_user, json_quote(F.substring("text", 1, 60))).otherwise(
+    out = F.when(is_user, json_quote(F.col("text"))).otherwise(
         F.when(F.length("text") % 5 == 0, F.lit('"true"')).otherwise(F.lit('"false"')))
     return cv.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
@@ -290,10 +291,13 @@ def tree_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     node = F.struct(
         F.when(doc % NODES_PER_TREE == NODES_PER_TREE - 1, F.lit("Question")).otherwise(F.lit("Content")).alias("type"),
-        F.concat(F.lit("<b>"), F.substring("text", 1, 24), F.lit("</b>")).alias("page_title"),
+        # a node without content has its text as page title or as question
+        F.concat(F.lit("<b>"), F.when(doc % 12 == 11, F.col("text")).otherwise(F.concat_ws(" ", "source", doc.cast("string"))),
+                 F.lit("</b>")).alias("page_title"),
         F.when(doc % 6 == 5, F.lit("")).otherwise(
             F.concat(F.lit('<p id="x">'), F.col("text"), F.lit("</p>"))).alias("content"),
-        F.when(doc % 3 == 0, F.concat(F.lit("Is this "), F.col("source"), F.lit("?"))).otherwise(F.lit("")).alias("question"),
+        F.when(doc % 12 == 5, F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")))
+         .when(doc % 3 == 0, F.concat(F.lit("Is this "), F.col("source"), F.lit("?"))).otherwise(F.lit("")).alias("question"),
         F.concat_ws(",", "source", "lang").alias("keywords"),
         F.when(doc % 2 == 0, F.col("lang")).otherwise(F.lit("")).alias("tag"),
     )
