@@ -43,14 +43,12 @@ def tag_connector_counts(documents: DataFrame, org_id: int) -> DataFrame:
 
 
 def distinct_tags(documents: DataFrame, org_id: int) -> DataFrame:
-    """Distinct tags decoded and grouped key -> sorted distinct values.
-
-    The distinct runs first (partial aggregation), so the per-key lists hold
-    only the tag vocabulary, never per-document rows."""
+    """Distinct tags decoded, one row per (key, value). A key's values are rows and not a
+    list, so a key with a large vocabulary never meets in one row or task."""
     tags = (documents.where(F.col("org_id") == org_id)
             .select(F.explode("tags").alias("tag")).distinct())
     kv = tags.select(tag_key("tag").alias("key"), tag_value("tag").alias("value")).where(F.col("key").isNotNull())
-    return kv.groupBy("key").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    return kv.distinct()
 
 
 def languages(documents: DataFrame, org_id: int) -> DataFrame:

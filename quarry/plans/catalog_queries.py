@@ -43,15 +43,14 @@ FROM x GROUP BY tag, connector_id""")
 
 
 def distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = C.distinct_tags(gold_documents(spark, sf_dir), org_id=1)
-    return t.select("key", F.array_join("values", "|").alias("values"))
+    return C.distinct_tags(gold_documents(spark, sf_dir), org_id=1)
 
 
 SQL["distinct_tags"] = with_ctes(["g_documents"], """
 , x AS (SELECT DISTINCT unnest(tags) AS tag FROM g_documents WHERE org_id = 1)
 , kv AS (SELECT trim(regexp_extract(tag, '"(.*)"\\."(.*)"', 1), '"') AS key,
                 trim(regexp_extract(tag, '"(.*)"\\."(.*)"', 2), '"') AS value FROM x)
-SELECT key, array_to_string(list_sort(list(DISTINCT value)), '|') AS values FROM kv GROUP BY key""")
+SELECT DISTINCT key, value FROM kv""")
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +70,17 @@ SELECT id, document_id, title, language FROM g_documents WHERE org_id = 2 AND co
 ORDER BY id LIMIT 20 OFFSET 40""")
 
 
+def documents_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 by key: the page behind a document id; the scan skips all pages before."""
+    d = C.documents_after(gold_documents(spark, sf_dir), org_id=2, connector_id=3, last_id=100, limit=20)
+    return d.select("id", "document_id", "title", "language")
+
+
+SQL["documents_after"] = with_ctes(["g_documents"], """
+SELECT id, document_id, title, language FROM g_documents WHERE org_id = 2 AND connector_id = 3 AND id > 100
+ORDER BY id LIMIT 20""")
+
+
 def _resolved(spark, sf_dir):
     return R.resolve_filters(search_requests(spark, sf_dir), widgets(spark, sf_dir),
                              connectors(spark, sf_dir), agent_tags(spark, sf_dir))
@@ -149,6 +159,7 @@ QUERIES = {
     "distinct_tags": distinct_tags,
     "languages": languages,
     "documents_page": documents_page,
+    "documents_after": documents_after,
     "resolve_filters": resolve_filters,
     "connectors_of_deployment": connectors_of_deployment,
     "has_documents": has_documents,

@@ -83,6 +83,12 @@ def batch_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("sq_norm"))
 
 
+SQL["batch_embed"] = """
+SELECT doc_id AS id, CASE WHEN length(text) > 0 THEN CAST(64 AS BIGINT) END AS dims,
+       CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty text' END AS embed_error,
+       CASE WHEN length(text) > 0 THEN CAST(1 AS DOUBLE) END AS sq_norm FROM documents"""
+
+
 def moderation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6 + B24 over every document text: passed / violation (error 4019)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -28,7 +28,7 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    rows_only = {"chunk_sentences", "batch_embed"}  # see README
+    rows_only = {"chunk_sentences"}  # see README
     assert set(NAMES) - set(registry.oracle_sql()) == rows_only
 
 
