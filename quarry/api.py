@@ -103,6 +103,9 @@ class SearchService:
     def languages(self, org_id: int) -> DataFrame:
         return C.languages(self.documents, org_id)
 
+    def org_connectors(self, org_id: int) -> DataFrame:
+        return R.org_connectors(self.connectors, org_id)
+
     def deployment_connectors(self) -> DataFrame:
         return R.deployment_connectors(self.widgets, self.connectors)
 

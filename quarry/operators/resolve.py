@@ -4,8 +4,7 @@ The reference resolves one request at a time against REST dimensions; here a
 DataFrame of requests is joined to dimension DataFrames (widgets, connectors,
 agent tags). Dimensions are joined with plain equi-joins so AQE broadcasts
 them when their runtime size is under the broadcast threshold and falls back
-to a shuffle join otherwise; no dimension is collected to the driver except
-the single tree-connector id (one scalar).
+to a shuffle join otherwise; no dimension is collected to the driver.
 """
 
 from __future__ import annotations
@@ -25,36 +24,32 @@ def active_connectors(connectors: DataFrame) -> DataFrame:
     return connectors.where(F.col("active") & F.col("type_active"))
 
 
-def tree_connector_id(connectors: DataFrame) -> int | None:
-    """First active connector of the tree provider (one bounded scalar)."""
-    row = (active_connectors(connectors).where(F.col("provider") == TREE_PROVIDER)
-           .agg(F.min("id").alias("id")).first())
-    return None if row is None else row["id"]
+def tree_connectors(connectors: DataFrame) -> DataFrame:
+    """(org_id, zt): the first active connector of the tree provider, per org."""
+    return active_connectors(connectors).where(F.col("provider") == TREE_PROVIDER).groupBy("org_id").agg(F.min("id").cast("int").alias("zt"))
 
 
-def widget_connectors(widgets: DataFrame, connectors: DataFrame, zt: int | None) -> DataFrame:
-    """(deployment_id, widget_connectors) — tree connector if trees are enabled plus
-    the external ids if external sources are enabled, kept only when active."""
-    zt_arr = F.array(F.lit(zt).cast("int")) if zt is not None else _empty_ints()
-    cand = widgets.select("deployment_id", F.explode(F.concat(
-        F.when(F.col("enable_trees"), zt_arr).otherwise(_empty_ints()),
-        F.when(F.col("enable_external"), F.col("external_ids")).otherwise(_empty_ints()))).alias("cid"))
-    kept = cand.join(active_connectors(connectors).select(F.col("id").alias("cid")), "cid", "left_semi")
+def widget_connectors(widgets: DataFrame, connectors: DataFrame) -> DataFrame:
+    """(deployment_id, widget_connectors) of widgets with ``zt``: the org's tree connector if
+    trees are enabled plus the external ids if external sources are enabled, kept only when
+    active in the widget's org."""
+    zt_arr = F.when(F.col("enable_trees") & F.col("zt").isNotNull(), F.array("zt")).otherwise(_empty_ints())
+    cand = widgets.select("deployment_id", "org_id", F.explode(F.concat(
+        zt_arr, F.when(F.col("enable_external"), F.col("external_ids")).otherwise(_empty_ints()))).alias("cid"))
+    kept = cand.join(active_connectors(connectors).select("org_id", F.col("id").alias("cid")), ["org_id", "cid"], "left_semi")
     return kept.groupBy("deployment_id").agg(F.array_sort(F.collect_set("cid")).alias("widget_connectors"))
 
 
 def resolved_widgets(widgets: DataFrame, connectors: DataFrame) -> DataFrame:
     """Active widgets with their connector set, tree connector and tree ids."""
-    zt = tree_connector_id(connectors)
-    w = widgets.where(F.col("active"))
-    wc = widget_connectors(w, connectors, zt)
-    zt_col = F.lit(zt).cast("int")
+    w = widgets.where(F.col("active")).join(tree_connectors(connectors), "org_id", "left")
+    wc = widget_connectors(w, connectors)
     return (w.join(wc, "deployment_id", "left")
             .withColumn("widget_connectors", F.coalesce("widget_connectors", _empty_ints()))
-            .withColumn("zt_connector_id", F.when(F.col("enable_trees"), zt_col))
-            .withColumn("zt_tree_ids", F.when(F.col("enable_trees") & ~F.col("all_trees") & zt_col.isNotNull(),
+            .withColumn("zt_connector_id", F.when(F.col("enable_trees"), F.col("zt")))
+            .withColumn("zt_tree_ids", F.when(F.col("enable_trees") & ~F.col("all_trees") & F.col("zt").isNotNull(),
                                               F.col("tree_ids")))
-            .withColumn("zt_missing", F.col("enable_trees") & zt_col.isNull()))
+            .withColumn("zt_missing", F.col("enable_trees") & F.col("zt").isNull()).drop("zt"))
 
 
 def resolve_filters(requests: DataFrame, widgets: DataFrame, connectors: DataFrame,
@@ -84,20 +79,21 @@ def resolve_filters(requests: DataFrame, widgets: DataFrame, connectors: DataFra
 
 
 def deployment_connectors(widgets: DataFrame, connectors: DataFrame) -> DataFrame:
-    """Per active deployment, external connectors listed in the widget (if enabled)
-    plus the tree connector (if trees are enabled); one row per connector."""
-    act = active_connectors(connectors)
+    """Per active deployment, its org's active external connectors listed in the widget (if
+    enabled) plus the org's tree connector (if trees are enabled); one row per connector."""
+    act = active_connectors(connectors).select("org_id", "id", "provider")
     w = widgets.where(F.col("active"))
-    ext = (w.where(F.col("enable_external")).select("deployment_id", F.explode("external_ids").alias("id"))
-           .join(act, "id", "inner"))
-    out = ext.select("deployment_id", F.col("id").alias("connector_id"), "provider")
-    zt = tree_connector_id(connectors)
-    if zt is not None:
-        # the tree connector is one known scalar: a column, not a join on a literal
-        # (which the optimizer would turn into a nested-loop join)
-        out = out.unionByName(w.where(F.col("enable_trees")).select(
-            "deployment_id", F.lit(zt).cast("int").alias("connector_id"), F.lit(TREE_PROVIDER).alias("provider")))
-    return out.distinct()
+    ext = (w.where(F.col("enable_external")).select("deployment_id", "org_id", F.explode("external_ids").alias("id"))
+           .join(act, ["org_id", "id"], "inner"))
+    trees = w.where(F.col("enable_trees")).join(tree_connectors(connectors), "org_id", "inner")
+    return (ext.select("deployment_id", F.col("id").alias("connector_id"), "provider")
+            .unionByName(trees.select("deployment_id", F.col("zt").alias("connector_id"), F.lit(TREE_PROVIDER).alias("provider")))
+            .distinct())
+
+
+def org_connectors(connectors: DataFrame, org_id: int) -> DataFrame:
+    """C6 without a deployment: all active connectors of an org."""
+    return active_connectors(connectors).where(F.col("org_id") == org_id).select(F.col("id").alias("connector_id"), "provider")
 
 
 def deployments_with_documents(widgets: DataFrame, connectors: DataFrame, documents: DataFrame) -> DataFrame:

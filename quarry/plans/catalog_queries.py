@@ -95,18 +95,18 @@ def resolve_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _W_SQL = """
-, act AS (SELECT id FROM connectors WHERE active AND type_active)
-, zt AS (SELECT min(id) AS zt FROM connectors WHERE active AND type_active AND provider = 'zingtree')
-, aw AS (SELECT * FROM widgets WHERE active)
+, act AS (SELECT org_id, id FROM connectors WHERE active AND type_active)
+, zt AS (SELECT org_id, min(id) AS zt FROM connectors WHERE active AND type_active AND provider = 'zingtree' GROUP BY org_id)
+, aw AS (SELECT widgets.*, zt.zt FROM widgets LEFT JOIN zt USING (org_id) WHERE active)
 , wc AS (
   SELECT c.deployment_id, list_sort(list(DISTINCT c.cid)) AS widget_connectors FROM (
-    SELECT deployment_id, unnest(
-      (CASE WHEN enable_trees THEN [(SELECT zt FROM zt)] ELSE []::INTEGER[] END)
+    SELECT deployment_id, org_id, unnest(
+      (CASE WHEN enable_trees THEN [zt] ELSE []::INTEGER[] END)
       || (CASE WHEN enable_external THEN external_ids ELSE []::INTEGER[] END)) AS cid FROM aw) c
-  JOIN act ON act.id = c.cid GROUP BY c.deployment_id)
+  JOIN act ON act.id = c.cid AND act.org_id = c.org_id GROUP BY c.deployment_id)
 , rw AS (
   SELECT aw.*, COALESCE(wc.widget_connectors, []::INTEGER[]) AS widget_connectors,
-         CASE WHEN enable_trees THEN (SELECT zt FROM zt) END AS zt_connector_id,
+         CASE WHEN enable_trees THEN zt END AS zt_connector_id,
          CASE WHEN enable_trees AND NOT all_trees THEN tree_ids END AS zt_tree_ids
   FROM aw LEFT JOIN wc USING (deployment_id))"""
 
@@ -133,10 +133,19 @@ SQL["connectors_of_deployment"] = with_ctes(["connectors", "widgets"], """
 , aw AS (SELECT * FROM widgets WHERE active)
 SELECT DISTINCT deployment_id, connector_id, provider FROM (
   SELECT x.deployment_id, act.id AS connector_id, act.provider
-  FROM (SELECT deployment_id, unnest(external_ids) AS id FROM aw WHERE enable_external) x JOIN act ON act.id = x.id
+  FROM (SELECT deployment_id, org_id, unnest(external_ids) AS id FROM aw WHERE enable_external) x JOIN act USING (org_id, id)
   UNION ALL
   SELECT aw.deployment_id, act.id, act.provider FROM aw JOIN act
-    ON act.id = (SELECT min(id) FROM act WHERE provider = 'zingtree') WHERE aw.enable_trees)""")
+    ON act.org_id = aw.org_id AND act.id = (SELECT min(a.id) FROM act a WHERE a.provider = 'zingtree' AND a.org_id = aw.org_id)
+  WHERE aw.enable_trees)""")
+
+
+def connectors_of_org(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.org_connectors(connectors(spark, sf_dir), org_id=3)
+
+
+SQL["connectors_of_org"] = with_ctes(["connectors"], """
+SELECT id AS connector_id, provider FROM connectors WHERE org_id = 3 AND active AND type_active""")
 
 
 def has_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +171,7 @@ QUERIES = {
     "documents_after": documents_after,
     "resolve_filters": resolve_filters,
     "connectors_of_deployment": connectors_of_deployment,
+    "connectors_of_org": connectors_of_org,
     "has_documents": has_documents,
 }
 

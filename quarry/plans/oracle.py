@@ -34,11 +34,11 @@ g_items AS (
 
 CTES["connectors"] = """
 connectors AS (
-  SELECT connector_id AS id, 'connector-' || CAST(connector_id AS VARCHAR) AS name,
+  SELECT org_id, connector_id AS id, 'connector-' || CAST(connector_id AS VARCHAR) AS name,
          CASE connector_id WHEN 1 THEN 'zingtree' WHEN 2 THEN 'kb_articles' WHEN 3 THEN 'html_pages'
               WHEN 4 THEN 'kb_articles' WHEN 5 THEN 'html_pages' ELSE 'external' END AS provider,
-         connector_id <> 5 AS active, TRUE AS type_active
-  FROM (SELECT DISTINCT connector_id FROM g_documents)
+         connector_id <> 5 AS active, NOT (org_id = 3 AND connector_id IN (3, 5)) AS type_active
+  FROM (SELECT DISTINCT org_id, connector_id FROM g_documents)
 )"""
 
 # Dependencies between CTEs (emitted in this order).

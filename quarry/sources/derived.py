@@ -76,17 +76,28 @@ def gold_items(spark: SparkSession, sf_dir: str, with_text: bool = False) -> Dat
             .drop("text", "_fifth"))
 
 
-def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connectors (one per connector id present in the gold documents) joined with
-    their connector types; derived, so it grows with the documents' connectors."""
-    ids = gold_documents(spark, sf_dir).select("connector_id").distinct()
+def connector_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connector types by org: one row per (org, provider); pages are switched off for org 3."""
+    return _connector_rows(spark, sf_dir).select(
+        "org_id", "provider", (~((F.col("org_id") == 3) & (F.col("provider") == "html_pages"))).alias("active")).distinct()
+
+
+def _connector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     prov = F.create_map(*[x for k, v in CONNECTOR_PROVIDERS.items() for x in (F.lit(k), F.lit(v))])
-    return ids.select(
-        F.col("connector_id").alias("id"),
-        F.concat(F.lit("connector-"), F.col("connector_id").cast("string")).alias("name"),
-        F.coalesce(prov[F.col("connector_id")], F.lit("external")).alias("provider"),
-        (F.col("connector_id") != 5).alias("active"),
-        F.lit(True).alias("type_active"),
+    return (gold_documents(spark, sf_dir).select("org_id", F.col("connector_id").alias("id")).distinct()
+            .withColumn("provider", F.coalesce(prov[F.col("id")], F.lit("external"))))
+
+
+def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connectors (one per org and connector id present in the gold documents) joined with
+    their org's connector types; derived, so it grows with the documents' connectors."""
+    types = connector_types(spark, sf_dir).withColumnRenamed("active", "type_active")
+    return _connector_rows(spark, sf_dir).join(types, ["org_id", "provider"], "left").select(
+        "org_id", "id",
+        F.concat(F.lit("connector-"), F.col("id").cast("string")).alias("name"),
+        "provider",
+        (F.col("id") != 5).alias("active"),
+        F.coalesce("type_active", F.lit(False)).alias("type_active"),
     )
 
 

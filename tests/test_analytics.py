@@ -103,3 +103,20 @@ def test_search_event_payload_shape(spark):
     assert [o["id"] for o in data["options"]] == [10, 20]
     assert data["options"][0] == {"id": 10, "snippet": "s10", "distance": 0.1,
                                   "document": {"id": 7, "connectorId": 3, "documentId": "doc-7", "title": "Title"}}
+
+
+def test_connectors_belong_to_their_org(spark):
+    from quarry.operators import resolve as R
+
+    conns = spark.createDataFrame(
+        [(1, 11, "zingtree", True, True), (1, 12, "zingtree", True, True), (1, 13, "kb", True, True), (2, 21, "zingtree", False, True),
+         (2, 22, "zingtree", True, True), (2, 13, "kb", True, False), (3, 31, "kb", True, True)],
+        "org_id int, id int, provider string, active boolean, type_active boolean")
+    wid = spark.createDataFrame(
+        [("a", 1, True, True, True, False, [7], [13, 22]), ("b", 2, True, True, True, True, [8], [13, 11]), ("c", 3, True, True, False, False, [9], [31])],
+        "deployment_id string, org_id int, active boolean, enable_trees boolean, enable_external boolean, all_trees boolean, "
+        "tree_ids array<int>, external_ids array<int>")
+    got = {r.deployment_id: r for r in R.resolved_widgets(wid, conns).collect()}
+    assert [(got[d].widget_connectors, got[d].zt_connector_id, got[d].zt_missing) for d in "abc"] == [([11, 13], 11, False), ([22], 22, False), ([], None, True)]
+    assert sorted(tuple(r) for r in R.deployment_connectors(wid, conns).collect()) == [("a", 11, "zingtree"), ("a", 13, "kb"), ("b", 22, "zingtree")]
+    assert {r.connector_id for r in R.org_connectors(conns, 1).collect()} == {11, 12, 13}
