@@ -107,6 +107,30 @@ TREE_META_KEYS = ["id", "name", "description", "tags", "org_id", "active", "crea
                   "last_opened", "last_modified", "is_private", "language"]
 
 
+#: A delivered tree: its meta keys and its nodes by id.
+RAW_TREE = (", ".join(f"{k} string" for k in TREE_META_KEYS)
+            + ", nodes map<string, struct<type:string,page_title:string,content:string,question:string,keywords:string,tag:string>>")
+
+
+def unwrap_trees(delivered: DataFrame, extra: tuple = ()) -> DataFrame:
+    """I1, first step: a tree comes as JSON text in the value of its record's first detail. A
+    record without a readable tree gives no row."""
+    tree = F.from_json(F.try_element_at(F.col("details"), F.lit(1))["value"], RAW_TREE)
+    return delivered.select(tree.alias("_t"), *extra).where(F.col("_t.id").isNotNull()).select("_t.*", *extra)
+
+
+NOT_CONFIGURED = "Connector or ConnectorType not configured for organization"
+
+
+def with_connector(records: DataFrame, connectors: DataFrame, provider: str, org: str = "org_id") -> DataFrame:
+    """Every record with ``connector_id``, the first active connector of the provider in the
+    record's org, or with ``connector_error`` where the org has none."""
+    first = (connectors.where(F.col("active") & F.col("type_active") & (F.col("provider") == provider))
+             .groupBy(F.col("org_id").alias("_org")).agg(F.min("id").cast("int").alias("connector_id")))
+    return (records.join(first, F.col(org).try_cast("int") == F.col("_org"), "left").drop("_org")
+            .withColumn("connector_error", F.when(F.col("connector_id").isNull(), F.lit(NOT_CONFIGURED))))
+
+
 def tree_bronze(raw: DataFrame, extra: tuple = ()) -> DataFrame:
     """Keep allow-listed meta keys (tags split, flags cast, dates to UTC) and the
     content nodes (B22) with their allow-listed keys (keywords/tag split)."""

@@ -16,7 +16,7 @@ from quarry.functions.text import html_to_text, normalize_date, printable_ascii,
 from quarry.operators.chunking import chunk
 from quarry.plans import ingest as I
 from quarry.plans.oracle import with_ctes
-from quarry.sources.derived import article_bronze, html_silver, tree_raw
+from quarry.sources.derived import article_bronze, connectors, html_silver, tree_raw
 from quarry.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -223,7 +223,36 @@ FROM chunks c JOIN src s USING (html_id)"""
 
 # ---------------------------------------------------------------- trees
 def tree_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = I.tree_bronze(tree_raw(spark, sf_dir))
+    return _bronze_columns(I.tree_bronze(tree_raw(spark, sf_dir)))
+
+
+def tree_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1 from trees as delivered: JSON text in the first detail of a record."""
+    raw = tree_raw(spark, sf_dir)
+    value = F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})
+    delivered = raw.select(F.array(F.struct(F.lit("tree").alias("name"), F.lit("Tree").alias("label"), value.alias("value"))).alias("details"))
+    return _bronze_columns(I.tree_bronze(I.unwrap_trees(delivered)))
+
+
+def ingest_connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8 for every tree and page: its org's connector of the source, or the reject's reason."""
+    conns = connectors(spark, sf_dir)
+    trees = I.with_connector(tree_raw(spark, sf_dir).select("id", "org_id"), conns, "zingtree")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
+                                                 (F.col("page_id") % 3 + 1).cast("string").alias("org_id"))
+    return trees.unionByName(I.with_connector(pages, conns, "html_pages")).select("id", "org_id", "connector_id", "connector_error")
+
+
+SQL["ingest_connectors"] = with_ctes(["connectors"], f"""
+, act AS (SELECT org_id, provider, min(id) AS cid FROM connectors WHERE active AND type_active GROUP BY org_id, provider)
+, rec AS (
+  SELECT DISTINCT CAST((doc_id // 10) * 1000 + 7 AS VARCHAR) AS id, (doc_id // 10) % 3 + 1 AS org, 'zingtree' AS provider FROM documents
+  UNION ALL SELECT 'p' || CAST(page_id AS VARCHAR), page_id % 3 + 1, 'html_pages' FROM pages)
+SELECT rec.id, CAST(rec.org AS VARCHAR) AS org_id, act.cid AS connector_id, CASE WHEN act.cid IS NULL THEN '{{e}}' END AS connector_error
+FROM rec LEFT JOIN act ON act.org_id = rec.org AND act.provider = rec.provider""".replace("{e}", I.NOT_CONFIGURED))
+
+
+def _bronze_columns(b: DataFrame) -> DataFrame:
     m = F.col("meta")
     return b.select(m["id"].alias("id"), m["name"].alias("name"), F.array_join(m["tags"], "|").alias("tags"),
                     m["active"].alias("active"), m["is_private"].alias("is_private"),
@@ -250,6 +279,8 @@ SQL["tree_bronze"] = ("WITH _x AS (SELECT 1)" + _TREE_SQL + """
 SELECT id, raw_name AS name, tags, active, is_private, create_date, last_opened, last_modified,
        CAST(n_content AS BIGINT) AS n_nodes FROM tb""")
 
+SQL["tree_unwrapped"] = SQL["tree_bronze"]
+
 
 def _tree_silver(spark, sf_dir):
     return I.tree_silver(I.tree_bronze(tree_raw(spark, sf_dir)))
@@ -323,6 +354,8 @@ QUERIES = {
     "article_gold": article_gold,
     "html_gold": html_gold,
     "tree_bronze": tree_bronze,
+    "tree_unwrapped": tree_unwrapped,
+    "ingest_connectors": ingest_connectors,
     "tree_silver": tree_silver,
     "tree_gold": tree_gold,
 }
