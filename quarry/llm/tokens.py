@@ -9,8 +9,10 @@ blocks. Any block can be read alone.
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words and word cores whose ids a worker remembers.
 REMEMBER = 300_000
+#: Text bytes that are split into words at once: the more, the fewer words recur in the next lot.
+TEXT_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -42,53 +46,54 @@ class Encoder:
 
     That holds only for tokenizers that drop white space and treat words by themselves; it is
     tried on a probe, and where it fails whole texts are encoded. Letters before full stops and
-    commas are pieces of their own to such a tokenizer, which is tried as well; plain lower-case
-    pieces then go to its model directly."""
+    commas are pieces of their own to such a tokenizer, which is tried as well; the letters, in
+    lower case and as the byte-level alphabet writes them, then go to its model directly."""
 
     PROBE = "The cat's 12th  \n café, naïve. (Straße) x,y a.b zzzyx., 中文\tend"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, tuple] = {}
-        self.cores: dict[str, tuple] = {}
-        whole = self.one(self.PROBE)
-        self.by_word = whole == [i for w in self.PROBE.split() for i in self.one(w)]
-        pieces = ["thing", "a", "zqxj", "cats"]
+        self.spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.model = self.tok.model.tokenize
+        self.words: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
+        self.by_word = self.one(self.PROBE) == [i for w in self.PROBE.split() for i in self.one(w)]
+        pieces = ["Thing", "a", "zqXj", "CATS", "Élan", "straße", "ciónñu", "中文"]
         self.by_piece = self.by_word and all(
-            self.one(p.title() + e) == [*(t.id for t in self.tok.model.tokenize(p)), *(self.one(e) if e else [])] for p in pieces for e in ("", ".", ",", ".,"))
+            self.one(p + e) == [*self._letters(p), *(self.one(e) if e else [])] for p in pieces for e in ("", ".", ",", ".,"))
 
     def one(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _core(self, core: str) -> tuple:
-        if core.isascii():
-            core = core.lower()
-            ids = self.cores.get(core)
-            return ids if ids is not None else self._keep(self.cores, core, tuple(t.id for t in self.tok.model.tokenize(core)))
-        ids = self.cores.get(core)
-        return ids if ids is not None else self._keep(self.cores, core, tuple(self.one(core)))
+    def _letters(self, core: str) -> list[int]:
+        low = core.lower()
+        if not core.isascii():
+            if not unicodedata.is_normalized("NFC", core) or "\u0130" in core or "\u03a3" in core:  # their lower case is not one letter for one
+                return self.one(core)
+            low = self.spelt(low)[0][0]
+        return [t.id for t in self.model(low)]
 
-    @staticmethod
-    def _keep(memory: dict, key: str, ids: tuple) -> tuple:
-        if len(memory) >= REMEMBER:
-            memory.clear()
-        memory[key] = ids
-        return ids
-
-    def word(self, w: str) -> tuple:
+    def word(self, w: str) -> bytes:
         if self.by_piece:
             core = w.rstrip(".,")
             if core.isalpha():
-                ids = self._core(core)
-                return ids if len(core) == len(w) else ids + self._tail(w[len(core):])
-        return self._tail(w)
-
-    def _tail(self, w: str) -> tuple:
+                ids = self.cores.get(core)
+                if ids is None:
+                    ids = self._keep(self.cores, core, self._letters(core))
+                return ids if len(core) == len(w) else ids + self.word(w[len(core):])
         ids = self.words.get(w)
-        return ids if ids is not None else self._keep(self.words, w, tuple(self.one(w)))
+        return ids if ids is not None else self._keep(self.words, w, self.one(w))
+
+    @staticmethod
+    def _keep(memory: dict, key: str, ids: list[int]) -> bytes:
+        if len(memory) >= REMEMBER:
+            memory.clear()
+            memory[""] = b""
+        memory[key] = raw = array("I", ids).tobytes()
+        return raw
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none), one after the other, and how many each has."""
@@ -97,24 +102,30 @@ class Encoder:
             return np.concatenate(each) if each else np.zeros(0, dtype=np.uint32), np.array([len(e) for e in each], dtype=np.int64)
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         enc = split.flatten().dictionary_encode()
-        per = [self.word(w) if w else () for w in enc.dictionary.to_pylist()]
-        size = np.fromiter(map(len, per), dtype=np.int64, count=len(per))
-        flat = np.fromiter((i for p in per for i in p), dtype=np.uint32, count=int(size.sum()))
-        begin = np.cumsum(size) - size
+        words = enc.dictionary.to_pylist()
+        per = list(map(self.words.get, words))
+        for k, ids in enumerate(per):
+            if ids is None:
+                per[k] = ids = self.word(words[k])
+                if len(self.words) < REMEMBER:
+                    self.words[words[k]] = ids
+        size = np.fromiter(map(len, per), dtype=np.int32, count=len(per)) // 4
+        flat = np.frombuffer(b"".join(per), dtype=np.uint32)
+        begin = np.cumsum(size, dtype=np.int32) - size
         code = enc.indices.to_numpy()
         n = size[code]
-        ids = flat[np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        words = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-        upto = np.r_[0, np.cumsum(n)]
-        ends = np.cumsum(words)
-        return ids, upto[ends] - upto[ends - words]
+        upto = np.cumsum(n, dtype=np.int32)
+        ids = flat[np.repeat(begin[code] - (upto - n), n) + np.arange(n.sum(), dtype=np.int32)]
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        upto = np.r_[0, upto][np.r_[0, ends]]
+        return ids, np.diff(upto)
 
 
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, z = Encoder(path), zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for a, e in text_slices(b.column(1)):
+            for a, e in text_slices(b.column(1), TEXT_BYTES):
                 ids, n = enc.encode(b.column(1)[a:e])
                 at = np.r_[0, np.cumsum(n)]
                 raw = [z.compress(np.append(ids[x:y], np.uint32(end_id)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for x, y in zip(at[:-1], at[1:])]
