@@ -29,10 +29,10 @@ from quarry.session import ensure_checkpoint_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words and word cores whose ids a worker remembers.
-REMEMBER = 300_000
+#: Words, and runs of letters, whose ids a worker remembers.
+REMEMBER = 600_000
 #: Text bytes that are split into words at once: the more, the fewer words recur in the next lot.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 16 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -89,10 +89,9 @@ class Encoder:
 
     @staticmethod
     def _keep(memory: dict, key: str, ids: list[int]) -> bytes:
-        if len(memory) >= REMEMBER:
-            memory.clear()
-            memory[""] = b""
-        memory[key] = raw = array("I", ids).tobytes()
+        raw = array("I", ids).tobytes()
+        if len(memory) < REMEMBER:  # the frequent ones come early
+            memory[key] = raw
         return raw
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +105,7 @@ class Encoder:
         per = list(map(self.words.get, words))
         for k, ids in enumerate(per):
             if ids is None:
-                per[k] = ids = self.word(words[k])
-                if len(self.words) < REMEMBER:
-                    self.words[words[k]] = ids
+                per[k] = self.word(words[k])
         size = np.fromiter(map(len, per), dtype=np.int32, count=len(per)) // 4
         flat = np.frombuffer(b"".join(per), dtype=np.uint32)
         begin = np.cumsum(size, dtype=np.int32) - size
