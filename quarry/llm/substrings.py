@@ -223,7 +223,8 @@ def covered(docs: DataFrame, window: int, gram: int, shard: int) -> DataFrame:
 
     part = words.where(F.col("k") <= shard).repartition("anchor").sortWithinPartitions("anchor", "first", "content")
     found = part.mapInArrow(_stream(window), "anchor long, content long, first long, js array<int>")
-    each = words.where(F.col("k") > shard).mapInArrow(_windows(window), "anchor long, content long, first long, j int, win long")
+    # the aggregate and the join both read the windows: they are made once
+    each = materialize(words.where(F.col("k") > shard).mapInArrow(_windows(window), "anchor long, content long, first long, j int, win long"))
     least = each.groupBy("win").agg(F.min("first").alias("least")).withColumnRenamed("win", "win_")
     more = (each.join(least, F.col("win") == F.col("win_")).where("least < first").groupBy("anchor", "content")
             .agg(F.min("first").alias("first"), F.collect_set("j").alias("js")))  # at most a segment's windows
