@@ -63,7 +63,7 @@ class SearchService:
 
     # ------------------------------------------------------------------ L1, L2
     def search(self, req: Request, query_vector, limit: int | None = None, sort_by: str | None = None,
-               threshold: float = S.DEFAULT_THRESHOLD, method: str = "sql"):
+               threshold: float = S.DEFAULT_THRESHOLD, method: str = "arrow"):
         """L1: (options, meta) — options carry the API document payload; ``sort_by =
         'alphabetical'`` pins the best option and orders the rest by title."""
         f = self.resolve(req)

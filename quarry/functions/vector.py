@@ -2,12 +2,10 @@
 
 Two forms of the same function:
 
-* ``cosine_distance`` — a native Catalyst expression (``zip_with`` +
-  ``aggregate``), evaluated in double precision. Needs no Python worker and is
-  the form used when the oracle must agree bit-for-bit-ish (rounded to 1e-6).
-* ``cosine_distance_arrow`` — an Arrow-batched pandas UDF doing one numpy
-  matrix-vector product per batch; the throughput form for wide vectors
-  (the higher-order-function form is interpreted per element).
+* ``cosine_distance_arrow`` — an Arrow UDF doing one numpy matrix-vector product per
+  batch; what searches use unless told otherwise.
+* ``cosine_distance`` — a native Catalyst expression (``zip_with`` + ``aggregate``) in
+  double precision, interpreted per element; it needs no Python worker.
 
 Distance is ``1 - v.q / (|v| |q|)`` in ``[0, 2]``; a zero vector gives NaN,
 which never passes a ``distance < t`` threshold and sorts last.
@@ -18,7 +16,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,25 +55,22 @@ def cosine_distance(v, q) -> Column:
     return _one_minus_ratio(dot(v, vector_literal(q)), norm(v) * F.lit(qn))
 
 
-def _matrix(s: pd.Series, dims: int) -> np.ndarray:
-    if len(s) == 0:
-        return np.zeros((0, dims))
-    return np.vstack([np.asarray(x, dtype=np.float64) for x in s])
-
-
 def cosine_distance_arrow(v, q) -> Column:
-    """Arrow-batched form for a fixed query vector ``q``."""
+    """Arrow form for a fixed query vector ``q``: one matrix product per batch, on the batch's own
+    buffer. A null vector, or one of another length, has distance NaN."""
     qv = np.asarray(q, dtype=np.float64)
-    qn = float(np.linalg.norm(qv))
+    qn, dims = float(np.linalg.norm(qv)), len(qv)
 
-    @F.pandas_udf(T.DoubleType())
-    def _dist(s: pd.Series) -> pd.Series:
-        m = _matrix(s, qv.shape[0])
+    def run(vectors: pa.Array) -> pa.Array:
+        ok = pc.fill_null(pc.equal(pc.list_value_length(vectors), dims), False).to_numpy(zero_copy_only=False)
+        flat = (vectors if ok.all() else vectors.filter(pa.array(ok))).flatten()
+        m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+        out = np.full(len(ok), np.nan)
         with np.errstate(divide="ignore", invalid="ignore"):
-            out = 1.0 - (m @ qv) / (np.linalg.norm(m, axis=1) * qn)
-        return pd.Series(out)
+            out[ok] = 1.0 - (m @ qv) / (np.linalg.norm(m, axis=1) * qn)
+        return pa.array(out)
 
-    return _dist(_as_col(v))
+    return F.arrow_udf(run, "double").asNondeterministic()(_as_col(v))
 
 
 def has_dims(v, dims: int) -> Column:

@@ -39,7 +39,7 @@ def _distance(method: str):
 
 
 def candidates(items: DataFrame, documents: DataFrame, query, filters: SearchFilters,
-               method: str = "sql") -> DataFrame:
+               method: str = "arrow") -> DataFrame:
     """(item_id, document_id, distance) of the items of documents passing the filters."""
     doc_ids = documents.where(filter_predicate(filters)).select(F.col("id").alias("document_id"))
     cand = items.select("id", "document_id", "embeddings").join(doc_ids, "document_id", "left_semi")
@@ -55,7 +55,7 @@ def best_per_document(cand: DataFrame, key: str = "document_id", extra_keys: tup
 
 def search(items: DataFrame, documents: DataFrame, query, filters: SearchFilters,
            threshold: float = DEFAULT_THRESHOLD, limit: int | None = None,
-           method: str = "sql") -> DataFrame:
+           method: str = "arrow") -> DataFrame:
     """G1: best chunk per document under the threshold, by distance, top ``limit``.
 
     Returns (item_id, document_id, distance[, rank]); ``rank`` (1-based, ties by
@@ -76,7 +76,7 @@ def _ranked_top(df: DataFrame, limit: int) -> DataFrame:
 
 
 def search_best(items: DataFrame, documents: DataFrame, query, filters: SearchFilters,
-                n: int | None = DEFAULT_BEST_N, method: str = "sql") -> DataFrame:
+                n: int | None = DEFAULT_BEST_N, method: str = "arrow") -> DataFrame:
     """The n closest chunks, no per-document dedup, no threshold."""
     cand = candidates(items, documents, query, filters, method)
     if n is None:

@@ -42,7 +42,7 @@ def _sql_doc_filter(pred: str) -> str:
 
 
 # ---------------------------------------------------------------- knn_best_per_doc
-def knn_best_per_doc(spark: SparkSession, sf_dir: str, method: str = "sql") -> DataFrame:
+def knn_best_per_doc(spark: SparkSession, sf_dir: str, method: str = "arrow") -> DataFrame:
     docs = gold_documents(spark, sf_dir)
     hits = S.search(gold_items(spark, sf_dir), docs, query_vector(spark, sf_dir),
                     SearchFilters(org_id=ORG, connectors=ALL_CONNECTORS),
@@ -74,7 +74,7 @@ SQL["knn_best_per_doc"] = _knn_sql(
 
 
 # ---------------------------------------------------------------- knn_threshold
-def knn_threshold(spark: SparkSession, sf_dir: str, method: str = "sql") -> DataFrame:
+def knn_threshold(spark: SparkSession, sf_dir: str, method: str = "arrow") -> DataFrame:
     """All documents whose best chunk is under a tighter threshold (no limit)."""
     hits = S.search(gold_items(spark, sf_dir), gold_documents(spark, sf_dir), query_vector(spark, sf_dir),
                     SearchFilters(org_id=ORG, connectors=ALL_CONNECTORS), threshold=0.5, limit=None,
@@ -87,7 +87,7 @@ SQL["knn_threshold"] = _knn_sql("org_id = 1 AND connector_id IN (1,2,3,4,5)", 0.
 
 
 # ---------------------------------------------------------------- knn_best_n
-def knn_best_n(spark: SparkSession, sf_dir: str, method: str = "sql") -> DataFrame:
+def knn_best_n(spark: SparkSession, sf_dir: str, method: str = "arrow") -> DataFrame:
     hits = S.search_best(gold_items(spark, sf_dir), gold_documents(spark, sf_dir), query_vector(spark, sf_dir),
                          SearchFilters(org_id=ORG, connectors=ALL_CONNECTORS), n=5, method=method)
     return hits.select(F.col("rank").cast("long"), "item_id", "document_id", _r6("distance"))
@@ -103,7 +103,7 @@ FROM ranked WHERE rank <= 5""")
 
 
 # ---------------------------------------------------------------- alphabetical_pinned
-def alphabetical_pinned(spark: SparkSession, sf_dir: str, method: str = "sql") -> DataFrame:
+def alphabetical_pinned(spark: SparkSession, sf_dir: str, method: str = "arrow") -> DataFrame:
     docs = gold_documents(spark, sf_dir)
     hits = S.search(gold_items(spark, sf_dir), docs, query_vector(spark, sf_dir),
                     SearchFilters(org_id=ORG, connectors=ALL_CONNECTORS), threshold=0.7, limit=TOP_K,

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from quarry.plans import registry
+from quarry.plans.search_queries import knn_best_per_doc
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -20,12 +21,13 @@ def test_no_pair_producing_joins(spark, name):
         assert op not in plan, f"{name} plans a {op}"
 
 
-def test_search_limits_before_shuffle_and_prunes(spark):
-    df = E.queries()["knn_best_per_doc"](spark, SF_SMALL)
+@pytest.mark.parametrize("method,distance", [("arrow", "ArrowEvalPython"), ("sql", "aggregate(zip_with")])
+def test_search_limits_before_shuffle_and_prunes(spark, method, distance):
+    df = knn_best_per_doc(spark, SF_SMALL, method=method)
     df.collect()  # final adaptive plan
     plan = _plan(df).split("== Initial Plan ==")[0]
     assert plan.count("WindowGroupLimit") >= 2          # partial (map side) + final
     assert "TakeOrderedAndProject" in plan
-    assert plan.count("aggregate(zip_with") == 1         # distance evaluated once
+    assert plan.count(distance) == 1                     # distance evaluated once
     scans = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert scans and not any("text:string" in line for line in scans)   # text never read
