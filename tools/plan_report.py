@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from quarry.plans import registry  # noqa: E402
 from quarry.session import get_spark  # noqa: E402
 
 
@@ -39,7 +39,7 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("local[8]", shuffle_partitions=8)
     rows = []
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(registry.queries().items()):
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
         rows.append((name, facts(plan)))
     cols = ["shuffles", "broadcasts", "python", "group_limits", "topk", "scans", "widest_scan_cols", "pair_joins"]
@@ -47,7 +47,9 @@ def main() -> None:
            f"Generated by `tools/plan_report.py {sf}` from the static physical plans (before AQE",
            "re-planning). `python` counts Arrow/Python evaluation nodes; `group_limits` counts",
            "WindowGroupLimit nodes (partial + final dedup around a shuffle); `widest_scan_cols` is the",
-           "largest number of columns any scan reads; `pair_joins` must be 0.", "",
+           "largest number of columns any scan reads; `pair_joins` must be 0. What a query writes while it is",
+           "built (`materialize`: embedded rows and resolved events of the change queries, a model's flags) is",
+           "not in its last plan, so those queries show fewer nodes than they run.", "",
            "| query | " + " | ".join(cols) + " |", "|---|" + "---|" * len(cols)]
     for name, f in rows:
         out.append(f"| `{name}` | " + " | ".join(str(f[c]) for c in cols) + " |")
