@@ -116,9 +116,11 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     fps = materialize(docs.select(rank.alias("rank"), fingerprint(F.col(text_col), shingle).alias("fp")).groupBy("fp").agg(F.min("rank").alias("rank")))
     first = fps.join(classes(fps.select("fp")).withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).groupBy("root").agg(F.min("rank").alias("rank"))
     stay = materialize(first.select(F.col("rank.id").alias("_id"), F.col("rank.h").alias("_h")).distinct())
-    keyed = docs.select(row.alias("_row"), F.col(id_col).alias("_doc"), rank["h"].alias("_hash"))
-    kept = keyed.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy("_hash"))
+    # one plain key, so that the join and the numbering share a shuffle
+    keyed = docs.select(row.alias("_row"), F.concat_ws(":", rank["id"].cast("string"), rank["h"].cast("string")).alias("_key"))
+    stay = stay.select(F.concat_ws(":", F.col("_id").cast("string"), F.col("_h").cast("string")).alias("_stay"))
+    kept = keyed.join(stay, F.col("_key") == F.col("_stay"), "left_semi")
+    one = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     return kept.withColumn("_n", one).where("_n = 1").select("_row.*")
 
 
