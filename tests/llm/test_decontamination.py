@@ -99,3 +99,58 @@ def test_edge_rows_and_blocks(spark):
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert D.contamination(df.limit(0), bench).count() == 0
     assert D.contamination(df, bench.limit(0)).count() == 0 and D.without_leaks(df, bench.limit(0)).count() == len(rows)
+
+
+def holds_whole(item, text):
+    p, s = folded(item), folded(text)
+    return len(s) > 0 and least_edits(p, s) <= int(len(p) * D.BUDGET)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_budget_holds_over_the_whole_item(seed):
+    """Edits in one place, or anywhere, up to the budget of the item and a little above."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdeéfgh") for _ in range(rnd.randrange(1, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, prose(rnd.randrange(30, 110))) for k in range(10)]
+    texts, lost = ["", None, prose(40)], 0
+    for k, item in items:
+        for n in (16, len(item) // 10 - 1, len(item) // 8):
+            a = (len(item) - n) // 2
+            changed = item[:a] + "".join(rnd.choice("xyz") for _ in range(n + rnd.randrange(-2, 3))) + item[a + n:]
+            texts.append(rnd.choice(["", prose(9) + " "]) + changed + rnd.choice(["", " " + prose(9)]))
+        texts += [item[3:-3], "ü" + item, edited(rnd, item, len(item) // 11)]
+    got = [{h["item_id"] for h in x} for x in D.find(pa.array(texts, pa.string()), D.Pieces(items))]
+    for t, g in zip(texts, got):
+        part = slow(items, t)
+        want = part | {k for k, x in items if holds_whole(x, t or "")}
+        lost += len(want - part)
+        assert g == want
+    assert lost
+
+
+def test_a_phrase_changed_in_the_middle():
+    items = [(k, f"{k} " + " ".join(f"word{(k * 31 + x * 7) % 97}" for x in range(n))) for k, n in enumerate(range(21, 33))]
+    items = [(k, t) for k, t in items if 129 < len(t) < 230]
+    texts = [t[:len(t) // 2 - 8] + "q" * 16 + t[len(t) // 2 + 8:] for _, t in items]
+    want = [k for (k, t), x in zip(items, texts) if holds_whole(t, x)]
+    got = D.find(pa.array([f"before it {x} and behind it" for x in texts]), D.Pieces(items))
+    assert len(want) >= 5 and all(k in {h["item_id"] for h in got[[i for i, _ in items].index(k)]} for k in want)
+    k = [i for i, _ in items].index(want[-1])
+    hit = next(h for h in got[k] if h["item_id"] == want[-1])
+    assert f"before it {texts[k]} and"[hit["start"]:hit["stop"]] == texts[k]
+
+
+def test_parts_of_an_item():
+    rnd = random.Random(5)
+    item = "".join(rnd.choice("abcdefgh ") for _ in range(600)).strip()
+    n = D.PIECE + D.STRIDE - 1
+    texts = [f"so {item[a:a + n]} on" for a in range(0, len(item) - n, 5)]
+    assert n <= 143 and all(D.find(pa.array(texts), D.Pieces([(1, item)])))
+
+
+def test_items_stay_in_their_texts():
+    item = " ".join(f"some{x}thing" for x in range(12))
+    half = len(item) // 2
+    texts = ["a" * 200, item[3:], "b" * 200, item[:half], item[half:], None, "", item]
+    assert [len(x) for x in D.find(pa.array(texts), D.Pieces([(1, item)]))] == [0, 1, 0, 0, 0, 0, 0, 1]
