@@ -24,15 +24,17 @@ from quarry.llm.common import codepoints, documents, held_out, lower_letters, ma
 # Letters that a symbol may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il"}
 #: Log probabilities of the channel: a symbol for a letter, a symbol as itself, a separator put
-#: between letters, a separator that was there, a run of three or more letters from one or from two.
-AS_LETTER, AS_SYMBOL, PUT_IN, WAS_THERE, FROM_ONE, FROM_TWO = -1.0, -4.0, -0.7, -2.5, -0.5, -1.5
+#: between letters, a separator that was there, a run of three or more letters from one or from two,
+#: an exclamation mark as itself where no letter or digit follows in the stretch.
+AS_LETTER, AS_SYMBOL, PUT_IN, WAS_THERE, FROM_ONE, FROM_TWO, ENDING = -1.0, -4.0, -0.7, -2.5, -0.5, -1.5, -0.5
 SEPARATORS = " .-_*"
 #: Stretches that the channel could have changed (lower case): a symbol beside a letter, a run of
-#: one letter, single characters with one separator between any two.
+#: one letter, single letters, digits or symbols with one separator between any two. What else
+#: stands beside a spaced stretch (quotes, brackets, the end of a sentence) is no part of it.
 SUSPECT = re.compile(
-    r"(?P<leet>[0134578@$!+|]+[^\W\d_]|[^\W\d_][0134578])"
+    r"(?P<leet>[0134578@$!+|][^\W\d_]|[^\W\d_][0134578@$!+|])"
     r"|(?P<run>([^\W\d_])\3\3)"
-    r"|(?P<spaced>(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\S))")
+    r"|(?P<spaced>(?<![^\W_])(?:[^\W_]|[@$!+|])(?:[ .\-_*](?:[^\W_]|[@$!+|])){2,}(?![^\W_]))")
 SPACE = re.compile(r"\s")
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each class that the classifier is fitted on, features it keeps, beginnings of words.
@@ -84,6 +86,9 @@ def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def _edges(s: str, spaced: bool) -> list[list[tuple[int, str, float]]]:
     """Per position: (next position, what it stands for, log probability of the channel)."""
     out: list[list[tuple[int, str, float]]] = [[] for _ in s]
+    end = len(s)
+    while end and not s[end - 1].isalnum():
+        end -= 1
     i = 0
     while i < len(s):
         c = s[i]
@@ -99,7 +104,7 @@ def _edges(s: str, spaced: bool) -> list[list[tuple[int, str, float]]]:
         elif spaced and c in SEPARATORS:
             out[i] = [(i + 1, "", PUT_IN), (i + 1, c, WAS_THERE)]
         else:
-            out[i] = [(i + 1, c, AS_SYMBOL if c in LEET else 0.0), *((i + 1, x, AS_LETTER) for x in LEET.get(c, ""))]
+            out[i] = [(i + 1, c, ENDING if c == "!" and i >= end else AS_SYMBOL if c in LEET else 0.0), *((i + 1, x, AS_LETTER) for x in LEET.get(c, ""))]
         i += 1
     return out
 

@@ -94,3 +94,18 @@ def test_edge_rows(spark):
     got = df.select("doc_id", toxicity.toxicity(F.col("text"), lp, (weights, intercept)).alias("s")).collect()
     assert len(got) == len(rows) and all(0 <= r.s <= 1 for r in got)
     assert toxicity.char_model(df.limit(0)).shape == (64, 64, 64)
+
+
+@pytest.mark.parametrize("noisy,clean", [
+    ("i.d.i.o.t.", "idiot."), ("i.d.i.o.t, you", "idiot, you"), ("i-d-i-o-t!", "idiot!"), ("l.o.s.e.r.", "loser."), ("(i d i o t)", "(idiot)"),
+    ('"i d i o t"', '"idiot"'), ("an i d i o t.", "an idiot."), ("i d ! o t", "idiot"), ("$ t u p i d", "stupid"), ("_l_o_s_e_r_", "_loser_"),
+    ("l 0 $ e r", "loser"), ("idiot!", "idiot!"), ("from!! pathetic!", "from!! pathetic!"), ("path3t!c!!", "pathetic!!"), ("| 5 | 3 | 1 |", "| 5 | 3 | 1 |")])
+def test_punctuation_and_symbols_around_noise(log_p, noisy, clean):
+    assert toxicity.restore(noisy, log_p, {}) == clean
+
+
+def test_symbols_at_the_end_of_a_word(spark):
+    df = spark.createDataFrame([("what an ass and dumbass he is, all bullshit and loss",)] * 200, "text string")
+    lp = toxicity.char_model(df).tolist()
+    for noisy, clean in (("a$$", "ass"), ("dumba$$", "dumbass"), ("bullsh!+", "bullshit"), ("los$", "loss"), ("he is!", "he is!")):
+        assert toxicity.restore(noisy, lp, {}) == clean
