@@ -37,8 +37,8 @@ SUSPECT = re.compile(
     r"|(?P<spaced>(?<![^\W_])(?:[^\W_]|[@$!+|])(?:[ .\-_*](?:[^\W_]|[@$!+|])){2,}(?![^\W_]))")
 SPACE = re.compile(r"\s")
 WORDS = re.compile(r"[^\W\d_]+")
-#: Labelled rows of each class that the classifier is fitted on, features it keeps, beginnings of words.
-SAMPLE, FEATURES, PREFIXES = 6000, 1000, (4, 5)
+#: Labelled rows of each class that the classifier is fitted on, beginnings of words.
+SAMPLE, PREFIXES = 6000, (4, 5)
 THRESHOLD = 0.7
 #: Restored stretches that a worker remembers.
 REMEMBER = 200_000
@@ -199,10 +199,11 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, size: int, l2: float = 1e-4, rou
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, log_p: np.ndarray, sample: int = SAMPLE, features: int = FEATURES) -> tuple[dict, float]:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, log_p: np.ndarray, sample: int = SAMPLE) -> tuple[dict, float]:
     """({feature: weight}, intercept) from at most ``sample`` labelled rows of each class (the
     smallest hashes of their ids); ``allowed`` selects the label rows to learn from. Features are
-    those that toxic rows of the sample have at least three times as often.
+    all those that toxic rows of the sample have over three times as often, in four rows at least;
+    the sample bounds them.
 
     Without rows of both classes there are no weights, and the intercept is that of the share."""
     ok = labels.where(allowed & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -227,8 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, log_p: np.ndarray
     size = {c: min(n[c], sample) for c in n}
     p, q = F.sum("y") / size[1], F.sum(1 - F.col("y")) / size[0]
     counted = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(p.alias("p"), q.alias("q"), F.count("*").alias("n")).where("n >= 4 AND p > 3 * q")
-    gain = F.pow(F.col("p") - F.col("q"), 2) / (F.col("p") + F.col("q"))
-    names = [r.f for r in counted.orderBy(gain.desc(), "f").limit(features).collect()]
+    names = sorted(r.f for r in counted.select("f").collect())
     where = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(names)), "k int, name string"))
     hits = rows.select("row", F.explode("f").alias("f")).join(where, F.col("f") == F.col("name")).groupBy("row").agg(F.sort_array(F.collect_list("k")).alias("k"))
     data = rows.select("row", "y").join(hits, "row", "left").orderBy("row").toPandas()

@@ -109,3 +109,14 @@ def test_symbols_at_the_end_of_a_word(spark):
     lp = toxicity.char_model(df).tolist()
     for noisy, clean in (("a$$", "ass"), ("dumba$$", "dumbass"), ("bullsh!+", "bullshit"), ("los$", "loss"), ("he is!", "he is!")):
         assert toxicity.restore(noisy, lp, {}) == clean
+
+
+def test_a_large_toxic_vocabulary_is_kept(spark):
+    from pyspark.sql import functions as F
+
+    words = [chr(97 + k % 26) + chr(97 + k // 26) + "zqrstu" for k in range(400)]
+    toxic = [(k, " ".join(words[(k + 100 * x) % 400] for x in range(4))) for k in range(400)]
+    df = spark.createDataFrame(toxic + [(400 + k, "nothing of that kind here") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 400)) for k in range(440)], "doc_id long, toxic int")
+    weights, _ = toxicity.train(df, labels, F.lit(True), toxicity.char_model(df))
+    assert {f"{k}{w[:n]}" for w in words for k, n in (("w", 99), ("4", 4), ("5", 5))} <= set(weights)
