@@ -35,7 +35,7 @@ BAND = 16
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 4 << 20
 #: Cells of text that are aligned at once.
-CELLS = 1 << 20
+CELLS = 1 << 17
 #: Bits of the table that passes over most q-grams that no piece has.
 SIEVE = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
