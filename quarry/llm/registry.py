@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mixing", "simhash", "tokens", "toxicity", "language", "rollup", "secrets", "quality", "decontamination", "substrings", "phrases"]
+MODULES = ["mixing", "simhash", "tokens", "toxicity", "language", "rollup", "secrets", "quality", "decontamination", "substrings", "phrases", "pii", "divergence"]
 
 
 def load() -> tuple[dict, dict]:
