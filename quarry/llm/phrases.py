@@ -1,7 +1,7 @@
 """Phrase mining by SETM: occurrence relations, merge-joined by piece and adjacent position.
 
 The relation of length 1 holds every occurrence of a word as (piece, position, code), in that
-order. It is stored in slices: one row per slice has the codes of some 16 MB of text one after
+order. It is stored in slices: one row per slice has the codes of some 8 MB of text one after
 the other, and the slice's own groups stand beside it, one row per different group (its code,
 its key, how often it occurs). A piece never spans two slices, so the merge-join of a relation
 with itself on (piece, position + 1) meets neighbours of one slice only.
@@ -34,7 +34,7 @@ LEAST, BEST = 10, 2000
 SWALLOW = 50
 NO_LANG = "und"
 #: Text bytes of a slice (a single longer piece is a slice of its own).
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Bits of a group's code within its slice, and of a slice's number within its task.
 CODE_BITS, SEQ_BITS = 31, 12
 #: Rows of an Arrow batch that a task gives back.
@@ -102,21 +102,26 @@ def _groups(schema: pa.Schema, number: int, columns: list) -> Iterator[pa.Record
 def _words(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, (texts, langs) in enumerate(_lots(batches, limit)):
+            begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            names = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+            lang_of = np.array([names[x] for x in langs], dtype=np.int64)
             raw = b"\n".join(texts)
+            texts.clear()
             cps = np.frombuffer(raw, dtype=np.uint8)
             gap = (cps == 10) | (cps == 32)
             starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
             if not len(starts):
                 continue
+            piece = np.searchsorted(np.flatnonzero(cps == 10), starts)
+            joined = np.r_[piece[1:] == piece[:-1], False]
+            of = lang_of[np.searchsorted(begin, starts, "right") - 1]
+            del gap, cps, starts, piece
             found = pc.ascii_split_whitespace(pa.array([raw], pa.binary()).cast(pa.string())).flatten()
             found = found.filter(pc.not_equal(found, "")).dictionary_encode()
-            piece = np.cumsum(cps == 10, dtype=np.int32)[starts]
-            joined = np.r_[piece[1:] == piece[:-1], False]
-            begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-            names = {x: k for k, x in enumerate(dict.fromkeys(langs))}
-            of = np.array([names[x] for x in langs], dtype=np.int64)[np.searchsorted(begin, starts, "right") - 1]
             size = len(found.dictionary)
-            key, codes, n = np.unique(of * size + found.indices.to_numpy(), return_inverse=True, return_counts=True)
+            of *= size
+            of += found.indices.to_numpy()
+            key, codes, n = np.unique(of, return_inverse=True, return_counts=True)
             number = _slice_number(seq)
             yield _relation(WORDS, number, codes, joined)
             lang = pa.array(list(names), pa.string()).take(pa.array(key // size))
