@@ -128,15 +128,15 @@ _DOT_WORD = rf"[ ]{{1,2}}(?:{DOT_WORDS})[ ]{{1,2}}"
 _AT_WORD = rf"[ ]{{1,2}}(?:{AT_WORDS})[ ]{{1,2}}"
 _NUMBER = rf"(?:{'|'.join(sorted(_DIGIT, key=len, reverse=True))}|[0-9])"
 #: Four digits or more, at least one of them a word: blanks between them go, what stands for a full stop is one.
-_CHAIN = re.compile(rf"(?<!\w)(?:(?:{PLUS_WORDS})[ ]{{1,2}})?{_NUMBER}(?:(?:{_DOT_SIGN}|{_DOT_WORD}|[ ,-]{{0,2}}){_NUMBER}){{3,}}(?!\w)", re.I)
-_CHAIN_PARTS = re.compile(rf"(?P<plus>(?:{PLUS_WORDS})[ ]{{1,2}})|(?P<digit>{_NUMBER})|(?P<dot>{_DOT_SIGN}|{_DOT_WORD})|(?P<gap>[ ,-]+)", re.I)
+_CHAIN = re.compile(rf"(?<!\w)(?:(?:{PLUS_WORDS})[ ]{{1,2}})?{_NUMBER}(?:(?:{_DOT_SIGN}|{_DOT_WORD}|[ -]{{0,2}}){_NUMBER}){{3,}}(?!\w)", re.I)
+_CHAIN_PARTS = re.compile(rf"(?P<plus>(?:{PLUS_WORDS})[ ]{{1,2}})|(?P<digit>{_NUMBER})|(?P<dot>{_DOT_SIGN}|{_DOT_WORD})|(?P<gap>[ -]+)", re.I)
 _HAS_WORD = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_DIGIT, key=len, reverse=True))})(?!\w)", re.I)
 _DOT_IN_NUMBERS = re.compile(rf"[0-9]({_DOT_SIGN}|{_DOT_WORD})(?=[0-9])", re.I)
 _LETTER_IN_NUMBER = re.compile(r"(?<=[0-9])[OoIl]+(?=[0-9])|(?<=[0-9][ -])[OoIl]+(?=[0-9]{2})")
 _LABEL = r"[A-Za-z0-9-]+"
 _ANY_DOT = rf"(?:{_DOT_SIGN}|{_DOT_WORD}|\.)"
 #: What one of the transducers after the first needs, for a linear scan of all texts of a batch.
-HINT = (rf"@|{_AT_SIGN}|{_DOT_SIGN}|{_DOT_WORD}|(?:{_NUMBER}[ ,-]{{0,2}}){{3}}{_NUMBER}"
+HINT = (rf"@|{_AT_SIGN}|{_DOT_SIGN}|{_DOT_WORD}|(?:{_NUMBER}[ -]{{0,2}}){{3}}{_NUMBER}"
         rf"|[0-9][ -]?[OoIl]+[0-9]")
 #: After a plain word for @, a word or bracket must stand for a full stop as well, before a known ending.
 _MAIL = re.compile(
