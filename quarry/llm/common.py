@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.session import materialize, prepare
 from quarry.sources.tables import table
 
-__all__ = ["documents", "held_out", "materialize", "prepare", "text_slices", "codepoints", "table"]
+__all__ = ["documents", "held_out", "materialize", "prepare", "release", "text_slices", "codepoints", "table"]
 
 #: Text bytes handled at once inside a task; a longer single text is handled alone.
 SLICE_BYTES = 2 << 20
@@ -52,6 +55,15 @@ def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), bounds
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; called where a task's heavy work
+    ends, because workers live on and the next stage runs beside what they keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _LOWER: list[np.ndarray] = []
 #: Code points from here on (private use, tags) count as no letters.
 LETTERS_TO = 0x30000

@@ -1,14 +1,16 @@
 """Token ids of documents, written as rANS-coded binary blocks in ascending id order and read back.
 
 Files are Parquet tables below one folder: ``blocks`` (one row per block, parts in id order)
-and ``table`` (the shared frequencies). Writing takes three passes: texts to ids (kept in the
-shared checkpoint folder), counts over all ids, and a range shuffle by document id into
+and ``table`` (the shared frequencies). Writing takes two passes: texts to ids with every
+task's counts (kept in the shared checkpoint folder), and a range shuffle by document id into
 blocks. Any block can be read alone.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import string
 import unicodedata
 import uuid
 import zlib
@@ -23,16 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, materialize, prepare, text_slices
+from quarry.llm.common import documents, materialize, prepare, release, text_slices
 from quarry.llm.rans import BLOCK, Coder, checksum, normalise
 from quarry.session import ensure_checkpoint_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words, and runs of letters, whose ids a worker remembers.
-REMEMBER = 600_000
-#: Text bytes that are split into words at once: the more, the fewer words recur in the next lot.
-TEXT_BYTES = 16 << 20
+#: Bytes of words and their ids that a worker remembers, and what an entry takes beside its characters and ids.
+REMEMBER, ENTRY = 96 << 20, 200
+#: Text bytes that are split into words at once.
+TEXT_BYTES = 4 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -42,14 +44,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of texts, word by word: each different word of a slice goes to the tokenizer once.
+    """Ids of texts, each different word of a slice through the tokenizer once.
 
-    That holds only for tokenizers that drop white space and treat words by themselves; it is
-    tried on a probe, and where it fails whole texts are encoded. Letters before full stops and
-    commas are pieces of their own to such a tokenizer, which is tried as well; the letters, in
-    lower case and as the byte-level alphabet writes them, then go to its model directly."""
+    Where the tokenizer drops white space (tried on a probe), no piece spans two words: then words
+    are encoded one by one, and whole texts elsewhere. Where it also takes runs of letters and of
+    full stops and commas as pieces of their own, a plain word goes to its model as lower-case
+    letters, and what follows it by itself. Plain are only letters that the tokenizer's own
+    normalizer turns into one letter, as a piece; any other word is encoded as it stands."""
 
     PROBE = "The cat's 12th  \n café, naïve. (Straße) x,y a.b zzzyx., 中文\tend"
+    #: Letters tried beside A-Z (Latin letters with marks); none of them composes with another.
+    TRIED = "".join(map(chr, range(0xC0, 0x250)))
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,74 +64,96 @@ class Encoder:
         self.spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.model = self.tok.model.tokenize
         self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        self.held = 0
         self.by_word = self.one(self.PROBE) == [i for w in self.PROBE.split() for i in self.one(w)]
-        pieces = ["Thing", "a", "zqXj", "CATS", "Élan", "straße", "ciónñu", "中文"]
-        self.by_piece = self.by_word and all(
-            self.one(p + e) == [*self._letters(p), *(self.one(e) if e else [])] for p in pieces for e in ("", ".", ",", ".,"))
+        good = [c for c in string.ascii_letters + self.TRIED if self.by_word and self._plain(c)]
+        self.plain = re.compile(f"([{''.join(good)}]+)([.,]*)").fullmatch if len(good) >= 52 else None
 
     def one(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _letters(self, core: str) -> list[int]:
-        low = core.lower()
-        if not core.isascii():
-            if not unicodedata.is_normalized("NFC", core) or "\u0130" in core or "\u03a3" in core:  # their lower case is not one letter for one
-                return self.one(core)
-            low = self.spelt(low)[0][0]
-        return [t.id for t in self.model(low)]
+    def _plain(self, c: str) -> bool:
+        """Whether the letter's normal form is its lower case, one letter that NFC leaves alone, and it
+        makes one piece with letters around it and none with a full stop or a comma."""
+        low = c.lower()
+        if len(low) != 1 or not c.isalpha() or unicodedata.normalize("NFC", c) != c or self.tok.normalizer.normalize_str(c) != low:
+            return False
+        pieces = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(f"a{low}b., {low}, {low}{low}")]
+        spell = lambda w: self.spelt(w)[0][0]
+        return pieces == [spell(f"a{low}b"), ".,", spell(low), ",", spell(low + low)]
 
     def word(self, w: str) -> bytes:
-        if self.by_piece:
-            core = w.rstrip(".,")
-            if core.isalpha():
-                ids = self.cores.get(core)
-                if ids is None:
-                    ids = self._keep(self.cores, core, self._letters(core))
-                return ids if len(core) == len(w) else ids + self.word(w[len(core):])
         ids = self.words.get(w)
-        return ids if ids is not None else self._keep(self.words, w, self.one(w))
-
-    @staticmethod
-    def _keep(memory: dict, key: str, ids: list[int]) -> bytes:
+        if ids is not None:
+            return ids
+        m = self.plain(w) if self.plain else None
+        if m is None:
+            return self._keep(w, self.one(w))
+        low, rest = m[1].lower(), m[2]
+        ids = self.words.get(low)
+        if ids is None:
+            ids = self._keep(low, [t.id for t in self.model(low if low.isascii() else self.spelt(low)[0][0])])
+        if rest:
+            end = self.words.get(rest)
+            ids += end if end is not None else self._keep(rest, self.one(rest))
+        return ids
+
+    def _keep(self, key: str, ids: list[int]) -> bytes:
         raw = array("I", ids).tobytes()
-        if len(memory) < REMEMBER:  # the frequent ones come early
-            memory[key] = raw
+        if self.held < REMEMBER:  # the frequent ones come early
+            self.held += ENTRY + len(key.encode("utf-8", "surrogatepass")) + len(raw)
+            self.words[key] = raw
         return raw
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none), one after the other, and how many each has."""
         if not self.by_word:
-            each = [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            each = [np.array(self.one(t or ""), dtype=np.uint32) for t in texts.to_pylist()]
             return np.concatenate(each) if each else np.zeros(0, dtype=np.uint32), np.array([len(e) for e in each], dtype=np.int64)
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         enc = split.flatten().dictionary_encode()
-        words = enc.dictionary.to_pylist()
-        per = list(map(self.words.get, words))
-        for k, ids in enumerate(per):
-            if ids is None:
-                per[k] = self.word(words[k])
+        per = list(map(self.word, enc.dictionary.to_pylist()))
         size = np.fromiter(map(len, per), dtype=np.int32, count=len(per)) // 4
         flat = np.frombuffer(b"".join(per), dtype=np.uint32)
         begin = np.cumsum(size, dtype=np.int32) - size
         code = enc.indices.to_numpy()
         n = size[code]
         upto = np.cumsum(n, dtype=np.int32)
-        ids = flat[np.repeat(begin[code] - (upto - n), n) + np.arange(n.sum(), dtype=np.int32)]
+        at = np.repeat(begin[code] - (upto - n), n)
+        at += np.arange(len(at), dtype=np.int32)
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        upto = np.r_[0, upto][np.r_[0, ends]]
-        return ids, np.diff(upto)
+        return flat[at], np.diff(np.r_[0, upto][np.r_[0, ends]])
+
+
+#: One encoder per worker and tokenizer, so that what it remembers serves all of the worker's tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _tokenise(path: str, end_id: int):
+    """A row per document; a last one per task has how often each id occurs (``counts``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, z = Encoder(path), zstandard.ZstdCompressor(level=1)
+        enc, z = encoder(path), zstandard.ZstdCompressor(level=1)
+        total = np.zeros(end_id + 1, dtype=np.int64)
+        names = ["doc_id", "ids", "counts"]
         for b in batches:
             for a, e in text_slices(b.column(1), TEXT_BYTES):
                 ids, n = enc.encode(b.column(1)[a:e])
+                got = np.bincount(ids, minlength=len(total))
+                got[:len(total)] += total
+                total = got
+                total[end_id] += len(n)
                 at = np.r_[0, np.cumsum(n)]
                 raw = [z.compress(np.append(ids[x:y], np.uint32(end_id)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for x, y in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0)[a:e], pa.array(raw, pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[a:e], pa.array(raw, pa.binary()), pa.nulls(e - a, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+        release()
 
     return run
 
@@ -139,10 +166,10 @@ def _ids(raw: bytes) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
     for b in batches:
-        for a in range(0, b.num_rows, 256):
-            got = np.bincount(np.concatenate([_ids(r.as_py()) for r in b.column(0)[a:a + 256]]))
+        for raw in b.column(0):
+            got = np.frombuffer(raw.as_py(), dtype="<i8").astype(np.int64)
             if len(got) > len(total):
-                total = np.pad(total, (0, len(got) - len(total)))
+                got, total = total, got
             total[:len(got)] += got
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
@@ -175,6 +202,7 @@ def _write_blocks(held, block_ids: int):
                     no, before, size, docs, parts = no + 1, before + size, 0, [], []
         if parts:
             yield block()
+        release()
 
     return run
 
@@ -187,9 +215,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     other. An empty table gives empty files. Other columns are not read."""
     spark = docs.sparkSession
     done = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)
-                       .mapInArrow(_tokenise(tokenizer or tokenizer_path(), end_id), "doc_id long, ids binary"))
+                       .mapInArrow(_tokenise(tokenizer or tokenizer_path(), end_id), "doc_id long, ids binary, counts binary"))
     # one row per different id: at most the vocabulary
-    counts = done.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = done.where("counts IS NOT NULL").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max([0, *(r.id + 1 for r in counts)]), dtype=np.int64)
     for r in counts:
         total[r.id] = r.n
@@ -197,6 +225,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     rows = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
     spark.createDataFrame(rows, "id long, freq long").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
     held = spark.sparkContext.broadcast(freq)
+    done = done.where("ids IS NOT NULL").select("doc_id", "ids")
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("ids")]
     ranged = done.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     ranged.mapInArrow(_write_blocks(held, block_ids), BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")

@@ -1,5 +1,7 @@
 """rANS round trips and token files against plain encoding."""
 
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -34,15 +36,40 @@ def test_frequencies():
         rans.normalise(np.ones(20, dtype=np.int64), scale=4)
 
 
+def same(enc, texts):
+    ids, n = enc.encode(pa.array(texts, pa.string()))
+    want = [e.ids for e in enc.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert n.tolist() == [len(w) for w in want]
+    ends = np.cumsum(n)
+    for t, w, a, b in zip(texts, want, ends - n, ends):
+        assert ids[a:b].tolist() == w, repr(t)
+
+
 def test_words_are_encoded_as_whole_texts_are():
     enc = tokens.Encoder(tokens.tokenizer_path())
-    assert enc.by_piece
-    texts = ["The CAT's 12, café. Naïve x\x1cy <|endoftext|> é́ ́a don't,.. I.B.M., İstanbul ΣΣ", None, "", " \n\t ",
-             "word,word. Word.. ,. ... 中文 \U0001f600!", "a" * 5000]
-    ids, n = enc.encode(pa.array(texts))
-    want = [enc.one(t or "") for t in texts]
-    assert n.tolist() == [len(w) for w in want]
-    assert ids.tolist() == [i for w in want for i in w]
+    assert enc.by_word and enc.plain("Straße,.") and enc.plain("naïve") and not enc.plain("İ") and not enc.plain("য়")
+    same(enc, ["The CAT's 12th, café. Naïve x\x1cy <|endoftext|> é́ ́a don't,.. I.B.M., İstanbul ΣΣ BİLGİ. DENİZİ, ve", None, "", " \n\t ",
+               "word,word. Word.. ,. ... 中文 \U0001f600!", "a" * 5000, "<|ENDOFTEXT|> a<|startoftext|>b,", "সময়. পাহাড়, ਸ਼. क़, ଡ଼.", "\u00a0x\u2003y.\u0085z \u212a, \u212b."])
+
+
+def test_every_letter_beside_marks_and_signs():
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    letters = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] in "LM"]
+    texts = [f"ab{c}. {c}, x{c}y.,{c} {c}1 {c}'s A{c.upper()}. {c}\u0301, .{c}" for c in letters]
+    for a in range(0, len(texts), 4000):
+        same(enc, texts[a:a + 4000])
+
+
+def test_random_texts_match():
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    rnd = random.Random(3)
+    signs = list("aAbBzZéÉßñçÇøØǅǆŉİıſKÅ.,.,.,'s  \n\t-!?019<|>়̧́가ΣσςΆ中文য়ড়") + ["\u00a0", "\u2028", "\x1c", "<|endoftext|>", "the", "ing", "\U0001f600", "ﬁ"]
+    same(enc, ["".join(rnd.choices(signs, k=rnd.randint(0, 24))) for _ in range(50_000)])
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBER", 300)
+    same(tokens.Encoder(tokens.tokenizer_path()), ["one two. Two, three three THREE. é è ü"] * 3)
 
 
 def test_query_matches_plain_encoding(spark):
