@@ -33,6 +33,8 @@ LEAST, BEST = 10, 2000
 #: A candidate goes if a longer one that holds it has at least this many per cent of its occurrences.
 SWALLOW = 50
 NO_LANG = "und"
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 #: Text bytes of a slice (a single longer piece is a slice of its own).
 SLICE = 8 << 20
 #: Bits of a group's code within its slice, and of a slice's number within its task.
@@ -146,7 +148,16 @@ def frequent(relation: DataFrame, key: list[str], least: int) -> DataFrame:
 
 
 def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The next relation of one slice: ``left`` its relation, ``right`` its frequent (code, id)."""
+    """The next relation of one slice with its groups: ``left`` its relation, ``right`` its frequent (code, id)."""
+    return _merged(left, right, True)
+
+
+def _groups_only(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The same without the relation, for the last length."""
+    return _merged(left, right, False)
+
+
+def _merged(left: pa.Table, right: pa.Table, with_relation: bool) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return PAIRS.empty_table()
     number = left.column("slice")[0].as_py()
@@ -165,17 +176,22 @@ def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
     if not len(place):
         return PAIRS.empty_table()
     key, new, n = np.unique(at[place].astype(np.int64) * size + at[place + 1], return_inverse=True, return_counts=True)
+    a, b = id_of[key // size], id_of[key % size]
+    groups = list(_groups(PAIRS, number, [a, b, n.astype(np.int64)]))
+    if not with_relation:
+        return pa.Table.from_batches(groups)
     out = np.full(len(codes), -1, dtype=np.int32)
     out[place] = new
-    a, b = id_of[key // size], id_of[key % size]
-    return pa.Table.from_batches([_relation(PAIRS, number, out, None), *_groups(PAIRS, number, [a, b, n.astype(np.int64)])])
+    return pa.Table.from_batches([_relation(PAIRS, number, out, None), *groups])
 
 
-def extend(relation: DataFrame, kept: DataFrame) -> DataFrame:
-    """The relation of the next length: occurrences of frequent groups, merge-joined at adjacent positions."""
+def extend(relation: DataFrame, kept: DataFrame, last: bool = False) -> DataFrame:
+    """The relation of the next length: occurrences of frequent groups, merge-joined at adjacent
+    positions. The ``last`` one is only counted, so it is not stored."""
     left = relation.where("codes IS NOT NULL").select("slice", "codes", "joined").groupBy("slice")
     right = kept.select("slice", "code", "id").groupBy("slice")
-    return materialize(left.cogroup(right).applyInArrow(_joined, PAIRS_DDL))
+    both = left.cogroup(right)
+    return both.applyInArrow(_groups_only, PAIRS_DDL) if last else materialize(both.applyInArrow(_joined, PAIRS_DDL))
 
 
 def _score(left: str, right: str) -> Column:
@@ -196,8 +212,8 @@ def phrases(docs: DataFrame, least: int = LEAST, best: int | None = BEST, swallo
     words = frequent(one, ["lang", "word"], least)
     two = extend(one, words)
     pairs = frequent(two, ["a", "b"], least)
-    three = extend(two, pairs)
-    long = three.where("code IS NOT NULL").groupBy(F.col("a").alias("p1"), F.col("b").alias("p2")).agg(F.sum("n").alias("a"))
+    three = extend(two, pairs, last=True)
+    long = three.groupBy(F.col("a").alias("p1"), F.col("b").alias("p2")).agg(F.sum("n").alias("a"))
     long = materialize(long.where(F.col("a") >= least))
 
     w = words.where("first").select("id", "lang", "word", F.col("f"))
@@ -216,8 +232,11 @@ def phrases(docs: DataFrame, least: int = LEAST, best: int | None = BEST, swallo
     three_words = (long.join(p1, "p1").join(p2, "p2").withColumn("c", F.array_min(F.array(cut(1, "g1", "g23"), cut(2, "g12", "g3"))))
                    .select("lang", F.concat_ws(" ", "x1", "x2", "x3").alias("phrase"), "a", "c.l", "c.r", "c.score"))
     every = two_words.withColumn("score", _score("l", "r")).unionByName(three_words)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
-    out = every.withColumn("rank", rank.cast("long"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
+    if best is not None:  # the best of every part of a language first, so its last ranking is short
+        every = every.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+        every = every.withColumn("rank", rank("lang", "part")).where(F.col("rank") <= best).drop("part", "rank")
+    out = every.withColumn("rank", rank("lang").cast("long"))
     if best is not None:
         out = out.where(F.col("rank") <= best)
     n = n.withColumnRenamed("lang", "n_lang")
