@@ -2,18 +2,19 @@
 
 Plan shape for one query vector:
 
-    documents --filter(B1..B8)--> ids --left-semi--> items(id, document_id, embeddings)
-      -> distance (computed once, in one projection)
+    items(id, document_id, embeddings) -> distance (computed once, where the vectors are read)
       -> row_number() over (document_id order by distance, item_id) = 1   (F1;
          Spark plans a partial WindowGroupLimit before the shuffle, so at most one
          row per document per task is shuffled)
-      -> distance < 2t (B9). Applied after the dedup like the reference: a filter
-         on the distance placed before the window is inlined by Catalyst into the
-         scan-side filter and the (dominant) distance would be computed twice.
+      -> left-semi documents --filter(B1..B8)--> ids, on the same key
+      -> distance < 2t (B9), applied after the dedup like the reference
       -> top-k (TakeOrderedAndProject) -> late join of the document payload (D3).
 
-Only (item_id, document_id, distance) travel through the shuffle; the vector
-column never leaves the scan stage and document payload is fetched for k rows.
+Only (item_id, document_id, distance) travel through shuffles, whether the ids fit a broadcast
+or not: the distance comes before the join, so the vector column never leaves the scan stage.
+The price is a distance for every item read. A search table (``write_search_table``) carries
+the documents' filter columns on its items, by org: there the filters prune the scan itself and
+nothing is joined before the top-k.
 """
 
 from __future__ import annotations
@@ -38,13 +39,27 @@ def _distance(method: str):
     return cosine_distance_arrow if method == "arrow" else cosine_distance
 
 
+#: Columns of documents that filters read.
+FILTER_COLUMNS = ["org_id", "connector_id", "tags", "language", "data"]
+
+
+def write_search_table(items: DataFrame, documents: DataFrame, path: str) -> None:
+    """Items with the filter columns of their documents, in one folder per org: the one time that
+    vectors are joined, when gold is written. Items without a document are left out."""
+    docs = documents.select(F.col("id").alias("document_id"), *FILTER_COLUMNS)
+    items.select("id", "document_id", "embeddings").join(docs, "document_id").write.mode("overwrite").partitionBy("org_id").parquet(path)
+
+
 def candidates(items: DataFrame, documents: DataFrame, query, filters: SearchFilters,
                method: str = "arrow") -> DataFrame:
-    """(item_id, document_id, distance) of the items of documents passing the filters."""
+    """(item_id, document_id, distance) of the items of documents passing the filters. Items that
+    carry the filter columns are filtered where they are read; others meet the documents' ids
+    after their distance is known."""
+    near = [F.col("id").alias("item_id"), "document_id", _distance(method)("embeddings", query).alias("distance")]
+    if set(FILTER_COLUMNS) <= set(items.columns):
+        return items.where(filter_predicate(filters)).select(*near)
     doc_ids = documents.where(filter_predicate(filters)).select(F.col("id").alias("document_id"))
-    cand = items.select("id", "document_id", "embeddings").join(doc_ids, "document_id", "left_semi")
-    return cand.select(F.col("id").alias("item_id"), "document_id",
-                       _distance(method)("embeddings", query).alias("distance"))
+    return items.select(*near).join(doc_ids, "document_id", "left_semi")
 
 
 def best_per_document(cand: DataFrame, key: str = "document_id", extra_keys: tuple = ()) -> DataFrame:

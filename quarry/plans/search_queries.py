@@ -6,12 +6,15 @@ data (the embedding of item 0), as a search request would carry it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import search as S
 from quarry.operators.filters import ScopeSource, SearchFilters, filter_predicate
 from quarry.plans.oracle import query_vector_sql, with_ctes
+from quarry.session import ensure_checkpoint_dir
 from quarry.sources.derived import gold_documents, gold_items
 from quarry.sources.tables import table
 
@@ -86,6 +89,25 @@ SQL["knn_threshold"] = _knn_sql("org_id = 1 AND connector_id IN (1,2,3,4,5)", 0.
                                 "item_id, r.document_id AS document_id, round(distance, 6) AS distance")
 
 
+# ---------------------------------------------------------------- knn_search_table
+def knn_search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 on a search table: the org's folder and the carried filter columns, no join before the top-k."""
+    docs = gold_documents(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-tables/search-{uuid.uuid4().hex}"
+    S.write_search_table(gold_items(spark, sf_dir), docs, path)
+    hits = S.search(spark.read.parquet(path), docs, query_vector(spark, sf_dir),
+                    SearchFilters(org_id=ORG, connectors=[1, 3, 4], languages=["en", "f"], tags={"source": ["src3", "src5", "src7", "src9"]}),
+                    threshold=0.7, limit=TOP_K)
+    return S.with_payload(hits, docs).select(
+        F.col("rank").cast("long"), "item_id", "document_id", _r6("distance"), "title")
+
+
+SQL["knn_search_table"] = _knn_sql(
+    "org_id = 1 AND connector_id IN (1,3,4) AND (language LIKE 'en%' OR language LIKE 'f%') AND "
+    "list_has_any(tags, ['\"source\".\"src3\"', '\"source\".\"src5\"', '\"source\".\"src7\"', '\"source\".\"src9\"'])", 0.7, TOP_K,
+    "CAST(rank AS BIGINT) AS rank, item_id, r.document_id AS document_id, round(distance, 6) AS distance, d.title")
+
+
 # ---------------------------------------------------------------- knn_best_n
 def knn_best_n(spark: SparkSession, sf_dir: str, method: str = "arrow") -> DataFrame:
     hits = S.search_best(gold_items(spark, sf_dir), gold_documents(spark, sf_dir), query_vector(spark, sf_dir),
@@ -223,6 +245,7 @@ SQL["filter_json_data"] = with_ctes(["g_documents"], "\n" + "\nUNION ALL\n".join
 QUERIES = {
     "knn_best_per_doc": knn_best_per_doc,
     "knn_threshold": knn_threshold,
+    "knn_search_table": knn_search_table,
     "knn_best_n": knn_best_n,
     "alphabetical_pinned": alphabetical_pinned,
     "filter_json_data": filter_json_data,
