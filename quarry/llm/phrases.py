@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, materialize, prepare
+from quarry.llm.common import documents, materialize, prepare, release
 
 #: Least occurrences of a phrase, and phrases given per language.
 LEAST, BEST = 10, 2000
@@ -89,10 +90,16 @@ def _slice_number(seq: int) -> int:
 
 
 def _relation(schema: pa.Schema, number: int, codes: np.ndarray, joined: np.ndarray | None) -> pa.RecordBatch:
-    row = {"slice": number, "codes": codes.astype("<i4").tobytes(), "joined": None if joined is None else np.packbits(joined).tobytes()}
+    planes = np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T)  # the high bytes are alike
+    row = {"slice": number, "codes": zstandard.ZstdCompressor(level=1).compress(planes), "joined": None if joined is None else np.packbits(joined).tobytes()}
     return pa.RecordBatch.from_pylist([row], schema)
 
 
+def _codes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+
+
 def _groups(schema: pa.Schema, number: int, columns: list) -> Iterator[pa.RecordBatch]:
     size = len(columns[0])
     for a in range(0, size, ROWS):
@@ -128,6 +135,7 @@ def _words(limit: int):
             yield _relation(WORDS, number, codes, joined)
             lang = pa.array(list(names), pa.string()).take(pa.array(key // size))
             yield from _groups(WORDS, number, [lang, found.dictionary.take(pa.array(key % size)), n.astype(np.int64)])
+            release()
 
     return run
 
@@ -138,60 +146,57 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return materialize(rows.mapInArrow(_words(limit), WORDS_DDL))
 
 
-def frequent(relation: DataFrame, key: list[str], least: int) -> DataFrame:
-    """A row for every (slice, code) whose group occurs at least ``least`` times in all slices: the
-    group's key, ``f`` and its number ``id`` (its first (slice, code), so unique), ``first`` on one row."""
+def frequent(groups: DataFrame, key: list[str], least: int) -> DataFrame:
+    """A row for every (slice, code) whose group occurs at least ``least`` times in all slices: ``f``, the
+    group's number ``id`` (its first (slice, code), so unique) and, on that one's row alone, its key."""
     own = F.shiftleft(F.col("slice"), CODE_BITS) + F.col("code")
     w = Window.partitionBy(*key)
-    rows = relation.where("code IS NOT NULL").select("slice", "code", *key, F.sum("n").over(w).alias("f"), F.min(own).over(w).alias("id"))
-    return materialize(rows.where(F.col("f") >= least).withColumn("first", own == F.col("id")))
-
-
-def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The next relation of one slice with its groups: ``left`` its relation, ``right`` its frequent (code, id)."""
-    return _merged(left, right, True)
-
-
-def _groups_only(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The same without the relation, for the last length."""
-    return _merged(left, right, False)
-
-
-def _merged(left: pa.Table, right: pa.Table, with_relation: bool) -> pa.Table:
-    if not left.num_rows or not right.num_rows:
-        return PAIRS.empty_table()
-    number = left.column("slice")[0].as_py()
-    codes = np.frombuffer(left.column("codes")[0].as_py(), dtype="<i4")
-    bits = left.column("joined")[0].as_py()
-    code, ids = right.column("code").to_numpy(), right.column("id").to_numpy()
-    size = int(code.max()) + 1
-    id_of = np.full(size + 1, -1, dtype=np.int64)  # the last place: no frequent group
-    id_of[code] = ids
-    at = np.where((codes < 0) | (codes >= size), size, codes)
-    there = id_of[at] >= 0
-    pair = there[:-1] & there[1:]
-    if bits is not None:  # occurrences of one word touch only within a piece; longer ones overlap
-        pair &= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(codes))[:-1].astype(bool)
-    place = np.flatnonzero(pair)
-    if not len(place):
-        return PAIRS.empty_table()
-    key, new, n = np.unique(at[place].astype(np.int64) * size + at[place + 1], return_inverse=True, return_counts=True)
-    a, b = id_of[key // size], id_of[key % size]
-    groups = list(_groups(PAIRS, number, [a, b, n.astype(np.int64)]))
-    if not with_relation:
-        return pa.Table.from_batches(groups)
-    out = np.full(len(codes), -1, dtype=np.int32)
-    out[place] = new
-    return pa.Table.from_batches([_relation(PAIRS, number, out, None), *groups])
-
-
-def extend(relation: DataFrame, kept: DataFrame, last: bool = False) -> DataFrame:
-    """The relation of the next length: occurrences of frequent groups, merge-joined at adjacent
-    positions. The ``last`` one is only counted, so it is not stored."""
+    rows = groups.select("slice", "code", *key, F.sum("n").over(w).alias("f"), F.min(own).over(w).alias("id")).where(F.col("f") >= least)
+    return rows.select("slice", "code", *[F.when(own == F.col("id"), F.col(k)).alias(k) for k in key], "f", "id", (own == F.col("id")).alias("first"))
+
+
+def _merged(with_groups: bool):
+    """The next relation of one slice, or its groups. ``left``: the slice's relation, ``right``: its frequent (code, id)."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return PAIRS.empty_table()
+        number = left.column("slice")[0].as_py()
+        codes = _codes(left.column("codes")[0].as_py())
+        bits = left.column("joined")[0].as_py()
+        code, ids = right.column("code").to_numpy(), right.column("id").to_numpy()
+        size = int(code.max()) + 1
+        id_of = np.full(size + 1, -1, dtype=np.int64)  # the last place: no frequent group
+        id_of[code] = ids
+        at = np.where((codes < 0) | (codes >= size), size, codes)
+        there = id_of[at] >= 0
+        pair = there[:-1] & there[1:]
+        if bits is not None:  # occurrences of one word touch only within a piece; longer ones overlap
+            pair &= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(codes))[:-1].astype(bool)
+        place = np.flatnonzero(pair)
+        if not len(place):
+            return PAIRS.empty_table()
+        key = at[place].astype(np.int64) * size
+        key += at[place + 1]
+        if with_groups:
+            key, n = np.unique(key, return_counts=True)
+            out = list(_groups(PAIRS, number, [id_of[key // size], id_of[key % size], n.astype(np.int64)]))
+        else:
+            new = np.full(len(codes), -1, dtype=np.int32)
+            new[place] = np.unique(key, return_inverse=True)[1]
+            out = [_relation(PAIRS, number, new, None)]
+        release()
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def extend(relation: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, relation) of the next length: occurrences of frequent groups, merge-joined at adjacent
+    positions. Groups are many and go straight to their count; both read the same shuffles."""
     left = relation.where("codes IS NOT NULL").select("slice", "codes", "joined").groupBy("slice")
-    right = kept.select("slice", "code", "id").groupBy("slice")
+    right = kept.where("code IS NOT NULL").select("slice", "code", "id").groupBy("slice")
     both = left.cogroup(right)
-    return both.applyInArrow(_groups_only, PAIRS_DDL) if last else materialize(both.applyInArrow(_joined, PAIRS_DDL))
+    return both.applyInArrow(_merged(True), PAIRS_DDL), both.applyInArrow(_merged(False), PAIRS_DDL)
 
 
 def _score(left: str, right: str) -> Column:
@@ -209,17 +214,20 @@ def phrases(docs: DataFrame, least: int = LEAST, best: int | None = BEST, swallo
     shorter first part. An empty table gives no rows. Other columns are not read."""
     one = occurrences(docs, text_col, lang_col, limit)
     n = one.where("code IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    words = frequent(one, ["lang", "word"], least)
-    two = extend(one, words)
-    pairs = frequent(two, ["a", "b"], least)
-    three = extend(two, pairs, last=True)
+    words = materialize(frequent(one.where("code IS NOT NULL"), ["lang", "word"], least))
+    groups, relation = extend(one, words)
+    # frequent pairs and the relation of length 2 in one table, so that its shuffles are made once
+    pairs = frequent(groups, ["a", "b"], least).withColumn("codes", F.lit(None).cast("binary")).withColumn("joined", F.lit(None).cast("binary"))
+    two = materialize(pairs.unionByName(relation.select("slice", "codes", "joined"), allowMissingColumns=True))
+    pairs = two.where("first")
+    three, _ = extend(two, two)
     long = three.groupBy(F.col("a").alias("p1"), F.col("b").alias("p2")).agg(F.sum("n").alias("a"))
     long = materialize(long.where(F.col("a") >= least))
 
     w = words.where("first").select("id", "lang", "word", F.col("f"))
     w1 = w.select(F.col("id").alias("a"), "lang", F.col("word").alias("w1"), F.col("f").alias("f1"))
     w2 = w.select(F.col("id").alias("b"), F.col("word").alias("w2"), F.col("f").alias("f2"))
-    short = materialize(pairs.where("first").select("id", "a", "b", "f").join(w1, "a").join(w2, "b"))
+    short = materialize(pairs.select("id", "a", "b", "f").join(w1, "a").join(w2, "b"))
 
     # a pair goes if it begins or ends a longer candidate with enough of its occurrences
     most = (long.select(F.col("p1").alias("m_id"), "a").unionByName(long.select(F.col("p2").alias("m_id"), "a"))
