@@ -206,38 +206,41 @@ def apply_text_model(df: DataFrame, prompt_col: str, out_col: str,
 
 
 def moderate(df: DataFrame, text_col: str, model_factory: Callable[[], Callable] | None = None) -> DataFrame:
-    """K6: adds ``flagged``. Without a model the native rule moderator is used; a model
-    runs as a scalar Arrow UDF over the text column; a null text is not flagged and not sent."""
+    """K6: adds ``flagged`` and ``moderation_error``. Without a model the native rule moderator is
+    used; a model runs as a scalar Arrow UDF over the text column. A null text is not flagged and
+    not sent. A text that the model fails on, alone, has its error and no flag (J8)."""
     if model_factory is None:
-        return df.withColumn("flagged", rule_flagged(text_col))
+        return df.withColumn("flagged", rule_flagged(text_col)).withColumn("moderation_error", F.lit(None).cast("string"))
     key = _key()
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pd.Series) -> pd.DataFrame:
         at = [i for i, t in enumerate(texts.tolist()) if t is not None]
-        out = [False] * len(texts)
-        if at:
-            got = with_retries(_model(key, model_factory))([texts.iloc[i] for i in at])
-            for i, x in zip(at, got):
-                out[i] = bool(x)
-        return pd.Series(out, dtype=bool)
+        flag, err = [False] * len(texts), [None] * len(texts)
+        got, bad = _isolated(_model(key, model_factory), [texts.iloc[i] for i in at])
+        for i, x, e in zip(at, got, bad):
+            flag[i], err[i] = None if e is not None else bool(x), e
+        return pd.DataFrame({"f": pd.Series(flag, dtype=object), "e": pd.Series(err, dtype=object)})
 
-    udf = F.pandas_udf(run, T.BooleanType()).asNondeterministic()
-    return df.withColumn("flagged", udf(F.col(text_col)))
+    udf = F.pandas_udf(run, "f boolean, e string").asNondeterministic()
+    return df.withColumn("_m", udf(F.col(text_col))).withColumns({"flagged": F.col("_m.f"), "moderation_error": F.col("_m.e")}).drop("_m")
 
 
 VIOLATION_CODE = 200
 VIOLATION_ERROR = 4019
+FAILURE_CODE = 500
 
 
 def moderation_gate(df: DataFrame, text_col: str, model_factory=None) -> tuple[DataFrame, DataFrame]:
-    """Split into (passed, violations); violations carry code 200 / error 4019."""
+    """Split into (passed, stopped). Violations carry code 200 / error 4019. A text whose
+    moderation failed does not pass: it is stopped with code 500 and its ``moderation_error``."""
     m = moderate(df, text_col, model_factory)
     if model_factory is not None:
         m = materialize(m)  # both sides read it: the model runs once
-    passed = m.where(~F.col("flagged")).drop("flagged")
-    viol = (m.where(F.col("flagged")).drop("flagged")
-            .withColumn("code", F.lit(VIOLATION_CODE)).withColumn("error_code", F.lit(VIOLATION_ERROR)))
-    return passed, viol
+    failed = F.col("moderation_error").isNotNull()
+    passed = m.where(~failed & ~F.col("flagged")).drop("flagged", "moderation_error")
+    stopped = (m.where(failed | F.col("flagged")).withColumn("code", F.when(failed, FAILURE_CODE).otherwise(VIOLATION_CODE))
+               .withColumn("error_code", F.when(~failed, F.lit(VIOLATION_ERROR))).drop("flagged"))
+    return passed, stopped
 
 
 # ------------------------------------------------------------------ prompts
