@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 # Character classes of the two normalisers and the sentence boundary.
 NON_PRINTABLE_ASCII = "[^\\x20-\\x7E\\t\\n\\r\\x0B\\x0C]"
 CONTROL_CHARS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
-SENTENCE_BOUNDARY = r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)\s"
+SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)\s"
+SENTENCE_BOUNDARY = "(?U)" + SENTENCE_END  # words and blanks of all alphabets in Java too
 ISO_DATE = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?"
             r"(Z|[+-]\d{2}(:?\d{2})?)?$")
 SKIP_TAGS = {"script", "style", "template"}
@@ -147,11 +148,6 @@ def split_sentences(text) -> Column:
     return F.split(_c(text), SENTENCE_BOUNDARY, -1)
 
 
-def updated_fallback(updated, created) -> Column:
-    """H20."""
-    return F.coalesce(_c(updated), _c(created))
-
-
 def char_length(c) -> Column:
     """Code points, like Python ``len``."""
     return F.length(_c(c))

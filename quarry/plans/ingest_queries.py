@@ -155,6 +155,29 @@ def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(F.col("chunk_no").isNotNull()).select("doc_id", "chunk_no", "chunk", "snippet")
 
 
+# Sentence ends by the characters before each blank, then the packing sentence by sentence.
+SQL["chunk_sentences"] = """
+WITH RECURSIVE d AS (SELECT doc_id, text, concat_ws(' ', source, lang) AS title, string_split(text, '') AS c FROM documents)
+, e AS (
+  SELECT doc_id, text, title, list_concat([0], list_filter(range(2, len(c) + 1), lambda i: regexp_full_match(c[i], '\\s') AND c[i - 1] IN ('.', '?', '!')
+    AND NOT (i > 4 AND regexp_full_match(c[i - 4], '[\\p{L}\\p{N}_]') AND c[i - 3] = '.' AND regexp_full_match(c[i - 2], '[\\p{L}\\p{N}_]'))
+    AND NOT (i > 3 AND c[i - 3] BETWEEN 'A' AND 'Z' AND c[i - 2] BETWEEN 'a' AND 'z' AND c[i - 1] = '.')), [len(c) + 1]) AS cut FROM d)
+, k AS (SELECT doc_id, text, cut, unnest(range(1, len(cut))) AS k FROM e)
+, s AS (SELECT doc_id, k, substr(text, cut[k] + 1, cut[k + 1] - cut[k] - 1) AS s FROM k)
+, p AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, '' AS cur, CAST([] AS VARCHAR[]) AS emitted FROM d
+  UNION ALL
+  SELECT s.doc_id, s.k, CASE WHEN length(s) >= 1000 THEN cur WHEN length(cur) + length(s) > 1000 OR cur = '' THEN s ELSE cur || ' ' || s END,
+    CASE WHEN length(s) >= 1000 THEN list_transform(range(0, length(s), 999), lambda x: substr(s, x + 1, 999))
+         WHEN length(cur) + length(s) > 1000 AND cur <> '' THEN [cur] ELSE [] END
+  FROM p JOIN s ON s.doc_id = p.doc_id AND s.k = p.k + 1)
+, o AS (
+  SELECT doc_id, k, generate_subscripts(emitted, 1) AS i, unnest(emitted) AS snippet FROM p
+  UNION ALL SELECT doc_id, 1000000000, 1, arg_max(cur, k) FROM p GROUP BY doc_id HAVING arg_max(cur, k) <> ''
+  UNION ALL SELECT doc_id, 1000000001, 1, title FROM d WHERE title <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS INTEGER) AS chunk_no, snippet AS chunk, snippet FROM o"""
+
+
 # ---------------------------------------------------------------- articles
 def _article_chunks(spark, sf_dir):
     return I.article_chunks(I.article_silver(article_bronze(spark, sf_dir)), ARTICLE_CFG)
