@@ -298,12 +298,14 @@ def author(requests: DataFrame, tmpl: DataFrame, model_factory=EchoModel, modera
     is_tr = F.col("operation") == "translate"
     # translate: moderation of the input first; the model only runs when it passes
     # (a null input is not sent to a model, so every step is one pass over all requests)
-    pre = moderate(r.withColumn("_mod_in", F.when(is_tr, F.col("text"))), "_mod_in", moderator_factory) \
-        .withColumnRenamed("flagged", "_pre_flag")
+    def checked(df: DataFrame, col: str, name: str) -> DataFrame:  # what cannot be moderated does not pass
+        m = moderate(df, col, moderator_factory)
+        return m.withColumn(name, F.coalesce("flagged", F.lit(True))).withColumnRenamed("moderation_error", name + "_error").drop("flagged")
+
+    pre = checked(r.withColumn("_mod_in", F.when(is_tr, F.col("text"))), "_mod_in", "_pre_flag")
     sent = pre.withColumn("_sent", F.when(~is_tr | ~F.col("_pre_flag"), F.coalesce("prompt", F.lit(""))))
     both = apply_text_model(sent, "_sent", "answer", model_factory)
-    post = moderate(both.withColumn("_mod_out", F.when(~is_tr, F.col("answer"))), "_mod_out", moderator_factory) \
-        .withColumnRenamed("flagged", "_post_flag")
+    post = checked(both.withColumn("_mod_out", F.when(~is_tr, F.col("answer"))), "_mod_out", "_post_flag")
     violation = F.when(is_tr, F.col("_pre_flag")).otherwise(F.col("_post_flag"))
     chain_id = F.concat(F.lit("chain-"), F.col("request_id").cast("string"))  # deterministic per request
 

@@ -143,3 +143,18 @@ def test_model_retries_then_raises():
     with pytest.raises(RuntimeError):
         with_retries(broken, sleep=lambda s: None)(1)
     assert RETRY_ATTEMPTS == 3
+
+
+def test_a_failing_moderator_stops_its_text_only(spark):
+    from quarry.operators.models import moderation_gate
+
+    class Failing:
+        def __call__(self, texts):
+            if any(t and "bad" in t for t in texts):
+                raise ValueError("refused")
+            return ["shout" in t for t in texts]
+
+    df = spark.createDataFrame([(1, "fine"), (2, "bad one"), (3, "shout"), (4, None)], "id long, t string")
+    passed, stopped = moderation_gate(df, "t", Failing)
+    assert sorted(r.id for r in passed.collect()) == [1, 4] and passed.columns == ["id", "t"]
+    assert sorted((r.id, r.code, r.error_code, r.moderation_error) for r in stopped.collect()) == [(2, 500, None, "refused"), (3, 200, 4019, None)]
