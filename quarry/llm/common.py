@@ -20,6 +20,8 @@ __all__ = ["documents", "held_out", "materialize", "prepare", "release", "text_s
 
 #: Text bytes handled at once inside a task; a longer single text is handled alone.
 SLICE_BYTES = 2 << 20
+#: Rows handled at once, however short.
+SLICE_ROWS = 1 << 17
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes of text each, in order."""
+    """Row ranges of at most ``limit`` bytes of text and ``SLICE_ROWS`` rows each, in order."""
     n = len(texts)
     if n == 0:
         return
@@ -41,7 +43,7 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
     start = 0
     while start < n:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))), start + SLICE_ROWS)
         yield start, stop
         start = stop
 
@@ -65,8 +67,8 @@ def release() -> None:
 
 
 _LOWER: list[np.ndarray] = []
-#: Code points from here on (private use, tags) count as no letters.
-LETTERS_TO = 0x30000
+#: Code points from here on (no letters are assigned there) count as no letters.
+LETTERS_TO = 0x32400
 
 
 def lower_letters(cps: np.ndarray) -> np.ndarray:

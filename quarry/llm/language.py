@@ -20,8 +20,8 @@ from quarry.llm.common import codepoints, documents, held_out, lower_letters, pr
 
 #: N-grams of a profile and of a document that count.
 TOP = 300
-#: Bits of a symbol: 0 padding, 1 boundary, letters below 3,072 as they are, others in 1,024 classes.
-BITS = 12
+#: Bits of a symbol: 0 padding, 1 boundary, letters below 3,072 as they are, others in as many classes as are left.
+BITS, PLAIN = 15, 3072
 #: Sharpness of the score: weight of a language is exp(-SHARP * distance), distance from 0 to 1.
 SHARP = 20.0
 #: Different (language, n-gram) counts that a task holds before it passes them on.
@@ -33,7 +33,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, n-gram, count), sorted by row and n-gram."""
     cps, bounds = codepoints(texts)
     low = lower_letters(cps).astype(np.int64)
-    s = np.where(low == 0, 1, np.where(low < 3072, low, 3072 + low % 1024))
+    s = np.where(low == 0, 1, np.where(low < PLAIN, low, PLAIN + low % ((1 << BITS) - PLAIN)))
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     # a boundary after and before every text; runs of boundaries count once
     at = np.concatenate([bounds[1:], bounds[:-1]])

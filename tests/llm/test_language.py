@@ -13,7 +13,7 @@ from tests.conftest import SF_ORACLE
 
 def slow_ranking(text, top):
     """The most frequent n-grams as tuples of symbols."""
-    sym = lambda c: ord(c) if ord(c) < 3072 else 3072 + ord(c) % 1024
+    sym = lambda c: ord(c) if ord(c) < 3072 else 3072 + ord(c) % 29696
     words = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "").split()
     n = Counter()
     for w in words:
@@ -25,10 +25,10 @@ def slow_ranking(text, top):
 
 
 def number(g):
-    return g[0] << 24 | g[1] << 12 | g[2]
+    return g[0] << 30 | g[1] << 15 | g[2]
 
 
-TEXTS = ["The cat sat, the rat ran.", "Der Hund und die Katze ÄÖ", None, "", " 12 .,\n", "x", "ὀδύσσεια 中文 中", "a a a b b c " * 50]
+TEXTS = ["The cat sat, the rat ran.", "Der Hund und die Katze ÄÖ", None, "", " 12 .,\n", "x", "ὀδύσσεια 中文 中", "a a a b b c " * 50, "ภาษาไทย 한국어 かな", "\U00030000\U000313af \U000323af", "word again " * 40_000]
 
 
 def test_distances_against_plain_counts():
@@ -46,10 +46,10 @@ def test_distances_against_plain_counts():
 
 
 def test_profiles_are_sums_over_all_rows(spark):
-    rows = [(1, t, l) for t, l in zip(TEXTS, ["en", "de", "en", "en", "de", None, "gr", "en"])]
+    rows = [(1, t, l) for t, l in zip(TEXTS, ["en", "de", "en", "en", "de", None, "gr", "en", "th", "zh", "en"])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     got = language.profiles(df, top=15)
-    assert list(got) == ["de", "en", "gr"]
+    assert list(got) == ["de", "en", "gr", "th", "zh"]
     text = " . ".join(t for _, t, l in rows if l == "en" and t)
     assert got["en"].tolist() == [number(g) for g in slow_ranking(text, 15)]
 
@@ -71,3 +71,18 @@ def test_edge_rows(spark):
     assert [(r.lang_pred, r.score) for r in got[2:5]] == [("und", 0.0)] * 3
     assert {r.lang_pred for r in language.identify(df, F.lit(False)).collect()} == {"und"}
     assert language.identify(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_every_letter_makes_a_language(spark):
+    """Also letters of the last planes; and equal texts of two languages tie to the first name."""
+    rows = [(1, "\U00030000\U00030001 \U00031350", "zh"), (2, "คำ ไทย", "th"), (3, "same text", "b"), (4, "same text", "a"), (5, "\ue000 \U000e0001 12", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, F.lit(True)).collect()}
+    assert got == {1: "zh", 2: "th", 3: "a", 4: "a", 5: "und"}
+
+
+def test_short_rows_are_cut_into_lots(monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "SLICE_ROWS", 3)
+    assert list(common.text_slices(pa.array(["a", None, "", "b" * 50, "c", "d", "e", "f"]), 20)) == [(0, 3), (3, 4), (4, 7), (7, 8)]
