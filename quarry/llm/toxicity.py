@@ -205,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, log_p: np.ndarray
     all those that toxic rows of the sample have over three times as often, in four rows at least;
     the sample bounds them.
 
+    Of the rows that repeat an id the one with the smallest hash of its text is learnt from.
     Without rows of both classes there are no weights, and the intercept is that of the share."""
     ok = labels.where(allowed & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ok = materialize(ok.where("doc_id IS NOT NULL"))
@@ -222,8 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, log_p: np.ndarray
                 found = [_features(set(WORDS.findall(restore(t, held, memory)))) for t in b.column(0)[a:z].to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(1)[a:z], pa.array(found, pa.list_(pa.string()))], ["y", "f"])
 
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").alias("y"))
-            .mapInArrow(run, "y int, f array<string>"))
+    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("toxic").alias("y"))
+            .agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y").mapInArrow(run, "y int, f array<string>"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
     size = {c: min(n[c], sample) for c in n}
     p, q = F.sum("y") / size[1], F.sum(1 - F.col("y")) / size[0]

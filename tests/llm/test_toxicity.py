@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import toxicity
 from quarry.llm.common import documents, table
@@ -120,3 +121,13 @@ def test_a_large_toxic_vocabulary_is_kept(spark):
     labels = spark.createDataFrame([(k, int(k < 400)) for k in range(440)], "doc_id long, toxic int")
     weights, _ = toxicity.train(df, labels, F.lit(True), toxicity.char_model(df))
     assert {f"{k}{w[:n]}" for w in words for k, n in (("w", 99), ("4", 4), ("5", 5))} <= set(weights)
+
+
+def test_a_repeated_id_teaches_once(spark):
+    rows = [(k, f"you worthless thing {k}" if k % 2 else f"what a fine day {k}") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    kind = "doc_id long, text string"
+    log_p = toxicity.char_model(spark.createDataFrame(rows, kind))
+    once = toxicity.train(spark.createDataFrame(rows, kind), labels, F.lit(True), log_p)
+    many = toxicity.train(spark.createDataFrame(rows + [rows[3]] * 500 + [(None, "x")], kind), labels, F.lit(True), log_p)
+    assert once[0].keys() == many[0].keys() and abs(once[1] - many[1]) < 1e-6
