@@ -160,7 +160,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
     """(weights, intercept) with calibration folded in, from at most ``sample`` labelled rows of
     each class (the smallest hashes of their ids); None unless there are rows of both classes.
-    Of a document's several labels the smaller holds; labels other than 0 and 1 are left out."""
+    Of a document's several labels the smaller holds; labels other than 0 and 1 are left out. Of the
+    rows that repeat an id the one with the smallest hash of its text is learnt from."""
     ok = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
     ok = materialize(ok)
     n = {r.y: r["count"] for r in ok.groupBy("y").count().collect()}
@@ -168,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         return None
     pick = [ok.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = materialize(pick[0].union(pick[1]))
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "y")
+    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y")
+            .agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "doc_id", "y")
             .mapInArrow(_features, "doc_id long, y int, at array<int>, value array<float>").toArrow())
     rows = rows.take(pc.sort_indices(rows["doc_id"])).combine_chunks()
     y = rows["y"].to_numpy().astype(float)

@@ -72,3 +72,12 @@ def test_edge_rows(spark):
     assert len(got) == 3 and all(r.base_failed and not r.kept for r in got)
     assert quality.judge(df.limit(0), None).count() == 0
     assert quality.judge(df.withColumn("text", F.concat_ws(" ", *[F.lit(f"w{i}") for i in range(60)])), None).where("kept").count() == 3
+
+
+def test_a_repeated_id_teaches_once(spark):
+    rows = [(k, f"good words here number {k} " * 20) for k in range(20)] + [(k + 20, "bad bad bad " * 30) for k in range(20)]
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(40)], "doc_id long, quality int")
+    kind = "doc_id long, text string"
+    once = quality.train(spark.createDataFrame(rows, kind), labels)
+    many = quality.train(spark.createDataFrame(rows + [rows[3]] * 500 + [(None, "x")], kind), labels)
+    assert abs(once[1] - many[1]) < 1e-9 and abs(once[0] - many[0]).max() < 1e-9
