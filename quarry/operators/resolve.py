@@ -103,9 +103,14 @@ def deployments_with_documents(widgets: DataFrame, connectors: DataFrame, docume
     Documents are first reduced to their distinct (org, connector, tree id) keys
     (map-side partial aggregation), then matched by equi-joins, so no
     document x deployment pairs are formed."""
-    w = resolved_widgets(widgets, connectors)
     keys = documents.select("org_id", "connector_id",
                             json_text(F.col("data"), "tree_id").alias("tree_id")).distinct()
+    return deployments_present(widgets, connectors, keys)
+
+
+def deployments_present(widgets: DataFrame, connectors: DataFrame, keys: DataFrame) -> DataFrame:
+    """The same from the (org_id, connector_id, tree_id) there are, as maintained facets know them."""
+    w = resolved_widgets(widgets, connectors)
     conn_keys = keys.select("org_id", "connector_id").distinct()
     need = w.select("deployment_id", "org_id", "zt_connector_id", "zt_tree_ids",
                     F.explode("widget_connectors").alias("connector_id"))

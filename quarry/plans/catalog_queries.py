@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import catalog as C
+from quarry.operators import pages
 from quarry.operators import resolve as R
 from quarry.operators.filters import SearchFilters
 from quarry.plans.oracle import with_ctes
+from quarry.session import ensure_checkpoint_dir
 from quarry.sources.derived import agent_tags, connectors, gold_documents, gold_items, search_requests, widgets
 
 ALL_CONNECTORS = [1, 2, 3, 4, 5]
@@ -162,7 +164,22 @@ SELECT rw.deployment_id, EXISTS (
 FROM rw""")
 
 
+def documents_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 from the order-statistics index: the last pages of an org."""
+    docs = gold_documents(spark, sf_dir)
+    table = pages.fresh(docs, f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-tables", 32)
+    total = table.locate(2, None, 1, 0)[2]
+    return table.page(2, None, 25, max(0, total - 60)).select("id", "document_id", "title", "language")
+
+
+SQL["documents_deep_page"] = with_ctes(["g_documents"], """
+, n AS (SELECT greatest(0, count(*) - 60) AS o FROM g_documents WHERE org_id = 2)
+, r AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM g_documents WHERE org_id = 2)
+SELECT id, document_id, title, language FROM r, n WHERE k > o AND k <= o + 25""")
+
+
 QUERIES = {
+    "documents_deep_page": documents_deep_page,
     "suggestions": suggestions,
     "tag_connector_counts": tag_connector_counts,
     "distinct_tags": distinct_tags,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import search as S
+from quarry.operators.pruned import Clusters, write_clusters
 from quarry.operators.filters import ScopeSource, SearchFilters, filter_predicate
 from quarry.plans.oracle import query_vector_sql, with_ctes
 from quarry.session import ensure_checkpoint_dir
@@ -108,6 +109,29 @@ SQL["knn_search_table"] = _knn_sql(
     "CAST(rank AS BIGINT) AS rank, item_id, r.document_id AS document_id, round(distance, 6) AS distance, d.title")
 
 
+# ---------------------------------------------------------------- knn_pruned
+def _clusters(spark: SparkSession, sf_dir: str) -> Clusters:
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-tables/clusters-{uuid.uuid4().hex}"
+    write_clusters(gold_items(spark, sf_dir), gold_documents(spark, sf_dir), path)
+    return Clusters(spark, path)
+
+
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 on clusters with radius bounds: the rows of ``knn_best_per_doc``."""
+    hits = _clusters(spark, sf_dir).search(query_vector(spark, sf_dir), SearchFilters(org_id=ORG, connectors=ALL_CONNECTORS), threshold=0.7, limit=TOP_K)
+    return S.with_payload(hits, gold_documents(spark, sf_dir)).select(
+        F.col("rank").cast("long"), "item_id", "document_id", _r6("distance"), "title")
+
+
+SQL["knn_pruned"] = SQL["knn_best_per_doc"]
+
+
+def knn_best_n_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 on clusters: the rows of ``knn_best_n``."""
+    hits = _clusters(spark, sf_dir).search_best(query_vector(spark, sf_dir), SearchFilters(org_id=ORG, connectors=ALL_CONNECTORS), n=5)
+    return hits.select(F.col("rank").cast("long"), "item_id", "document_id", _r6("distance"))
+
+
 # ---------------------------------------------------------------- knn_best_n
 def knn_best_n(spark: SparkSession, sf_dir: str, method: str = "arrow") -> DataFrame:
     hits = S.search_best(gold_items(spark, sf_dir), gold_documents(spark, sf_dir), query_vector(spark, sf_dir),
@@ -122,6 +146,7 @@ SQL["knn_best_n"] = with_ctes(["g_documents", "g_items"], f"""
 ), ranked AS (SELECT *, row_number() OVER (ORDER BY distance, item_id) AS rank FROM cand)
 SELECT CAST(rank AS BIGINT) AS rank, item_id, document_id, round(distance, 6) AS distance
 FROM ranked WHERE rank <= 5""")
+SQL["knn_best_n_pruned"] = SQL["knn_best_n"]
 
 
 # ---------------------------------------------------------------- alphabetical_pinned
@@ -246,6 +271,8 @@ QUERIES = {
     "knn_best_per_doc": knn_best_per_doc,
     "knn_threshold": knn_threshold,
     "knn_search_table": knn_search_table,
+    "knn_pruned": knn_pruned,
+    "knn_best_n_pruned": knn_best_n_pruned,
     "knn_best_n": knn_best_n,
     "alphabetical_pinned": alphabetical_pinned,
     "filter_json_data": filter_json_data,
