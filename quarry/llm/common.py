@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.session import materialize, prepare
 from quarry.sources.tables import table
 
-__all__ = ["documents", "held_out", "materialize", "prepare", "release", "text_slices", "codepoints", "table"]
+__all__ = ["discard", "documents", "held_out", "materialize", "prepare", "release", "store", "text_slices", "codepoints", "table"]
 
 #: Text bytes handled at once inside a task; a longer single text is handled alone.
 SLICE_BYTES = 2 << 20
@@ -57,6 +57,27 @@ def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), bounds
 
 
+def store(df: DataFrame) -> DataFrame:
+    """``materialize`` for a table that its maker ``discard``s: the shuffles behind it go as soon as
+    it is written, as nothing reads them again."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return materialize(df)
+    finally:
+        spark.conf.set(key, before)
+
+
+def discard(stored: DataFrame) -> None:
+    """Removes the files of a table that ``store`` wrote and nothing reads any more."""
+    spark = stored.sparkSession
+    files = stored.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the system; called where a task's heavy work
     ends, because workers live on and the next stage runs beside what they keep."""

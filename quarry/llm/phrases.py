@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, materialize, prepare, release
+from quarry.llm.common import discard, documents, materialize, prepare, release, store
 
 #: Least occurrences of a phrase, and phrases given per language.
 LEAST, BEST = 10, 2000
@@ -143,16 +143,25 @@ def _words(limit: int):
 def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limit: int = SLICE) -> DataFrame:
     """The relation of length 1: slices of word codes, and every slice's (language, word, n)."""
     rows = docs.select(F.col(text_col).alias("t"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("l")).where("t IS NOT NULL")
-    return materialize(rows.mapInArrow(_words(limit), WORDS_DDL))
+    return store(rows.mapInArrow(_words(limit), WORDS_DDL))
 
 
 def frequent(groups: DataFrame, key: list[str], least: int) -> DataFrame:
-    """A row for every (slice, code) whose group occurs at least ``least`` times in all slices: ``f``, the
-    group's number ``id`` (its first (slice, code), so unique) and, on that one's row alone, its key."""
-    own = F.shiftleft(F.col("slice"), CODE_BITS) + F.col("code")
+    """A row for every (slice, code) whose group occurs at least ``least`` times in all slices, with the
+    group's number ``id`` (its first (slice, code), so unique) and, on that one's row alone, its key and
+    count ``f``."""
     w = Window.partitionBy(*key)
-    rows = groups.select("slice", "code", *key, F.sum("n").over(w).alias("f"), F.min(own).over(w).alias("id")).where(F.col("f") >= least)
-    return rows.select("slice", "code", *[F.when(own == F.col("id"), F.col(k)).alias(k) for k in key], "f", "id", (own == F.col("id")).alias("first"))
+    own = F.shiftleft(F.col("slice"), CODE_BITS) + F.col("code")
+    rows = groups.select(own.alias("own"), *key, F.col("n").cast("int").alias("n"))
+    rows = rows.select("own", *key, F.sum("n").over(w).alias("f"), F.min("own").over(w).alias("id")).where(F.col("f") >= least)
+    first = F.col("own") == F.col("id")
+    return rows.select(F.shiftright("own", CODE_BITS).alias("slice"), F.col("own").bitwiseAND((1 << CODE_BITS) - 1).cast("int").alias("code"),
+                       *[F.when(first, F.col(k)).alias(k) for k in key], F.when(first, F.col("f")).alias("f"), "id")
+
+
+def _with_relation(groups: DataFrame, relation: DataFrame) -> DataFrame:
+    """Frequent groups and a relation in one table, so that what both are made of is made once."""
+    return store(groups.unionByName(relation.select("slice", "codes", "joined"), allowMissingColumns=True))
 
 
 def _merged(with_groups: bool):
@@ -190,10 +199,10 @@ def _merged(with_groups: bool):
     return run
 
 
-def extend(relation: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+def extend(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups, relation) of the next length: occurrences of frequent groups, merge-joined at adjacent
     positions. Groups are many and go straight to their count; both read the same shuffles."""
-    left = relation.where("codes IS NOT NULL").select("slice", "codes", "joined").groupBy("slice")
+    left = kept.where("codes IS NOT NULL").select("slice", "codes", "joined").groupBy("slice")
     right = kept.where("code IS NOT NULL").select("slice", "code", "id").groupBy("slice")
     both = left.cogroup(right)
     return both.applyInArrow(_merged(True), PAIRS_DDL), both.applyInArrow(_merged(False), PAIRS_DDL)
@@ -212,22 +221,23 @@ def phrases(docs: DataFrame, least: int = LEAST, best: int | None = BEST, swallo
     A null text has no words, a null language counts as ``und``. Repeated rows count as often as
     they stand. Equal scores go by ``a``, then by the phrase in UTF-8 order; equal cuts by the
     shorter first part. An empty table gives no rows. Other columns are not read."""
-    one = occurrences(docs, text_col, lang_col, limit)
-    n = one.where("code IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    words = materialize(frequent(one.where("code IS NOT NULL"), ["lang", "word"], least))
-    groups, relation = extend(one, words)
-    # frequent pairs and the relation of length 2 in one table, so that its shuffles are made once
-    pairs = frequent(groups, ["a", "b"], least).withColumn("codes", F.lit(None).cast("binary")).withColumn("joined", F.lit(None).cast("binary"))
-    two = materialize(pairs.unionByName(relation.select("slice", "codes", "joined"), allowMissingColumns=True))
-    pairs = two.where("first")
-    three, _ = extend(two, two)
+    found = occurrences(docs, text_col, lang_col, limit)
+    n = materialize(found.where("code IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")))
+    one = _with_relation(frequent(found.where("code IS NOT NULL"), ["lang", "word"], least), found.where("codes IS NOT NULL"))
+    discard(found)
+    w = materialize(one.where("f IS NOT NULL").select("id", "lang", "word", "f"))
+    groups, relation = extend(one)
+    two = _with_relation(frequent(groups, ["a", "b"], least), relation)
+    discard(one)
+    pairs = materialize(two.where("f IS NOT NULL").select("id", "a", "b", "f"))
+    three, _ = extend(two)
     long = three.groupBy(F.col("a").alias("p1"), F.col("b").alias("p2")).agg(F.sum("n").alias("a"))
-    long = materialize(long.where(F.col("a") >= least))
+    long = store(long.where(F.col("a") >= least))
+    discard(two)
 
-    w = words.where("first").select("id", "lang", "word", F.col("f"))
     w1 = w.select(F.col("id").alias("a"), "lang", F.col("word").alias("w1"), F.col("f").alias("f1"))
     w2 = w.select(F.col("id").alias("b"), F.col("word").alias("w2"), F.col("f").alias("f2"))
-    short = materialize(pairs.select("id", "a", "b", "f").join(w1, "a").join(w2, "b"))
+    short = materialize(pairs.join(w1, "a").join(w2, "b"))
 
     # a pair goes if it begins or ends a longer candidate with enough of its occurrences
     most = (long.select(F.col("p1").alias("m_id"), "a").unionByName(long.select(F.col("p2").alias("m_id"), "a"))
