@@ -232,7 +232,8 @@ def covered(docs: DataFrame, window: int, gram: int, shard: int) -> DataFrame:
     known = whole.unionByName(found).unionByName(more).withColumnsRenamed({"anchor": "a_", "content": "c_"})
     hits = segments.join(known, (F.col("anchor") == F.col("a_")) & (F.col("content") == F.col("c_")))
     hits = hits.where((F.col("js").isNull() & (F.col("id") > F.col("first"))) | (F.col("js").isNotNull() & (F.col("id") == F.col("first"))))
-    return hits.groupBy(F.col("id").alias("id_")).agg(F.collect_list(F.struct("content", "s", "n", "js")).alias("cuts"))
+    # a set: rows that repeat an id and a text have the same segments
+    return hits.groupBy(F.col("id").alias("id_")).agg(F.collect_set(F.struct("content", "s", "n", "js")).alias("cuts"))
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

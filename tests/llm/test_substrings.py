@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarry.llm import substrings
 
 
@@ -81,3 +83,16 @@ def test_edge_rows(spark):
     got = sorted((r.doc_id or 99, r.n_words, r.n_removed) for r in substrings.without_repeats(df).collect())
     assert got == [(4, 60, 0), (4, 60, 0), (4, 61, 0), (9, 60, 60), (99, 0, 0), (99, 60, 60), (99, 60, 60)]
     assert substrings.without_repeats(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_share_their_cuts(spark):
+    """Copies of one row, with and without an id, carry a document's cuts once each."""
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(1, text)] + [(2, text)] * 200 + [(None, text + " more")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.without_repeats(df)
+    assert sorted({(r.doc_id or 0, r.n_removed) for r in got.collect()}) == [(0, 400), (1, 0), (2, 400)] and got.count() == 301
+    ids = df.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    cuts = {r.id_: len(r.cuts) for r in substrings.covered(ids, substrings.WINDOW, substrings.GRAM, substrings.SHARD).collect()}
+    once = {r.id_: len(r.cuts) for r in substrings.covered(ids.distinct(), substrings.WINDOW, substrings.GRAM, substrings.SHARD).collect()}
+    assert cuts == once
