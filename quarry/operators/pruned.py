@@ -26,6 +26,8 @@ from quarry.operators.filters import SearchFilters, filter_predicate
 
 #: Clusters of a table (its centres are collected), and clusters that a search reads first.
 CLUSTERS, FIRST = 64, 4
+ITEMS = ("id long, document_id long, embeddings array<float>, connector_id int, tags array<string>, language string, data string, "
+         "angle double, org_id int, cluster int")
 #: Cluster of vectors without a direction; their distance is NaN.
 NOWHERE = -1
 #: Radians by which angles may be off (arccos loses half of a double's digits near zero).
@@ -61,9 +63,11 @@ def write_clusters(items: DataFrame, documents: DataFrame, path: str, clusters:
     spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cluster int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
     docs = documents.select(F.col("id").alias("document_id"), *S.FILTER_COLUMNS)
     rows = items.select("id", "document_id", "embeddings", _assigned(F.col("embeddings"), centres).alias("_c")).join(docs, "document_id")
-    rows = rows.select("id", "document_id", "embeddings", *S.FILTER_COLUMNS, "_c.cluster", "_c.angle").hint("rebalance", "org_id", "cluster")
+    kinds = [c.split() for c in ITEMS.split(", ")]
+    rows = rows.select("id", "document_id", "embeddings", *S.FILTER_COLUMNS, "_c.cluster", "_c.angle").select(*[F.col(c).cast(k) for c, k in kinds])
+    rows = rows.hint("rebalance", "org_id", "cluster")
     rows.sortWithinPartitions("org_id", "cluster", "angle").write.mode("overwrite").partitionBy("org_id", "cluster").parquet(f"{path}/items")
-    table = spark.read.parquet(f"{path}/items")
+    table = spark.read.schema(ITEMS).parquet(f"{path}/items")
     (table.groupBy("org_id", "cluster").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
      .coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds"))
 
@@ -109,7 +113,7 @@ class Clusters:
         return Plan(radius, bands, rows, sum(n for n, _, _ in bounds.values()))
 
     def _rows(self, plan: Plan, filters: SearchFilters) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.path}/items").where(filter_predicate(filters))
+        table = self.spark.read.schema(ITEMS).parquet(f"{self.path}/items").where(filter_predicate(filters))
         if not plan.bands:
             return table.where(F.lit(False))
         near = reduce(lambda a, b: a | b, [(F.col("cluster") == c) & F.col("angle").between(float(lo), float(hi)) for c, (lo, hi) in plan.bands.items()])
@@ -148,6 +152,6 @@ class Clusters:
         if np.linalg.norm(query) > 0:
             rows = self._rows(self.plan(query, filters, None, n, False, first), filters)
         else:  # every distance is NaN: no row is nearer than another
-            rows = self.spark.read.parquet(f"{self.path}/items").where(filter_predicate(filters))
+            rows = self.spark.read.schema(ITEMS).parquet(f"{self.path}/items").where(filter_predicate(filters))
         near = self._near(rows, query)
         return near if n is None else S._ranked_top(near, n)
