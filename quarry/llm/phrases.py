@@ -135,7 +135,7 @@ def _words(limit: int):
             yield _relation(WORDS, number, codes, joined)
             lang = pa.array(list(names), pa.string()).take(pa.array(key // size))
             yield from _groups(WORDS, number, [lang, found.dictionary.take(pa.array(key % size)), n.astype(np.int64)])
-            release()
+        release()
 
     return run
 
@@ -193,7 +193,8 @@ def _merged(with_groups: bool):
             new = np.full(len(codes), -1, dtype=np.int32)
             new[place] = np.unique(key, return_inverse=True)[1]
             out = [_relation(PAIRS, number, new, None)]
-        release()
+        if len(codes) > ROWS:
+            release()
         return pa.Table.from_batches(out)
 
     return run
