@@ -2,19 +2,22 @@
 
 Everything except ``html_to_text`` is a native Catalyst expression. HTML to
 text needs a real HTML tokenizer (script bodies may contain ``"</p>"``,
-entities must be decoded), so it is an Arrow-batched pandas UDF around the
-standard-library parser: one small per-value helper, Spark does the rest.
+entities must be decoded), so it is an Arrow UDF around the standard-library
+parser: one small per-value helper, Spark does the rest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.slices import text_slices, trim
+
 # Character classes of the two normalisers and the sentence boundary.
 NON_PRINTABLE_ASCII = "[^\\x20-\\x7E\\t\\n\\r\\x0B\\x0C]"
 CONTROL_CHARS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
@@ -60,13 +63,19 @@ def html_text_py(s: str | None) -> str | None:
     return "".join(p.parts)
 
 
-def _html_to_text_batch(s: pd.Series) -> pd.Series:
-    return s.map(html_text_py)
+def _html_to_text_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Slices go back as they are parsed, so a worker never holds the texts of a batch twice."""
+    try:
+        for texts in batches:
+            for a, b in text_slices(texts):
+                yield pa.array([html_text_py(t) for t in texts[a:b].to_pylist()], pa.string())
+    finally:
+        trim()
 
 
 # Marked non-deterministic so Catalyst neither duplicates the call into pushed-down
 # filters nor moves it below a repartition: the parse runs once, after ``spread``.
-_html_to_text = F.pandas_udf(_html_to_text_batch, T.StringType()).asNondeterministic()
+_html_to_text = F.arrow_udf(_html_to_text_batches, T.StringType()).asNondeterministic()
 
 
 def html_to_text(c) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import slices
 from quarry.session import materialize, prepare
 from quarry.sources.tables import table
 
@@ -36,16 +34,7 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
 
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text and ``SLICE_ROWS`` rows each, in order."""
-    n = len(texts)
-    if n == 0:
-        return
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    start = 0
-    while start < n:
-        base = ends[start - 1] if start else 0
-        stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))), start + SLICE_ROWS)
-        yield start, stop
-        start = stop
+    yield from slices.text_slices(texts, limit, SLICE_ROWS)
 
 
 def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +67,7 @@ def discard(stored: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def release() -> None:
-    """Gives memory that a worker has freed back to the system; called where a task's heavy work
-    ends, because workers live on and the next stage runs beside what they keep."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-        ctypes.CDLL(None).malloc_trim(0)
-
+release = slices.trim
 
 _LOWER: list[np.ndarray] = []
 #: Code points from here on (no letters are assigned there) count as no letters.

@@ -75,3 +75,13 @@ def test_tag_roundtrip(spark, tags):
 
 def test_html_python_helper_entities():
     assert html_text_py("&copy; x &middot; y&amp;&amp;") == "© x · y&&"
+
+
+def test_html_batches_go_back_in_slices():
+    import pyarrow as pa
+
+    from quarry.functions.text import _html_to_text_batches
+    texts = [f"<p>{k} &amp; {'x' * 400_000}</p>" if k % 3 else None for k in range(20)]
+    out = list(_html_to_text_batches(iter([pa.array(texts, pa.string())])))
+    assert len(out) > 1 and max(len(a) for a in out) < len(texts)
+    assert [t for a in out for t in a.to_pylist()] == [html_text_py(t) for t in texts]
