@@ -19,14 +19,16 @@ from __future__ import annotations
 import random
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.slices import trim
 from quarry.session import materialize
 
 RETRY_ATTEMPTS = 3
@@ -146,15 +148,12 @@ def embed(df: DataFrame, text_col: str, dims: int,
     key = _key()
     rtype = T.StructType([T.StructField("v", T.ArrayType(T.FloatType())), T.StructField("e", T.StringType())])
 
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def one(texts: pa.Array) -> pa.Array:
         model = _model(key, factory)
-        t = texts.tolist()
-        vecs, errs = [None] * len(t), [None] * len(t)
-        idx = [i for i, x in enumerate(t) if x is not None and len(x) > 0]
-        has = set(idx)
-        for i in range(len(t)):
-            if i not in has:
-                errs[i] = "empty text"
+        t = texts.to_pylist()
+        vecs = [None] * len(t)
+        errs = [None if x else "empty text" for x in t]
+        idx = [i for i, x in enumerate(t) if x]
         if idx:
             m, bad = _isolated(model, [t[i] for i in idx])
             for j, i in enumerate(idx):
@@ -165,9 +164,16 @@ def embed(df: DataFrame, text_col: str, dims: int,
                     errs[i] = "invalid vector"
                 else:
                     vecs[i] = np.asarray(v, dtype=np.float32)
-        return pd.DataFrame({"v": vecs, "e": errs})
+        return pa.StructArray.from_arrays([pa.array(vecs, pa.list_(pa.float32())), pa.array(errs, pa.string())], ["v", "e"])
 
-    udf = F.pandas_udf(run, rtype).asNondeterministic()
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield one(texts)
+        finally:
+            trim()
+
+    udf = F.arrow_udf(run, rtype).asNondeterministic()
     tmp = "_emb_" + out_col
     return (df.withColumn(tmp, udf(F.col(text_col)))
             .withColumn(out_col, F.col(tmp)["v"]).withColumn("embed_error", F.col(tmp)["e"]).drop(tmp))

@@ -17,6 +17,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": f"{8 << 20}b",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -42,10 +43,17 @@ def get_spark(master: str | None = None, app: str = "quarry",
     return spark
 
 
+#: Bytes in one Arrow batch that a Python worker gets: its memory follows this, not the length of texts.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
     """Settings every query relies on when it runs in a session built elsewhere (the
-    caller's): UTC session time zone (timestamps are naive UTC in the data), the
-    checkpoint folder, and the package importable by Python workers."""
+    caller's): UTC session time zone (timestamps are naive UTC in the data), bounded
+    Arrow batches, the checkpoint folder, and the package importable by Python workers."""
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(batch, None) != f"{BATCH_BYTES}b":
+        spark.conf.set(batch, f"{BATCH_BYTES}b")
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)

@@ -158,3 +158,19 @@ def test_a_failing_moderator_stops_its_text_only(spark):
     passed, stopped = moderation_gate(df, "t", Failing)
     assert sorted(r.id for r in passed.collect()) == [1, 4] and passed.columns == ["id", "t"]
     assert sorted((r.id, r.code, r.error_code, r.moderation_error) for r in stopped.collect()) == [(2, 500, None, "refused"), (3, 200, 4019, None)]
+
+
+def test_embed_batches_are_bounded_in_bytes(spark):
+    from quarry.operators.models import embed
+    from quarry.session import BATCH_BYTES, prepare
+
+    class Seen:
+        """The first number of every vector tells how many characters came at once."""
+        def __call__(self, texts):
+            return [[float(sum(map(len, texts))), 1.0] for _ in texts]
+
+    prepare(spark)
+    df = spark.range(24).coalesce(1).selectExpr("id", "repeat('x', 1 << 20) AS t")
+    rows = embed(df, "t", 2, Seen).select("embedding", "embed_error").collect()
+    assert len(rows) == 24 and all(r.embed_error is None for r in rows)
+    assert max(r.embedding[0] for r in rows) <= BATCH_BYTES + (1 << 20)
