@@ -129,7 +129,10 @@ def alphabetical_order(hits: DataFrame, documents: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ K3: many queries
 #: Bytes of vectors in one block of items, and queries in one block at most.
 BLOCK_BYTES = 2 << 20
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 2048
+#: Distances in one matrix, and masks of single conditions that a block of items keeps.
+CELLS = 1 << 21
+KEPT_MASKS = 2048
 #: Request columns that filter, and the item columns they read.
 REQUEST_FILTERS = {
     "connectors": "array<int>", "zt_connector_id": "int", "zt_tree_ids": "array<int>", "zt_tags": "array<string>",
@@ -137,6 +140,13 @@ REQUEST_FILTERS = {
     "scope_sources": "array<struct<connectorId:int,action:string,tags:array<string>>>"}
 
 
+def _grouped(values: list, rows: list) -> dict:
+    out: dict = {}
+    for v, r in zip(values, rows):
+        out.setdefault(v, []).append(r)
+    return {v: np.array(r) for v, r in out.items()}
+
+
 class _Items:
     """One block of items in a task: vectors and filter columns, with the masks already made."""
 
@@ -151,28 +161,32 @@ class _Items:
         self.made: dict = {}
 
     def once(self, key, build):
+        """A mask or an index of the block that requests share."""
         if key not in self.made:
+            if len(self.made) >= KEPT_MASKS:
+                self.made.clear()
             self.made[key] = build()
         return self.made[key]
 
     def connector(self, c) -> np.ndarray:
         return self.once(("c", c), lambda: self.batch["connector_id"].to_numpy(zero_copy_only=False) == c)
 
+    def connectors(self, ids) -> np.ndarray:
+        return self.once(("cs", tuple(ids)), lambda: np.isin(self.batch["connector_id"].to_numpy(zero_copy_only=False), ids))
+
+    def _rows(self, by_value: dict, values) -> np.ndarray:
+        hit = np.zeros(self.n, dtype=bool)
+        for v in values:
+            hit[by_value.get(v, [])] = True
+        return hit
+
     def tagged(self, tags) -> np.ndarray:
         def rows_by_tag():
             tags_col = self.batch["tags"]
             row = np.repeat(np.arange(self.n), pc.fill_null(pc.list_value_length(tags_col), 0).to_numpy())
-            out: dict = {}
-            for r, t in zip(row.tolist(), tags_col.flatten().to_pylist()):
-                out.setdefault(t, []).append(r)
-            return out
+            return _grouped(tags_col.flatten().to_pylist(), row.tolist())
 
-        by_tag = self.once("tags", rows_by_tag)
-        hit = np.zeros(self.n, dtype=bool)
-        for t in tags:
-            if t is not None:
-                hit[by_tag.get(t, [])] = True
-        return hit
+        return self.once(("t", tuple(tags)), lambda: self._rows(self.once("tags", rows_by_tag), [t for t in tags if t is not None]))
 
     def json_in(self, key, texts) -> np.ndarray:
         def parsed():
@@ -187,18 +201,24 @@ class _Items:
         def text(v):  # 4.0 and 4 are one number
             return json.dumps(int(v) if isinstance(v, float) and v.is_integer() else v, ensure_ascii=False)
 
-        have = (text(d[key]) if isinstance(d, dict) and key in d else None for d in self.once("data", parsed))
-        return np.fromiter((h in texts if h is not None else False for h in have), dtype=bool, count=self.n)
+        def rows_by_text():
+            have = [(r, text(d[key])) for r, d in enumerate(self.once("data", parsed)) if isinstance(d, dict) and key in d]
+            return _grouped([t for _, t in have], [r for r, _ in have])
+
+        return self.once(("j", key, frozenset(texts)), lambda: self._rows(self.once(("json", key), rows_by_text), texts))
 
     def language(self, prefixes) -> np.ndarray:
-        langs = self.batch["language"].to_pylist()
-        return np.array([x is not None and x.startswith(tuple(prefixes)) for x in langs], dtype=bool)
+        def build():
+            langs = self.batch["language"].to_pylist()
+            return np.array([x is not None and x.startswith(tuple(prefixes)) for x in langs], dtype=bool)
+
+        return self.once(("l", tuple(prefixes)), build)
 
     def mask(self, f: dict) -> np.ndarray:
         """Rows that a request's filters keep: the rules of ``filter_predicate`` on arrays."""
         ok = np.ones(self.n, dtype=bool)
         if "connectors" in f:
-            ok &= np.isin(self.batch["connector_id"].to_numpy(zero_copy_only=False), f["connectors"] or [])
+            ok &= self.connectors(f["connectors"] or [])
         tree = f.get("zt_connector_id")
         if tree and f.get("zt_tree_ids"):
             ok &= ~self.connector(tree) | self.json_in("tree_id", {json.dumps(str(t * 1000)) for t in f["zt_tree_ids"]})
@@ -220,28 +240,38 @@ class _Items:
         return ok
 
 
-def _nearest(items: _Items, rows: np.ndarray, queries: np.ndarray, k: int, cutoff: float, dedup: bool):
-    """(query number, row) of the k nearest rows of every query (ties kept), one per document if ``dedup``."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d = 1.0 - (items.vectors[rows] @ queries.T) / (items.norms[rows][:, None] * np.linalg.norm(queries, axis=1)[None])
-    d[~(d < cutoff)] = np.inf
-    if dedup:  # rows are sorted by document and item id: the first of a document's nearest rows stays
-        doc = items.docs[rows]
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(doc)]))
-        best = np.minimum.reduceat(d, first, axis=0)
-        at = np.where(d == best[group], np.arange(len(rows))[:, None], len(rows))
-        row = np.minimum.reduceat(at, first, axis=0)
-        d = best
-    else:
-        row = np.broadcast_to(np.arange(len(rows))[:, None], d.shape)
-    if len(d) > k:
-        kth = np.partition(d, k - 1, axis=0)[k - 1]
-        keep = (d <= kth) & np.isfinite(d)
-    else:
-        keep = np.isfinite(d)
-    g, q = np.nonzero(keep)
-    return q, rows[row[g, q]], d[g, q]
+def _nearest(items: _Items, masks: np.ndarray, which: np.ndarray, queries: np.ndarray, k: int, cutoff: float, dedup: bool):
+    """(query number, row, distance) of the k nearest rows of every query among those its mask
+    (``masks[which]``) keeps, ties kept; one row per document if ``dedup``."""
+    norms = np.linalg.norm(queries, axis=1)
+    step = max(1, CELLS // max(1, items.n))
+    for s in range(0, len(queries), step):
+        w = which[s:s + step]
+        rows = np.flatnonzero(masks[np.unique(w)].any(axis=0))
+        if not len(rows):
+            continue
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 1.0 - (queries[s:s + step] @ items.vectors[rows].T) / (norms[s:s + step, None] * items.norms[rows][None])
+            d[~(masks[w][:, rows] & (d < cutoff))] = np.inf
+        best = d
+        if dedup:  # rows are sorted by document and item id
+            doc = items.docs[rows]
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            best = np.minimum.reduceat(d, first, axis=1)
+        keep = np.isfinite(best)
+        if best.shape[1] > k:
+            keep &= best <= np.partition(best, k - 1, axis=1)[:, k - 1:k]
+        q, g = np.nonzero(keep)
+        if not len(q):
+            continue
+        near = best[q, g]
+        if dedup:  # the first of a document's nearest rows stays
+            n = np.diff(np.r_[first, len(doc)])[g]
+            begin = np.cumsum(n) - n
+            at = np.repeat(first[g] - begin, n) + np.arange(n.sum())
+            same = d[np.repeat(q, n), at] == np.repeat(near, n)
+            g = np.minimum.reduceat(np.where(same, at, len(rows)), begin)
+        yield q + s, rows[g], near
 
 
 def _item_blocks(batches):
@@ -260,25 +290,24 @@ def _item_blocks(batches):
 
 def _match_blocks(k: int, cutoff: float, dedup: bool):
     def run(batches):
+        held, items = None, None
         for b in batches:
             for raw, asked in zip(b["items"], b["queries"]):
-                items = _Items(pa.ipc.open_stream(raw.as_buffer()).read_next_batch())
-                queries = asked.as_py()
-                out = ([], [], [], [])
-                groups: dict = {}
-                for q in queries:  # requests with equal filters share a mask and a distance matrix
-                    f = {c: q[c] for c in REQUEST_FILTERS if c in q}
-                    groups.setdefault(json.dumps(f, sort_keys=True), (f, []))[1].append(q)
-                for f, qs in groups.values():
-                    rows = np.flatnonzero(items.mask(f))
-                    if not len(rows):
-                        continue
-                    n, row, d = _nearest(items, rows, np.array([q["embedding"] for q in qs], dtype=np.float64), k, cutoff, dedup)
-                    out[0].append(np.array([q["query_id"] for q in qs], dtype=np.int64)[n])
-                    for o, v in zip(out[1:], (items.ids[row], items.docs[row], d)):
-                        o.append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "item_id", "document_id", "distance"])
+                raw = raw.as_buffer()
+                if held is None or not raw.equals(held):  # a block meets all its requests one after the other
+                    held = pa.py_buffer(raw.to_pybytes())
+                    items = _Items(pa.ipc.open_stream(held).read_next_batch())
+                queries = asked.values
+                ids = queries.field("query_id").to_numpy(zero_copy_only=False)
+                filters = queries.field("filters").dictionary_encode()  # requests with equal filters share a mask
+                which = filters.indices.to_numpy(zero_copy_only=False)
+                masks = np.array([items.mask(json.loads(f)) for f in filters.dictionary.to_pylist()])
+                dims = items.vectors.shape[1]
+                vectors = np.asarray(queries.field("embedding").flatten(), dtype=np.float64).reshape(-1, dims)
+                order = np.argsort(which, kind="stable")
+                for n, row, d in _nearest(items, masks, which[order], vectors[order], k, cutoff, dedup):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[order][n], items.ids[row], items.docs[row], d)],
+                                                     ["query_id", "item_id", "document_id", "distance"])
 
     return run
 
@@ -291,9 +320,8 @@ def batch_search(items: DataFrame, documents: DataFrame, queries: DataFrame, fil
     whenever the column is there); ``filters`` holds what all requests have in common.
 
     Items are read once and packed into blocks of one org, queries into blocks of one org;
-    blocks meet in an equality join on the org, so no vector passes the driver and neither
-    side has to fit in memory (a small query side is broadcast by its size, a hot org is
-    split by the skew join). A pair of blocks gives at most the k nearest documents of each
+    blocks meet in an equality join on the org and on a part of its queries, so no vector
+    passes the driver, neither side has to fit in memory, and one org is not one task. A pair of blocks gives at most the k nearest documents of each
     query, which two windows merge: a document among the k nearest overall is among those of
     the block that holds its nearest chunk. ``dedup=False, threshold=None`` gives G2 per query."""
     asked = [c for c in REQUEST_FILTERS if c in queries.columns]
@@ -307,12 +335,17 @@ def batch_search(items: DataFrame, documents: DataFrame, queries: DataFrame, fil
     n = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()  # two numbers
     per_block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * max(1, n["dims"] or 1))))
     n_blocks = max(1, -(-n["n"] // per_block))
-    wanted = F.struct(F.col("query_id").cast("long").alias("query_id"), "embedding", *[F.col(c).cast(REQUEST_FILTERS[c]).alias(c) for c in asked])
-    blocks = (queries.groupBy(F.col("org_id").cast("long").alias("q_org"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"))
-              .agg(F.collect_list(wanted).alias("queries")).select("q_org", "queries"))  # about per_block queries each
-    pairs = item_blocks.join(blocks, F.col("org_id") == F.col("q_org")).select("items", "queries")
+    filters_of = F.to_json(F.struct(*[F.col(c).cast(REQUEST_FILTERS[c]).alias(c) for c in asked]), {"ignoreNullFields": "false"}) if asked else F.lit("{}")
+    wanted = F.struct(F.col("query_id").cast("long").alias("query_id"), "embedding", filters_of.alias("filters"))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    parts = min(n_blocks, queries.sparkSession.sparkContext.defaultParallelism)  # an org's blocks of queries are dealt to so many tasks
+    blocks = (queries.where(F.size("embedding") > 0).groupBy(F.col("org_id").cast("long").alias("q_org"), block.alias("block"))
+              .agg(F.collect_list(wanted).alias("queries")).select("q_org", F.pmod("block", F.lit(parts)).alias("q_part"), "queries"))  # about per_block queries each
+    dealt = item_blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"), F.lit(1).cast("long"))))
+    pairs = (dealt.hint("merge").join(blocks, (F.col("org_id") == F.col("q_org")) & (F.col("part") == F.col("q_part")))
+             .select("items", "queries"))
     cutoff = np.inf if threshold is None else 2.0 * threshold
-    cands = pairs.mapInArrow(_match_blocks(k, cutoff, dedup), "query_id long, item_id long, document_id long, distance double")
+    cands = pairs.mapInArrow(_match_blocks(k, cutoff, dedup), "query_id long, item_id long, document_id long, distance double").repartition("query_id")
     best = best_per_document(cands, extra_keys=("query_id",)) if dedup else cands
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("item_id").asc())
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -95,3 +95,37 @@ def test_suggestions_keep_wildcards(spark):
     D = D.withColumn("description", F.lit(None).cast("string"))
     got = [r.suggestion for r in suggestions(D, "t%e d", SearchFilters(connectors=[1, 2]), limit=10).collect()]
     assert got and all(s.startswith("title") for s in got)
+
+
+def test_requests_share_the_masks_of_a_block():
+    """A condition is worked out once per block, however many requests ask for it; a search of
+    many requests at once gives what one at a time gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.operators import search as S
+    n = 60
+    vec = np.random.default_rng(3).normal(size=(n, 4)).round(3)
+    batch = pa.RecordBatch.from_pydict({
+        "id": pa.array(range(n), pa.int64()), "document_id": pa.array([k // 5 for k in range(n)], pa.int64()),
+        "embeddings": pa.array(vec.tolist(), pa.list_(pa.float32())), "connector_id": pa.array([k // 5 % 3 for k in range(n)], pa.int32()),
+        "tags": [[f"t{k // 5 % 2}", None] if k % 7 else None for k in range(n)], "language": ["en" if k % 2 else None for k in range(n)],
+        "data": [f'{{"a": {k % 4}.0}}' if k % 3 else "no json" for k in range(n)]})
+    items = S._Items(batch)
+    f = {"connectors": [0, 2], "tags": ["t0", "t1"], "languages": ["e"], "data": '{"a": [1, 3]}'}
+    want = [k // 5 % 3 != 1 and bool(k % 7) and bool(k % 2) and bool(k % 3) and k % 4 in (1, 3) for k in range(n)]
+    assert items.mask(f).tolist() == want
+    made = len(items.made)
+    items.batch = None  # all that the requests ask for is there
+    assert items.mask(f).tolist() == want and len(items.made) == made
+
+    masks = np.array([np.ones(n, dtype=bool), want])
+    which, asked = np.arange(20) % 2, vec[:20]
+    for dedup in (True, False):
+        got = {(int(q), int(r)) for q, row, _ in S._nearest(items, masks, which, asked, 3, 1.4, dedup) for q, r in zip(q, row)}
+        for q in range(20):
+            d = 1 - vec @ asked[q] / (np.linalg.norm(vec, axis=1) * np.linalg.norm(asked[q]))
+            hits = sorted((round(d[r], 5), r) for r in range(n) if masks[which[q]][r] and d[r] < 1.4)
+            if dedup:
+                hits = [h for h in hits if h[1] == min((x for x in hits if x[1] // 5 == h[1] // 5))[1]]
+            assert {r for x, r in got if x == q} == {r for _, r in hits[:3]}
