@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.slices import giving_back
 from quarry.llm.common import codepoints, documents, lower_letters, prepare, table, text_slices
 
 Q = 8
@@ -270,9 +271,10 @@ def leaks(text: Column, pieces: Pieces, spark: SparkSession) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(find(texts, held.value), kind)
+            for a, b in text_slices(texts):
+                yield pa.array(find(texts[a:b], held.value), kind)
 
-    return F.arrow_udf(run, HIT).asNondeterministic()(text)
+    return F.arrow_udf(giving_back(run), HIT).asNondeterministic()(text)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:

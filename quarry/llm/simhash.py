@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.slices import giving_back
 from quarry.llm.common import documents, materialize, prepare
 from quarry.llm.components import components
 
@@ -57,7 +58,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
         for texts in batches:
             yield pa.array(np.array([fingerprint_of(t.as_py(), shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return F.arrow_udf(run, "long").asNondeterministic()(text)
+    return F.arrow_udf(giving_back(run), "long").asNondeterministic()(text)
 
 
 def _signatures(fps: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.slices import giving_back
 from quarry.llm.common import codepoints, documents, held_out, lower_letters, materialize, prepare, table, text_slices
 
 # Letters that a symbol may stand for.
@@ -70,7 +71,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probabilities [a, b, c] of symbol c after a, b, from all texts. At most 64 ** 3 sums
     come to the driver, whatever the input."""
-    found = docs.select(text_col).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(text_col).mapInArrow(giving_back(_count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(64 ** 3)
     for r in found:
         n[r.gram] = r.n
@@ -173,9 +174,10 @@ def restored(text: Column, log_p: np.ndarray) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory: dict = {}
         for texts in batches:
-            yield pa.array([None if t is None else restore(t, held, memory) for t in texts.to_pylist()], pa.string())
+            for a, b in text_slices(texts):
+                yield pa.array([None if t is None else restore(t, held, memory) for t in texts[a:b].to_pylist()], pa.string())
 
-    return F.arrow_udf(run, "string").asNondeterministic()(text)
+    return F.arrow_udf(giving_back(run), "string").asNondeterministic()(text)
 
 
 # ---------------------------------------------------------------- classifier
@@ -224,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, log_p: np.ndarray
                 yield pa.RecordBatch.from_arrays([b.column(1)[a:z], pa.array(found, pa.list_(pa.string()))], ["y", "f"])
 
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("toxic").alias("y"))
-            .agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y").mapInArrow(run, "y int, f array<string>"))
+            .agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y").mapInArrow(giving_back(run), "y int, f array<string>"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
     size = {c: min(n[c], sample) for c in n}
     p, q = F.sum("y") / size[1], F.sum(1 - F.col("y")) / size[0]
@@ -266,7 +268,7 @@ def toxicity(text: Column, log_p: np.ndarray, model: tuple[dict, float]) -> Colu
                     np.add.at(z, pair // (len(known) + 1), w[pair % (len(known) + 1)])
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return F.arrow_udf(run, "double").asNondeterministic()(text)
+    return F.arrow_udf(giving_back(run), "double").asNondeterministic()(text)
 
 
 def _learn(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[np.ndarray, tuple[dict, float]]:
