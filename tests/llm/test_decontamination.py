@@ -154,3 +154,14 @@ def test_items_stay_in_their_texts():
     half = len(item) // 2
     texts = ["a" * 200, item[3:], "b" * 200, item[:half], item[half:], None, "", item]
     assert [len(x) for x in D.find(pa.array(texts), D.Pieces([(1, item)]))] == [0, 1, 0, 0, 0, 0, 0, 1]
+
+
+def test_tasks_give_memory_back():
+    from quarry.functions import slices
+    ended = []
+    run = slices.giving_back(lambda batches: (b + 1 for b in batches))
+    was, slices.trim = slices.trim, lambda: ended.append(1)
+    try:
+        assert list(run(iter([1, 2]))) == [2, 3] and ended == [1]
+    finally:
+        slices.trim = was
