@@ -108,33 +108,73 @@ def _groups(schema: pa.Schema, number: int, columns: list) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(head + [pa.array(c[a:a + m]) if isinstance(c, np.ndarray) else c.slice(a, m) for c in columns], schema=schema)
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order and how often each occurs; ``keys`` is sorted in place."""
+    keys.sort()
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    """Each key's place among the different keys, in order, with fewer arrays at once than np.unique makes."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    place = np.cumsum(np.r_[False, keys[1:] != keys[:-1]], dtype=np.int32)
+    del keys
+    out = np.empty(len(order), dtype=np.int32)
+    out[order] = place
+    return out
+
+
+def _split(raw: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Where the words of a lot begin, the words, and which are followed by one of the same piece."""
+    cps = np.frombuffer(raw, dtype=np.uint8)
+    word = (cps != 10) & (cps != 32)
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False)).astype(np.int32)  # begins and ends in turn
+    starts = edge[::2]
+    bounds = np.zeros(len(starts) + 1, dtype=np.int32)
+    np.cumsum(edge[1::2] - starts, out=bounds[1:])
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(cps[word])])
+    joined = np.ones(len(starts), dtype=bool)
+    joined[-1:] = False
+    after = np.searchsorted(starts, np.flatnonzero(cps == 10).astype(np.int32))  # the first word behind a piece's end
+    joined[after[after > 0] - 1] = False
+    return starts, words, joined
+
+
+def _slice_rows(number: int, texts: list[bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
+    """The relation of a lot and its groups; ``texts`` is emptied."""
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    names = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+    raw = b"\n".join(texts)
+    texts.clear()
+    starts, words, joined = _split(raw)
+    del raw
+    if not len(starts):
+        return
+    found = words.dictionary_encode()
+    del words
+    size = len(found.dictionary)
+    kind = np.int32 if len(names) * size < 1 << 31 else np.int64
+    per_text = np.diff(np.searchsorted(starts, begin.astype(np.int32)), append=len(starts))
+    of = np.repeat(np.array([names[x] * size for x in langs], dtype=kind), per_text)
+    del starts
+    of += found.indices.to_numpy()
+    different = found.dictionary
+    del found
+    yield _relation(WORDS, number, _places(of), joined)
+    del joined
+    key, n = _counted(of)
+    del of
+    lang = pa.array(list(names), pa.string()).take(pa.array(key // size))
+    yield from _groups(WORDS, number, [lang, different.take(pa.array(key % size)), n.astype(np.int64)])
+
+
 def _words(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, (texts, langs) in enumerate(_lots(batches, limit)):
-            begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-            names = {x: k for k, x in enumerate(dict.fromkeys(langs))}
-            lang_of = np.array([names[x] for x in langs], dtype=np.int64)
-            raw = b"\n".join(texts)
-            texts.clear()
-            cps = np.frombuffer(raw, dtype=np.uint8)
-            gap = (cps == 10) | (cps == 32)
-            starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
-            if not len(starts):
-                continue
-            piece = np.searchsorted(np.flatnonzero(cps == 10), starts)
-            joined = np.r_[piece[1:] == piece[:-1], False]
-            of = lang_of[np.searchsorted(begin, starts, "right") - 1]
-            del gap, cps, starts, piece
-            found = pc.ascii_split_whitespace(pa.array([raw], pa.binary()).cast(pa.string())).flatten()
-            found = found.filter(pc.not_equal(found, "")).dictionary_encode()
-            size = len(found.dictionary)
-            of *= size
-            of += found.indices.to_numpy()
-            key, codes, n = np.unique(of, return_inverse=True, return_counts=True)
-            number = _slice_number(seq)
-            yield _relation(WORDS, number, codes, joined)
-            lang = pa.array(list(names), pa.string()).take(pa.array(key // size))
-            yield from _groups(WORDS, number, [lang, found.dictionary.take(pa.array(key % size)), n.astype(np.int64)])
+            yield from _slice_rows(_slice_number(seq), texts, langs)
+            release()  # else the next slice takes its memory beside what this one freed
         release()
 
     return run
@@ -181,17 +221,18 @@ def _merged(with_groups: bool):
         pair = there[:-1] & there[1:]
         if bits is not None:  # occurrences of one word touch only within a piece; longer ones overlap
             pair &= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(codes))[:-1].astype(bool)
-        place = np.flatnonzero(pair)
-        if not len(place):
+        if not pair.any():
             return PAIRS.empty_table()
-        key = at[place].astype(np.int64) * size
-        key += at[place + 1]
+        key = at[:-1][pair].astype(np.int64) * size
+        key += at[1:][pair]
+        total = len(at)
+        del at, there
         if with_groups:
-            key, n = np.unique(key, return_counts=True)
+            key, n = _counted(key)
             out = list(_groups(PAIRS, number, [id_of[key // size], id_of[key % size], n.astype(np.int64)]))
         else:
-            new = np.full(len(codes), -1, dtype=np.int32)
-            new[place] = np.unique(key, return_inverse=True)[1]
+            new = np.full(total, -1, dtype=np.int32)
+            new[:-1][pair] = _places(key)
             out = [_relation(PAIRS, number, new, None)]
         if len(codes) > ROWS:
             release()
