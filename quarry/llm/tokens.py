@@ -49,8 +49,9 @@ class Encoder:
     Where the tokenizer drops white space (tried on a probe), no piece spans two words: then words
     are encoded one by one, and whole texts elsewhere. Where it also takes runs of letters and of
     full stops and commas as pieces of their own, a plain word goes to its model as lower-case
-    letters, and what follows it by itself. Plain are only letters that the tokenizer's own
-    normalizer turns into one letter, as a piece; any other word is encoded as it stands."""
+    letters, and what follows it by itself, so words that differ in case or in what follows are
+    looked up once. Plain are only letters that the tokenizer's own normalizer turns into one
+    letter, as a piece; any other word is encoded as it stands."""
 
     PROBE = "The cat's 12th  \n café, naïve. (Straße) x,y a.b zzzyx., 中文\tend"
     #: Letters tried beside A-Z (Latin letters with marks); none of them composes with another.
@@ -64,10 +65,11 @@ class Encoder:
         self.spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.model = self.tok.model.tokenize
         self.words: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}  # plain ones, with A-Z in lower case
         self.held = 0
         self.by_word = self.one(self.PROBE) == [i for w in self.PROBE.split() for i in self.one(w)]
         good = [c for c in string.ascii_letters + self.TRIED if self.by_word and self._plain(c)]
-        self.plain = re.compile(f"([{''.join(good)}]+)([.,]*)").fullmatch if len(good) >= 52 else None
+        self.plain = re.compile(f"([{''.join(good)}]+)([.,]*)").fullmatch if good[:52] == [*string.ascii_letters] else None
 
     def one(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -83,48 +85,82 @@ class Encoder:
         return pieces == [spell(f"a{low}b"), ".,", spell(low), ",", spell(low + low)]
 
     def word(self, w: str) -> bytes:
+        """Ids of a word as it stands."""
         ids = self.words.get(w)
-        if ids is not None:
-            return ids
-        m = self.plain(w) if self.plain else None
-        if m is None:
-            return self._keep(w, self.one(w))
-        low, rest = m[1].lower(), m[2]
-        ids = self.words.get(low)
-        if ids is None:
-            ids = self._keep(low, [t.id for t in self.model(low if low.isascii() else self.spelt(low)[0][0])])
-        if rest:
-            end = self.words.get(rest)
-            ids += end if end is not None else self._keep(rest, self.one(rest))
-        return ids
-
-    def _keep(self, key: str, ids: list[int]) -> bytes:
+        return self._keep(self.words, w, self.one(w)) if ids is None else ids
+
+    def _stem(self, stem: str) -> bytes | None:
+        """Ids of a plain word's letters; None if the word is not plain."""
+        if not self.plain(stem):
+            return None
+        low = stem.lower()
+        return self._keep(self.stems, stem, [t.id for t in self.model(low if low.isascii() else self.spelt(low)[0][0])])
+
+    def _keep(self, held: dict[str, bytes], key: str, ids: list[int]) -> bytes:
         raw = array("I", ids).tobytes()
         if self.held < REMEMBER:  # the frequent ones come early
             self.held += ENTRY + len(key.encode("utf-8", "surrogatepass")) + len(raw)
-            self.words[key] = raw
+            held[key] = raw
         return raw
 
+    def _pieces(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of pieces, and the two that each word is made of; the last piece is empty."""
+        if not self.plain:
+            per = [*map(self.word, _strings(words)), b""]
+            return per, np.stack([np.arange(len(words)), np.full(len(words), len(words))], 1)
+        stem = pc.ascii_rtrim(words, characters=".,")
+        more = pc.binary_length(words).to_numpy() - pc.binary_length(stem).to_numpy()
+        low = pc.ascii_lower(stem).dictionary_encode()
+        names = _strings(low.dictionary)
+        per = list(map(self.stems.get, names))
+        plain = np.ones(len(per), dtype=bool)
+        for k, ids in enumerate(per):
+            if ids is None and (ids := self._stem(names[k])) is None:
+                ids, plain[k] = b"", False
+            per[k] = ids
+        first = low.indices.to_numpy()
+        whole = ~plain[first]
+        as_is = np.flatnonzero(whole)
+        first = np.where(whole, len(per) + np.cumsum(whole) - 1, first)
+        per += map(self.word, _strings(words.take(pa.array(as_is))))
+        ends = np.flatnonzero((more > 0) & ~whole)
+        tails = [w[-n:] for w, n in zip(_strings(words.take(pa.array(ends))), more[ends].tolist())]
+        place = {t: len(per) + k for k, t in enumerate(dict.fromkeys(tails))}
+        per += [*map(self.word, place), b""]
+        second = np.full(len(words), len(per) - 1)
+        second[ends] = [place[t] for t in tails]
+        return per, np.stack([first, second], 1)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none), one after the other, and how many each has."""
         if not self.by_word:
             each = [np.array(self.one(t or ""), dtype=np.uint32) for t in texts.to_pylist()]
             return np.concatenate(each) if each else np.zeros(0, dtype=np.uint32), np.array([len(e) for e in each], dtype=np.int64)
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ends = 2 * np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         enc = split.flatten().dictionary_encode()
-        per = list(map(self.word, enc.dictionary.to_pylist()))
+        del split
+        per, pieces = self._pieces(enc.dictionary)
+        code = pieces.astype(np.int32)[enc.indices.to_numpy()].reshape(-1)
+        del enc, pieces
         size = np.fromiter(map(len, per), dtype=np.int32, count=len(per)) // 4
         flat = np.frombuffer(b"".join(per), dtype=np.uint32)
-        begin = np.cumsum(size, dtype=np.int32) - size
-        code = enc.indices.to_numpy()
+        del per
         n = size[code]
+        at = (np.cumsum(size, dtype=np.int32) - size)[code]
         upto = np.cumsum(n, dtype=np.int32)
-        at = np.repeat(begin[code] - (upto - n), n)
+        at -= upto
+        at += n
+        at = np.repeat(at, n)
+        del code, n
         at += np.arange(len(at), dtype=np.int32)
-        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         return flat[at], np.diff(np.r_[0, upto][np.r_[0, ends]])
 
 
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 #: One encoder per worker and tokenizer, so that what it remembers serves all of the worker's tasks.
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -72,6 +72,26 @@ def test_a_full_memory_changes_nothing(monkeypatch):
     same(tokens.Encoder(tokens.tokenizer_path()), ["one two. Two, three three THREE. é è ü"] * 3)
 
 
+def test_case_and_signs_behind_do_not_make_another_word(monkeypatch):
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    texts = ["house House. HOUSE, HoUsE.,. hOUSE... naïve Naïve, x1. X1, house"]
+    same(enc, texts)
+    asked = []
+    plain = enc.plain
+    monkeypatch.setattr(enc, "plain", lambda w: asked.append(w) or plain(w))
+    same(enc, ["HOUSE,, hOuSe.. House, Naïve.. naïve", "other Other"])
+    assert asked == ["other"]  # what is remembered is not matched again
+
+
+def test_words_that_are_not_plain_are_not_taken_apart():
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    same(enc, ["x1 x1. X1, x1.,"])
+    assert "x1" not in enc.stems and {"x1", "x1.", "X1,", "x1.,"} <= enc.words.keys()
+    same(enc, ["x1.. X1 ... , BİLGİ BİLGİ. bİlgİ, ÉCOLE. École, école"])
+    enc.plain = None  # every word as it stands
+    same(enc, ["x1.. X1 ... , The the. THE,", None, "", "a"])
+
+
 def test_query_matches_plain_encoding(spark):
     from tokenizers import Tokenizer
 
