@@ -57,7 +57,7 @@ QUERIES, SQL = registry.load()
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert QUERIES.keys() | {"pipeline"} <= E.queries().keys() and SQL.keys() <= E.oracle_sql().keys()
 
 
