@@ -101,6 +101,18 @@ def test_changes_in_passes_are_those_of_one_pass(spark, monkeypatch):
     assert CH.passes(spark.createDataFrame([(1,)], "a int")) == 1
 
 
+def test_a_replay_keeps_the_rows_of_one_batch_only(spark):
+    d, sizes = own_tables(spark), []
+    before = held(spark)
+    docs, its = CQ.initial_gold(spark, d)
+    sizes.append(len(held(spark) - before))
+    CH.apply_changes(change_events(spark, d), article_landing(spark, d), tree_landing(spark, d), docs, its, CQ.CFG)
+    sizes.append(len(held(spark) - before))
+    before = held(spark)
+    assert CQ.apply_changes_replay(spark, d).count() == 31 + 27  # articles (one of 32 is empty), and nodes of three trees
+    assert len(held(spark) - before) == sizes[1] + 1  # a batch's, and the swapped documents
+
+
 def test_scratch_removes_what_it_held_but_what_is_kept(spark):
     before = held(spark)
     with scratch(spark):
